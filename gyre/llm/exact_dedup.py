@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gyre.llm.session import shared_dir
+from gyre.llm.session import shared_dir, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -43,18 +43,25 @@ def exact_dedup(
     hits = rows.join(state.where("_n > 1").select("_digest"), "_digest", "left_semi")
     classes = hits.groupBy("_digest", "_text").agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_n"))
     shared = classes.groupBy("_digest").agg(F.count(F.lit(1)).alias("_classes")).where("_classes > 1").select("_digest")
+    shared = written(shared, "exact-dedup-shared")
     plain = (
         rows.drop("_text")
         .join(state, "_digest")
         .join(shared, "_digest", "left_anti")
         .select("_id", "_sha", "_keep", "_n")
     )
+    if shared.isEmpty():
+        return _named(plain, id_col)
     parted = (
         rows.join(shared, "_digest", "left_semi")
         .join(classes, ["_digest", "_text"])
         .select("_id", "_sha", "_keep", "_n")
     )
-    return plain.unionByName(parted).select(
+    return _named(plain.unionByName(parted), id_col)
+
+
+def _named(rows: DataFrame, id_col: str) -> DataFrame:
+    return rows.select(
         F.col("_id").alias(id_col),
         F.col("_keep").alias("keep_id"),
         F.col("_n").alias("group_size"),
