@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from gyre.llm.bpe import bpe_round_trip
 from gyre.llm.exact_dedup import exact_dedup
+from gyre.llm.packing import pack
 from gyre.llm.sharding import SHARD_BYTES, extendible_shards
 
 
@@ -31,6 +34,10 @@ QUALIFY row_number() OVER (PARTITION BY x.doc_id ORDER BY x.d) = 1
 """
 
 
+def op5_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op7_streaming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark, f"{sf_dir}/documents.parquet")
 
@@ -41,9 +48,15 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
+def op10_dp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")).drop("token_ids")
+
+
 QUERIES = {
     "op1_extendible_sharding": op1_extendible_sharding,
+    "op5_bpe_transducer": op5_bpe_transducer,
     "op7_streaming_dedup": op7_streaming_dedup,
+    "op10_dp_packing": op10_dp_packing,
 }
 ORACLE = {
     "op1_extendible_sharding": OP1_SQL,

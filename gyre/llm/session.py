@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gyre.shipping import ship
+
 #: Rows in one Arrow batch of the Python operators: with texts of some KB, a few MB.
 BATCH_ROWS = 512
 
@@ -32,6 +34,7 @@ def written(df: DataFrame, kind: str) -> DataFrame:
 
 
 def small_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
-    """Bound the rows of Arrow batches for what follows on this session."""
+    """Before Python over Arrow: bound the rows of its batches on this session, and send the package to the workers."""
+    ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df
