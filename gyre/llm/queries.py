@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gyre.llm.bpe import bpe_round_trip
 from gyre.llm.exact_dedup import exact_dedup
+from gyre.llm.line_dedup import SITES, line_dedup
 from gyre.llm.packing import pack
 from gyre.llm.sharding import SHARD_BYTES, extendible_shards
+from gyre.llm.warc import warc_round_trip
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +37,25 @@ QUALIFY row_number() OVER (PARTITION BY x.doc_id ORDER BY x.d) = 1
 """
 
 
+def op3_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+d AS (
+  SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, max(page_id) OVER (PARTITION BY payload) AS keep,
+         list_transform(range(0, 8), lambda i: ('0x' || substr(sha1(payload), CAST(1 + 5 * i AS INTEGER), 5))::BIGINT) AS v
+  FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST(1 + ((v[i // 4 + 1] >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) AS INTEGER), 1)), '') AS payload_digest,
+       CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = keep THEN NULL ELSE keep END AS refers_to
+FROM d
+"""
+
+
 def op5_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -48,17 +70,39 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
+def op8_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(_documents(spark, sf_dir), counts=True)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP8_SQL = f"""
+WITH l AS (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i
+  FROM documents),
+t AS (SELECT doc_id, source, i, raw, trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM l),
+b AS (SELECT line FROM t WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) + max(CAST(source IS NULL AS INTEGER)) >= {SITES}),
+m AS (SELECT t.*, t.line IN (SELECT line FROM b) AS cut FROM t)
+SELECT d.doc_id, count(m.i) AS n_lines, count(m.i) FILTER (m.cut) AS n_removed,
+       sha256(coalesce(string_agg(m.raw, chr(10) ORDER BY m.i) FILTER (NOT m.cut), '')) AS kept_sha256
+FROM documents d LEFT JOIN m ON d.doc_id = m.doc_id GROUP BY d.doc_id
+"""
+
+
 def op10_dp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")).drop("token_ids")
 
 
 QUERIES = {
     "op1_extendible_sharding": op1_extendible_sharding,
+    "op3_warc_chain": op3_warc_chain,
     "op5_bpe_transducer": op5_bpe_transducer,
     "op7_streaming_dedup": op7_streaming_dedup,
+    "op8_line_spread": op8_line_spread,
     "op10_dp_packing": op10_dp_packing,
 }
 ORACLE = {
     "op1_extendible_sharding": OP1_SQL,
+    "op3_warc_chain": OP3_SQL,
     "op7_streaming_dedup": OP7_SQL,
+    "op8_line_spread": OP8_SQL,
 }
