@@ -11,6 +11,7 @@ from gyre.llm.exact_dedup import exact_dedup
 from gyre.llm.line_dedup import SITES, line_dedup
 from gyre.llm.packing import pack
 from gyre.llm.sharding import SHARD_BYTES, extendible_shards
+from gyre.llm.syncmers import edited_likeness
 from gyre.llm.warc import warc_round_trip
 
 
@@ -88,6 +89,10 @@ FROM documents d LEFT JOIN m ON d.doc_id = m.doc_id GROUP BY d.doc_id
 """
 
 
+def op9_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_likeness(_documents(spark, sf_dir))
+
+
 def op10_dp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")).drop("token_ids")
 
@@ -98,6 +103,7 @@ QUERIES = {
     "op5_bpe_transducer": op5_bpe_transducer,
     "op7_streaming_dedup": op7_streaming_dedup,
     "op8_line_spread": op8_line_spread,
+    "op9_syncmers": op9_syncmers,
     "op10_dp_packing": op10_dp_packing,
 }
 ORACLE = {
