@@ -11,6 +11,7 @@ from gyre.llm.exact_dedup import exact_dedup
 from gyre.llm.line_dedup import SITES, line_dedup
 from gyre.llm.packing import pack
 from gyre.llm.sharding import SHARD_BYTES, extendible_shards
+from gyre.llm.substring_dedup import WINDOW, substring_dedup
 from gyre.llm.syncmers import edited_likeness
 from gyre.llm.warc import warc_round_trip
 
@@ -57,6 +58,10 @@ FROM d
 """
 
 
+def op4_substring_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_documents(spark, sf_dir), window=WINDOW)
+
+
 def op5_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -100,6 +105,7 @@ def op10_dp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_extendible_sharding": op1_extendible_sharding,
     "op3_warc_chain": op3_warc_chain,
+    "op4_substring_automata": op4_substring_automata,
     "op5_bpe_transducer": op5_bpe_transducer,
     "op7_streaming_dedup": op7_streaming_dedup,
     "op8_line_spread": op8_line_spread,
