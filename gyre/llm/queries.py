@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gyre.llm.bpe import bpe_round_trip
 from gyre.llm.exact_dedup import exact_dedup
 from gyre.llm.line_dedup import SITES, line_dedup
+from gyre.llm.near_dedup import near_duplicates
 from gyre.llm.packing import pack
 from gyre.llm.sharding import SHARD_BYTES, extendible_shards
 from gyre.llm.substring_dedup import WINDOW, substring_dedup
@@ -39,6 +40,10 @@ QUALIFY row_number() OVER (PARTITION BY x.doc_id ORDER BY x.d) = 1
 """
 
 
+def op2_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf_dir), words=3, percent=85)
+
+
 def op3_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -104,6 +109,7 @@ def op10_dp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_extendible_sharding": op1_extendible_sharding,
+    "op2_hyperminhash": op2_hyperminhash,
     "op3_warc_chain": op3_warc_chain,
     "op4_substring_automata": op4_substring_automata,
     "op5_bpe_transducer": op5_bpe_transducer,
