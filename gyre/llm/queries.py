@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gyre.llm.bpe import bpe_round_trip
 from gyre.llm.exact_dedup import exact_dedup
+from gyre.llm.language_crf import language_id
 from gyre.llm.line_dedup import SITES, line_dedup
 from gyre.llm.near_dedup import near_duplicates
 from gyre.llm.packing import pack
@@ -71,6 +73,10 @@ def op5_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op6_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(_documents(spark, sf_dir))
+
+
 def op7_streaming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark, f"{sf_dir}/documents.parquet")
 
@@ -108,11 +114,13 @@ def op10_dp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_extendible_sharding": op1_extendible_sharding,
     "op2_hyperminhash": op2_hyperminhash,
     "op3_warc_chain": op3_warc_chain,
     "op4_substring_automata": op4_substring_automata,
     "op5_bpe_transducer": op5_bpe_transducer,
+    "op6_crf_language": op6_crf_language,
     "op7_streaming_dedup": op7_streaming_dedup,
     "op8_line_spread": op8_line_spread,
     "op9_syncmers": op9_syncmers,
