@@ -1,11 +1,9 @@
-"""Named queries over the driver's tables, each with the SQL that must give the same rows."""
+"""The registered grid queries, each with the SQL that must give the same rows where SQL can."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from gyre.plans.queries import ORACLE, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 FLAGSHIP = "geo_nearest"
+
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
