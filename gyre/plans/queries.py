@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gyre.functions import geo, sigma, variogram
+from gyre.gridframe import GridFrame
+from gyre.meta.specs import MetaSpecs
 from gyre.operators import distance, filters, geostat, grid, interp, regrid, thermdyn
 from gyre.operators.dyn import flow2d
 from gyre.plans.tables import CELLS, HOURS, LEVELS, POINTS, SCALE, cells, customers, hours, levels, suppliers, table
@@ -484,3 +486,40 @@ def _(spark, d):
     )
     seeds = suppliers(spark, d).select("id", (F.col("id") % 70 + 2.5).alias("lon"), (F.col("id") % 9 + 1.5).alias("lat"))
     return flow2d(field, seeds, 7 * 3600.0, 3600.0).select("id", "seconds", r("lon", 6).alias("lon"), r("lat", 6).alias("lat"))
+
+
+# Names and attributes.
+
+
+@query("meta_decode", f"WITH {CELLS} SELECT i AS i, j AS j, lon, lat, v AS temp FROM f")
+def _(spark, d):
+    raw = cells(spark, d).select("i", "j", F.col("lon").alias("nav_lon"), F.col("lat").alias("latitude"), F.col("v").alias("temperature"))
+    return MetaSpecs.default().decode(raw)
+
+
+@query("meta_encode", f"WITH {CELLS} SELECT i, j, lon AS mylon, lat AS mylat, v AS mytemp_t FROM f")
+def _(spark, d):
+    own = {"data_vars": {"temp": {"name": "mytemp"}}, "coords": {"lon": {"name": "mylon"}, "lat": {"name": "mylat"}}}
+    specs = MetaSpecs.from_dict("my", own)
+    raw = cells(spark, d).select("i", "j", "lon", "lat", F.col("v").alias("temp_t"))
+    return specs.encode(raw)
+
+
+@query("meta_score", "SELECT 75.0::DOUBLE AS score, 25.0::DOUBLE AS other")
+def _(spark, d):
+    make = lambda n, coords, data: MetaSpecs.from_dict(n, {"coords": {k: {"name": v} for k, v in coords.items()}, "data_vars": {k: {"name": v} for k, v in data.items()}})
+    raw = cells(spark, d).select(F.col("lon").alias("mylon"), F.col("lat").alias("mylat"), F.col("v").alias("mytemp"), F.col("v").alias("mysal"))
+    a = make("a", {"lon": "mylon", "lat": "mylat"}, {"temp": "mytemp"})
+    b = make("b", {}, {"sal": "mysal"})
+    return spark.createDataFrame([(a.score(raw), b.score(raw))], "score double, other double")
+
+
+@query(
+    "decode_sigma",
+    f"WITH {_SIG} SELECT id, k, round(eta + sig * (eta + h), 4) AS depth FROM o2, k",
+)
+def _(spark, d):
+    terms = {"standard_name": "ocean_sigma_coordinate", "formula_terms": "sigma: sig eta: eta depth: H"}
+    rows = _columns_by_levels(spark, d).withColumn("sig", F.col("sig").alias("sig", metadata=terms))
+    frame = GridFrame(rows, ("id", "k"), ("sig",)).decode_sigma()
+    return frame.df.select("id", "k", r("depth").alias("depth"))

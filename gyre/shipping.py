@@ -21,7 +21,7 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for folder, _, names in os.walk(top):
             for name in names:
-                if name.endswith((".py", ".cfg")):
+                if name.endswith((".py", ".txt")):
                     full = os.path.join(folder, name)
                     z.write(full, os.path.join("gyre", os.path.relpath(full, top)))
     context.addPyFile(path)
