@@ -58,7 +58,7 @@ def _(spark, d):
 
 @query(
     "geo_nearest",
-    f"""WITH {POINTS}, x AS (SELECT s.id, c.id AS nearest_id, round({hav('s', 'c')}, 9) AS d FROM s, c)
+    f"""WITH {POINTS}, x AS (SELECT s.id, c.id AS nearest_id, round({hav('s', 'c')}, 6) AS d FROM s, c)
 SELECT id, nearest_id, round(d, 3) AS dist FROM x QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, nearest_id DESC) = 1""",
 )
 def _(spark, d):
