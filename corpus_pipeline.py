@@ -36,17 +36,22 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
-    kept = near_duplicates(docs, words=5, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    kept = near_duplicates(docs, words=5, percent=80).where("kept").select(F.col("doc_id").alias("__gyre_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__gyre_id"]), "left_semi")
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages out that start earlier in the corpus; documents of which nothing is left go."""
     found = substring_dedup(docs, window=PASSAGE, texts=True).where("n_removed > 0")
-    found = found.select(F.col("doc_id").alias("_id"), F.col("_h"), "kept_text", (F.col("n_removed") < F.col("n_words")).alias("_left")).distinct()
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = keyed.join(found, keyed["doc_id"].eqNullSafe(found["_id"]) & (keyed["_key"] == found["_h"]), "left")
-    cut = joined.where(F.coalesce("_left", F.lit(True))).withColumn("text", F.coalesce("kept_text", "text"))
+    found = found.select(
+        F.col("doc_id").alias("__gyre_id"),
+        F.col("_h").alias("__gyre_h"),
+        F.col("kept_text").alias("__gyre_kept"),
+        (F.col("n_removed") < F.col("n_words")).alias("__gyre_left"),
+    ).distinct()
+    keyed = docs.withColumn("__gyre_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    joined = keyed.join(found, keyed["doc_id"].eqNullSafe(found["__gyre_id"]) & (keyed["__gyre_key"] == found["__gyre_h"]), "left")
+    cut = joined.where(F.coalesce("__gyre_left", F.lit(True))).withColumn("text", F.coalesce("__gyre_kept", "text"))
     return _counted(cut.select(*docs.columns))
 
 

@@ -236,7 +236,7 @@ def identify(df: DataFrame, field: Field, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    given = small_batches(df.select(*[F.col(f"`{f.name}`") for f in fields], F.col(f"`{text_col}`").alias("_text"), letters.alias("_letters")))
+    given = small_batches(df.select(*[F.col(f"`{f.name}`") for f in fields], F.col(f"`{text_col}`").alias("__gyre_text"), letters.alias("__gyre_letters")))
     return given.mapInArrow(run, schema)
 
 

@@ -69,18 +69,18 @@ def line_dedup(
     ``counts`` adds ``n_lines`` and ``n_removed``, the lines of the text (blank ones too) and those cut out.
     """
     bad = written(boilerplate(df, text_col, site_col, sites), "boilerplate")
-    row = [F.xxhash64(F.col(text_col)).alias("_r1"), F.xxhash64(F.lit(1), F.col(text_col)).alias("_r2")]
+    row = [F.xxhash64(F.col(text_col)).alias("__gyre_r1"), F.xxhash64(F.lit(1), F.col(text_col)).alias("__gyre_r2")]
     placed = df.select(*row, F.posexplode(F.split(F.col(text_col), "\n")).alias("_at", "_line")).withColumn("_line", _strip(F.col("_line")))
-    placed = placed.where("_line <> ''").select("_r1", "_r2", "_at", *_keys(F.col("_line")))
-    cut = placed.join(bad, ["_h1", "_h2"], "left_semi").groupBy("_r1", "_r2").agg(F.collect_set("_at").alias("_cut"))
+    placed = placed.where("_line <> ''").select("__gyre_r1", "__gyre_r2", "_at", *_keys(F.col("_line")))
+    cut = placed.join(bad, ["_h1", "_h2"], "left_semi").groupBy("__gyre_r1", "__gyre_r2").agg(F.collect_set("_at").alias("__gyre_cut"))
     lines = F.split(F.col(text_col), "\n")
-    left = F.filter(lines, lambda line, i: ~F.array_contains(F.col("_cut"), i))
-    text = F.when(F.col("_cut").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    joined = df.withColumns({"_r1": row[0], "_r2": row[1]}).join(cut, ["_r1", "_r2"], "left")
+    left = F.filter(lines, lambda line, i: ~F.array_contains(F.col("__gyre_cut"), i))
+    text = F.when(F.col("__gyre_cut").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
+    joined = df.withColumns({"__gyre_r1": row[0], "__gyre_r2": row[1]}).join(cut, ["__gyre_r1", "__gyre_r2"], "left")
     out = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns]
     if counts:
         out += [
             F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-            F.coalesce(F.size("_cut"), F.lit(0)).cast("long").alias("n_removed"),
+            F.coalesce(F.size("__gyre_cut"), F.lit(0)).cast("long").alias("n_removed"),
         ]
     return joined.select(*out)
