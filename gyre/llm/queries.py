@@ -34,7 +34,7 @@ WITH r AS (
   FROM documents),
 x AS (SELECT r.*, d, bits >> (60 - d) AS p FROM r, (SELECT unnest(range(0, 61))::INTEGER AS d)),
 b AS (SELECT d, p, CAST(sum(n_bytes) AS BIGINT) AS shard_bytes, count(*) AS shard_rows FROM x GROUP BY d, p),
-l AS (SELECT d, p, shard_bytes, shard_rows FROM b WHERE shard_bytes <= {SHARD_BYTES} OR d = 60)
+l AS (SELECT d, p, shard_bytes, shard_rows FROM b WHERE shard_bytes <= {SHARD_BYTES} OR shard_rows = 1 OR d = 60)
 SELECT x.doc_id, x.n_bytes, x.d AS depth, CASE WHEN x.d = 0 THEN '' ELSE lpad(bin(x.p), x.d, '0') END AS shard_id,
        l.shard_bytes, l.shard_rows, l.shard_bytes > {SHARD_BYTES} AS oversized
 FROM x JOIN l ON x.d = l.d AND x.p = l.p

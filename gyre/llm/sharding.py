@@ -6,8 +6,8 @@ only such a bucket does. Byte counts are summed by prefixes of a depth that fits
 all shorter prefixes at once; prefixes that are still too large are counted again some bits deeper.
 All of it is DataFrame operations on the JVM.
 
-Cases: a null text has no bytes; a null identifier hashes as the empty string; rows that share an
-identifier, and a single text above the limit, cannot be parted: their shard is the deepest one, marked
+Cases: a null text has no bytes; a null identifier hashes as the empty string; a single text above the limit is a shard of its own, and
+rows that share an identifier cannot be parted, so that their shard is one of the deepest: both are marked
 ``oversized``; an empty table gives no rows; other columns are not read.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 #: Bits of the hash that the directory may use.
 MAX_DEPTH = 60
 #: Bits by which the first count goes beyond the depth of evenly filled shards, and each later one beyond the last.
-SPARE, DEEPER = 4, 6
+SPARE, DEEPER = 4, 14
 SHARD_BYTES = 1 << 20
 
 
@@ -57,12 +57,12 @@ def directory(sized: DataFrame, limit: int, max_depth: int = MAX_DEPTH) -> DataF
             .groupBy("depth", "prefix")
             .agg(F.sum("_bytes").alias("shard_bytes"), F.sum("_rows").alias("shard_rows"))
         )
-        fits = (F.col("shard_bytes") <= limit) | (F.col("depth") == max_depth)
-        above = by_depth.where(F.col("shard_bytes") > limit).select(
+        splits = (F.col("shard_bytes") > limit) & (F.col("shard_rows") > 1)
+        above = by_depth.where(splits).select(
             (F.col("depth") + 1).alias("depth"), F.explode(F.array(F.col("prefix") * 2, F.col("prefix") * 2 + 1)).alias("prefix")
         )
         # A bucket of the directory fits while the bucket that it was split from does not.
-        leaf = by_depth.where(fits)
+        leaf = by_depth.where(~splits | (F.col("depth") == max_depth))
         found.append(
             leaf.where(F.col("depth") == 0).unionByName(leaf.where(F.col("depth") > lo).join(above, ["depth", "prefix"], "left_semi"))
             if lo == 0
@@ -70,7 +70,7 @@ def directory(sized: DataFrame, limit: int, max_depth: int = MAX_DEPTH) -> DataF
         )
         if hi == max_depth:
             break
-        over = by_depth.where((F.col("depth") == hi) & (F.col("shard_bytes") > limit)).select(F.col("prefix").alias("_over"))
+        over = by_depth.where((F.col("depth") == hi) & splits).select(F.col("prefix").alias("_over"))
         if over.isEmpty():
             break
         left = left.join(over, prefix(F.col("_bits"), hi) == F.col("_over"), "left_semi")
@@ -113,6 +113,6 @@ def extendible_shards(
 
 
 def write_shards(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = SHARD_BYTES) -> None:
-    """Write ``df`` as Parquet with one folder for each shard, ``shard_id=...``."""
+    """Write ``df`` as Parquet with one folder for each shard, ``shard_id=...``; a column of that name gives way, and rows without identifier are left out."""
     shards = extendible_shards(df, id_col, text_col, limit).select(id_col, F.col("shard_id")).distinct()
-    df.join(shards, id_col).repartition("shard_id").write.partitionBy("shard_id").parquet(path)
+    df.drop("shard_id").join(shards, id_col).repartition("shard_id").write.partitionBy("shard_id").parquet(path)

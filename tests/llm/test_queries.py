@@ -1,0 +1,66 @@
+"""The registered queries: SQL where there is some, the pipeline's stages against brute force."""
+
+import os
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).parent))
+import brute  # noqa: E402
+
+import corpus_pipeline  # noqa: E402
+from gyre.llm import queries  # noqa: E402
+
+DATA = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the tables are not here")
+
+
+@pytest.fixture(scope="module")
+def duck():
+    import duckdb
+
+    c = duckdb.connect()
+    for name in os.listdir(DATA):
+        if name.endswith(".parquet"):
+            c.sql(f"CREATE VIEW {name[:-8]} AS SELECT * FROM '{DATA}/{name}'")
+    return c
+
+
+def rows(df):
+    df = df[sorted(df.columns)].astype(object)
+    return sorted(map(repr, df.where(df.notna(), None).values.tolist()))
+
+
+@pytest.mark.parametrize("name", queries.ORACLE)
+def test_sql(spark, duck, name):
+    assert rows(queries.QUERIES[name](spark, DATA).toPandas()) == rows(duck.sql(queries.ORACLE[name]).df())
+
+
+def test_near_and_passages_on_documents(spark):
+    docs = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.QUERIES["op2_hyperminhash"](spark, DATA).collect()}
+    assert out == brute.components(docs, 3, 85)
+    out = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in queries.QUERIES["op4_substring_automata"](spark, DATA).collect()}
+    assert out == brute.passages(docs, 20)
+
+
+def test_stages(spark, tmp_path):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    columns, before = docs.columns, docs
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, before, DATA).write.parquet(str(tmp_path / str(n)))
+        after = spark.read.parquet(str(tmp_path / str(n)))
+        if name != "packing":
+            assert after.columns == columns
+            old, new = ({r.doc_id: r.text for r in d.collect()} for d in (before, after))
+            assert set(new) <= set(old)
+        if name == "near dedup":
+            want = brute.components(list(old.items()), 5, 80)
+            assert set(new) == {i for i, (_, c) in want.items() if i == c} and all(new[i] == old[i] for i in new)
+        if name == "substring dedup":
+            want = brute.passages(list(old.items()), corpus_pipeline.PASSAGE)
+            kept = {i: len(brute.words(t)) for i, t in new.items()}
+            assert kept == {i: n - cut for i, (n, cut, _) in want.items() if not cut or n > cut}
+        before = after
+    assert before.count() > 0
