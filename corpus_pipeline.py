@@ -17,16 +17,19 @@ from gyre.llm.packing import pack
 from gyre.llm.session import shared_dir
 from gyre.llm.substring_dedup import substring_dedup
 
-#: A document is rejected if its language is undecided or its mean word probability is below this.
-LEAST_SCORE = 0.5
+#: A document is rejected if its language is undecided, or its score is below this many times that of a guess
+#: among the learned languages. Text that switches between languages stays.
+OVER_CHANCE = 1.2
 #: Words of a passage from which its repeats are cut out.
 PASSAGE = 50
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is decided."""
-    found = language_crf.identify(docs, language_crf.learn(docs))
-    return found.where((F.col("lang_pred") != language_crf.UNDECIDED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    field = language_crf.learn(docs)
+    found = language_crf.identify(docs, field)
+    decided = (F.col("lang_pred") != language_crf.UNDECIDED) & (F.col("score") * max(len(field.labels), 1) >= OVER_CHANCE)
+    return found.where(decided | (F.lit(len(field.labels) == 1) & (F.col("score") > 0))).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
