@@ -238,8 +238,14 @@ def _stretches(window: int):
                 hashes, runs, hit, hot = _hits(batch, lo, hi, words, window, 3)
                 raw = hashes.view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES].tobytes()
                 windows, at = grams(hashes, np.zeros(len(hashes), np.int8), window) if hot[hit].any() else (None, None)
+                # Of equal stretches the first in corpus order stays, whatever the order of the rows.
+                ids, texts = (batch.column(c).slice(lo, hi - lo).to_pylist() for c in (0, 2))
+                rank = np.empty(hi - lo, np.int64)
+                rank[sorted(range(hi - lo), key=lambda d: (ids[d] is None, 0 if ids[d] is None else ids[d], texts[d]))] = np.arange(hi - lo)
+                found = np.flatnonzero(hit)
+                found = found[np.lexsort((runs.win[found], rank[runs.doc[found]]))]
                 seen, out = set(), ([], [], [], [], [])
-                for i in np.flatnonzero(hit).tolist():
+                for i in found.tolist():
                     begin, n, doc = int(runs.win[i]), int(runs.n[i]), int(runs.doc[i])
                     if hot[i]:
                         parts = [(int(windows[begin + j].view(np.int64)), begin + j, 1) for j in range(n)]
