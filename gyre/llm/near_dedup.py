@@ -3,13 +3,16 @@
 A document's set is that of the hashes of its shingles of words. Equal sets are one node from the start, so
 that copies cost nothing further. A sketch has ``FUNCTIONS`` times 64 registers: of the shingles that a
 function deals to a bucket, the one of least value, kept as its number of leading zeros and ten mantissa
-bits. Registers are banded, and nodes that share a band are compared with the least node of that band by
-the Jaccard estimate of their registers, corrected for chance collisions. Pairs whose estimate is far too
-low drop out; what remains connects nodes into coarse components, within which every link is decided on
-full sets. Nodes of one component are compared only until they are connected.
+bits. Registers are banded; in a band an empty register takes the place and value of a filled one of its
+function, so that few shingles fill a band as many do and one frequent shingle does not make it. Nodes that
+share a band are compared by the Jaccard estimate of their registers, corrected for chance collisions: first
+with the least node of that band, then, where that leaves a band in parts, with each other until every two
+nodes of different parts have been compared. Pairs whose estimate is far too low drop out; what remains
+connects nodes into coarse components, within which every link is decided on full sets. Nodes of one
+component are compared only until they are connected.
 
-Two nodes at the threshold share a band but for a chance of 1e-9, and have some ten bands in common. Within
-a band they pass the estimate against the same least node unless that node resembles neither.
+Two nodes at the threshold share a band but for a chance of 1e-9 (at 0.85), and have some ten bands in common.
+Any band that they share connects them, unless the estimate of the two themselves is ``SLACK`` too low.
 
 A coarse component with many shingles is dealt to blocks. Blocks are solved alone, and then those nodes that
 are not in a component's largest part so far are compared with all its nodes, ``PIVOTS`` at a time, until
@@ -35,11 +38,12 @@ FUNCTIONS, BUCKET_BITS, MANTISSA = 3, 6, 10
 BUCKETS = 1 << BUCKET_BITS
 BAND = 5
 EMPTY = 0xFFFF
-#: How far below the threshold an estimate may lie before its pair drops out: the Jaccard distance that a
-#: link may add on the way over the least node, and six standard errors.
+#: How far below the threshold an estimate may lie before its pair drops out: ten standard errors.
 SLACK = 0.30
 #: Shingles of one block, and nodes compared with all of a component at a time.
 BLOCK, PIVOTS = 1_000_000, 256
+#: For each register the order in which, where it is empty, the others of its function are asked.
+_ORDER = np.stack([np.random.default_rng(i).permutation(BUCKETS) for i in range(BUCKETS)], 1)
 _SALT = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)]
 
 
@@ -127,8 +131,24 @@ def _registers(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, FUNCTIONS * BUCKETS)
 
 
+def _filled(regs: np.ndarray) -> np.ndarray:
+    """Registers of one function with their places; an empty one repeats the first filled one in its order."""
+    full = regs != EMPTY
+    out = regs.astype(np.uint64) | (np.arange(BUCKETS, dtype=np.uint64) << np.uint64(16))
+    rows = np.flatnonzero(full.any(1) & ~full.all(1))
+    value, known, todo = out[rows], full[rows], ~full[rows]
+    for order in _ORDER:
+        if not todo.any():
+            break
+        now = todo & known[:, order]
+        value = np.where(now, out[rows][:, order], value)
+        todo &= ~now
+    out[rows] = value
+    return out
+
+
 def _bands(batches):
-    """Keys of the bands of each node that are not empty."""
+    """Keys of the bands of each node."""
     per = BUCKETS // BAND
     for batch in batches:
         if not batch.num_rows:
@@ -137,14 +157,13 @@ def _bands(batches):
         a = np.array(batch.column(0).to_numpy())
         keys, nodes = [], []
         for f in range(FUNCTIONS):
+            own = _filled(regs[:, f * BUCKETS : (f + 1) * BUCKETS])
             for i in range(per):
-                band = regs[:, f * BUCKETS + i * BAND : f * BUCKETS + (i + 1) * BAND]
-                h = np.full(len(band), np.uint64(f * per + i))
+                h = np.full(len(own), np.uint64(f * per + i))
                 for j in range(BAND):
-                    h = mix(h * np.uint64(0x9E3779B97F4A7C15) + band[:, j].astype(np.uint64))
-                some = (band != EMPTY).any(1)
-                keys.append(h[some])
-                nodes.append(a[some])
+                    h = mix(h * np.uint64(0x9E3779B97F4A7C15) + own[:, i * BAND + j])
+                keys.append(h)
+                nodes.append(a)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], names=["_key", "_a"])
 
 
@@ -159,6 +178,50 @@ def _alike(least: float):
     return run
 
 
+def _joined(nodes: np.ndarray, labels: np.ndarray, sizes: np.ndarray, regs: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs of one band's nodes that connect its parts, after a look at all pairs of different parts whose sizes allow a link."""
+    label = np.unique(labels, return_inverse=True)[1]
+    # The largest part comes last: with all others compared to it, its own nodes have nothing left to meet.
+    count = np.bincount(label)
+    order = np.lexsort((label, count[label]))
+    nodes, label, sizes, regs = nodes[order], label[order], sizes[order], regs[order]
+    out = []
+    for i in range(len(nodes) - count.max()):
+        other = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        other = other[100 * np.minimum(sizes[other], sizes[i]) >= percent * np.maximum(sizes[other], sizes[i])]
+        if len(other):
+            near = estimate(regs[other], regs[i : i + 1], sizes[other].astype(float), sizes[i].astype(float)) >= percent / 100 - SLACK
+            for part in np.unique(label[other[near]]):
+                out.append((nodes[i], nodes[other[near & (label[other] == part)][0]]))
+                label[label == part] = label[i]
+    return out
+
+
+def _compare(percent: int):
+    """Pairs that connect the parts of each band, from nodes sorted by band."""
+
+    def run(batches):
+        key, group, out = None, [], []
+
+        def done():
+            nodes, labels, sizes = (np.array(x, np.int64) for x in list(zip(*group))[:3])
+            regs = np.frombuffer(b"".join(x[3] for x in group), np.uint16).reshape(len(group), -1)
+            return _joined(nodes, labels, sizes, regs, percent)
+
+        for batch in batches:
+            for k, *row in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if k != key:
+                    out += done() if group else []
+                    key, group = k, []
+                group.append(row)
+            if len(out) > 50_000:
+                yield _pairs(out)
+                out = []
+        yield _pairs(out + (done() if group else []))
+
+    return run
+
+
 def _members(k: int, lower: bool):
     """Full sets of the nodes of coarse components."""
 
@@ -277,14 +340,32 @@ def _links(docs: DataFrame, standing: DataFrame, kind: str, words: int, percent:
     spark = docs.sparkSession
     bands = standing.select("_a", "_regs").mapInArrow(_bands, "_key bigint, _a bigint")
     lead = bands.groupBy("_key").agg(F.count(F.lit(1)).alias("_c"), F.min("_a").alias("_lead")).where("_c > 1").select("_key", "_lead")
-    pairs = bands.join(lead, "_key").where("_a <> _lead").select("_lead", "_a").distinct()
+    shared = written(bands.join(lead, "_key"), "near-bands")
+    pairs = shared.where("_a <> _lead").select("_lead", "_a").distinct()
     regs = standing.select("_a", "_n", "_regs")
     sided = (
         pairs.join(regs.withColumnsRenamed({"_a": "_lead", "_n": "_n1", "_regs": "_r1"}), "_lead")
         .join(regs.withColumnsRenamed({"_n": "_n2", "_regs": "_r2"}), "_a")
         .select("_lead", "_a", "_n1", "_n2", "_r1", "_r2")
     )
-    coarse = components(sided.mapInArrow(_alike(percent / 100 - SLACK), "_x bigint, _y bigint"))
+    close = written(sided.mapInArrow(_alike(percent / 100 - SLACK), "_x bigint, _y bigint"), "near-close")
+    coarse = components(close)
+    # Bands whose nodes are not all connected yet; of bands with the same nodes one.
+    parted = shared.join(coarse, F.col("_a") == F.col("_node"), "left").select("_key", "_a", F.coalesce("_comp", "_a").alias("_label"))
+    nodes = [F.bit_xor(F.xxhash64("_a")), F.bit_xor(F.xxhash64("_a", F.lit(1))), F.count(F.lit(1))]
+    still = parted.groupBy("_key").agg(*[x.alias(f"_s{i}") for i, x in enumerate(nodes)], (F.min("_label") < F.max("_label")).alias("_open")).where("_open")
+    still = still.groupBy("_s0", "_s1", "_s2").agg(F.min("_key").alias("_key")).select("_key")
+    still = written(parted.join(still, "_key"), "near-open")
+    if not still.isEmpty():
+        met = (
+            still.join(regs, "_a")
+            .select("_key", "_a", "_label", "_n", "_regs")
+            .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_key")
+            .sortWithinPartitions("_key", "_a")
+            .mapInArrow(_compare(percent), "_x bigint, _y bigint")
+        )
+        met = written(met, "near-met")
+        coarse = components(close.unionByName(met)) if not met.isEmpty() else coarse
     inside = standing.join(coarse, F.col("_a") == F.col("_node")).select("_a", "_n", F.col("_min").alias("_i"), F.col("_h").alias("_g"), "_comp")
     parts = inside.groupBy("_comp").agg(F.ceil(F.sum("_n") / block).alias("_parts"))
     inside = inside.join(parts, "_comp").withColumn("_part", F.pmod(F.col("_a"), F.col("_parts")))

@@ -112,6 +112,25 @@ def test_near_duplicates(spark, copies, k, percent, options):
     assert near(df, words=k, percent=percent, **options) == brute.components(copies, k, percent)
 
 
+def test_near_duplicates_of_frequent_lines(spark):
+    rnd = random.Random(0)
+    lines = [" ".join(f"l{i}w{j}" for j in range(3)) for i in range(8)]
+    rows = []
+    for i in range(1500):
+        body = " ".join(rnd.choices(lines, k=6))
+        rows += [(2 * i, body), (2 * i + 1, f"{body} end")] if i % 5 == 0 else [(2 * i, body)]
+    assert near(docs(spark, rows), words=3, percent=85) == brute.components(rows, 3, 85)
+
+
+def test_parts_of_a_band_meet_past_its_least_node():
+    rng = np.random.default_rng(0)
+    regs = rng.integers(0, 60_000, (6, near_dedup.FUNCTIONS * near_dedup.BUCKETS)).astype(np.uint16)
+    regs[4], regs[5, :150] = regs[2], regs[3, :150]
+    nodes, sizes = np.arange(10, 16), np.array([500, 500, 500, 500, 500, 500])
+    assert sorted(map(sorted, near_dedup._joined(nodes, nodes, sizes, regs, 85))) == [[12, 14], [13, 15]]
+    assert near_dedup._joined(nodes, np.array([1, 2, 3, 4, 3, 4]), sizes, regs, 85) == []
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     out = near_dedup.near_duplicates(odd).collect()
     assert len(out) == len(ODD)
