@@ -2,9 +2,9 @@
 
 The words of a text are hashed; each K of them in a row are a candidate, and it is an anchor if the least
 hash of its inner pairs of words lies at its first or last place. Whether a candidate is an anchor depends
-on its own words only, so equal passages have equal anchors wherever they stand. A fingerprint lists the
-anchors with the least hashes, each with its place, and its likeness to another is the share of common
-anchors among the least hashes of both. All of it is DataFrame functions on the JVM.
+on its own words only, so equal passages have equal anchors wherever they stand. A fingerprint lists all
+anchors by their hashes, each with its place, and its likeness to another is the share of common hashes
+among those of both. All of it is DataFrame functions on the JVM.
 
 Cases: a null text is empty, and so is its fingerprint; a text of fewer than K words has one anchor, the
 hash of the text; two empty fingerprints are alike (1), an empty one and another are not (0); rows with
@@ -19,8 +19,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words of an anchor, and anchors kept in a fingerprint.
-K, KEPT = 5, 48
+#: Words of an anchor.
+K = 5
 #: Bits of an anchor's number that hold its place, below those of its hash.
 PLACE_BITS = 24
 #: Rows dealt to one window of neighbours, and windows at most.
@@ -37,8 +37,8 @@ def _anchor(hashed: Column, place: Column) -> Column:
     return hashed.bitwiseAND(F.lit(~low)).bitwiseOR(F.least(place, F.lit(low)).cast("long"))
 
 
-def anchors(text: Column, kept: int = KEPT) -> Column:
-    """The kept anchors of a text as rising numbers: the hash in the upper 40 bits, the place below."""
+def anchors(text: Column, kept: int | None = None) -> Column:
+    """The anchors of a text, or the ``kept`` least, as rising numbers: the hash in the upper 40 bits, the place below."""
 
     def of_pairs(pairs: Column) -> Column:
         def look(first: Column, i: Column) -> Column:
@@ -48,13 +48,16 @@ def anchors(text: Column, kept: int = KEPT) -> Column:
             return F.when(at_edge, _anchor(F.xxhash64(first, inner[0], last), i))
 
         found = F.transform(F.slice(pairs, F.lit(1), F.size(pairs) - (K - 1)), look)
-        return let(F.array_sort(F.array_compact(found)), _first_places)
+        return F.array_sort(F.array_compact(found))
+
+    def cut(found: Column) -> Column:
+        return found if kept is None else F.slice(let(found, _first_places), 1, kept)
 
     def pick(words: Column) -> Column:
         short = F.when(F.length(text) == 0, F.array().cast("array<bigint>")).otherwise(F.array(_anchor(F.xxhash64(text), F.lit(0))))
         # The last word's pair is no pair, and is left out.
         pairs = F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1)))
-        return F.when(F.size(words) < K, short).otherwise(F.slice(let(pairs, of_pairs), 1, kept))
+        return F.when(F.size(words) < K, short).otherwise(cut(let(pairs, of_pairs)))
 
     return let(F.split(F.btrim(text, F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+"), pick)
 
@@ -68,28 +71,31 @@ def _first_places(rising: Column) -> Column:
     return F.filter(rising, lambda a, i: (i == 0) | (_hash(a) != _hash(F.get(rising, i - 1))))
 
 
-def likeness(a: Column, b: Column, kept: int = KEPT) -> Column:
-    """The share of common hashes among the least ones of both, 0 to 1."""
+def likeness(a: Column, b: Column) -> Column:
+    """The share of common hashes among those of both, 0 to 1."""
 
     def of(x: Column, y: Column) -> Column:
-        least = F.slice(F.array_sort(F.array_union(x, y)), 1, kept)
-        both = F.size(F.array_intersect(F.array_intersect(x, y), least))
-        return F.when(F.size(least) == 0, F.lit(1.0)).otherwise(both / F.size(least))
+        either = F.size(F.array_union(x, y))
+        return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(x, y)) / either)
 
     hashes = lambda c: F.transform(c, _hash)
     return let(hashes(a), lambda x: let(hashes(b), lambda y: of(x, y)))
 
 
 def common_places(a: Column, b: Column) -> Column:
-    """Where two fingerprints' common anchors stand: an array of (place in a, place in b)."""
+    """Where two fingerprints' common anchors stand first: an array of (place in a, place in b)."""
     low = F.lit((1 << PLACE_BITS) - 1)
-    pairs = F.transform(
-        a,
-        lambda x: F.transform(
-            F.filter(b, lambda y: _hash(y) == _hash(x)), lambda y: F.struct(x.bitwiseAND(low).alias("a"), y.bitwiseAND(low).alias("b"))
-        ),
-    )
-    return F.flatten(pairs)
+
+    def side(c: Column, n: int) -> Column:
+        one = lambda x: F.struct(_hash(x).alias("h"), F.lit(n).alias("s"), x.bitwiseAND(low).alias("p"))
+        return F.transform(let(c, _first_places), one)
+
+    def meet(rising: Column) -> Column:
+        after = lambda i: F.get(rising, i + 1)
+        found = F.transform(rising, lambda x, i: F.when(x["h"] == after(i)["h"], F.struct(x["p"].alias("a"), after(i)["p"].alias("b"))))
+        return F.array_compact(found)
+
+    return let(F.array_sort(F.concat(side(a, 0), side(b, 1))), meet)
 
 
 def shown(anchor_list: Column) -> Column:
@@ -136,39 +142,29 @@ def with_next(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     return both.select(*df.columns, *[F.col(f"_next.{c}").alias(f"next_{c}") for c in columns])
 
 
-def edited_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", kept: int = KEPT) -> DataFrame:
+def edited_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of texts and of edited texts, whose last third gives way to the start of the next document.
 
     Columns: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     """
     base = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    base = base.withColumn("_anchors", anchors(F.col("_text"), kept))
-    rows = with_next(base, "_id", ["_text", "_anchors"])
+    # Texts alone are shuffled: their anchors, which take as much room, are found again for the next row.
+    rows = with_next(base, "_id", ["_text"])
     third = F.floor(F.col("n_chars") / 3).cast("int")
     rows = rows.withColumn("n_chars", F.length("_text").cast("long"))
     edited = F.concat(
         F.substring(F.col("_text"), F.lit(1), (F.col("n_chars") - third).cast("int")), F.substring(F.col("next__text"), F.lit(1), third)
     )
-    return rows.select(
-        F.col("_id").alias(id_col),
-        "n_chars",
-        let(
-            edited,
-            lambda e: let(
-                anchors(e, kept),
-                lambda a: F.struct(
-                    F.sha2(e, 256).alias("sha"), shown(a).alias("shown"), likeness(F.col("_anchors"), a, kept).alias("near")
-                ),
-            ),
-        ).alias("_e"),
-        shown(F.col("_anchors")).alias("fingerprint"),
-        likeness(F.col("_anchors"), F.col("next__anchors"), kept).alias("near_next"),
-    ).select(
+    def compared(own: Column) -> Column:
+        other = let(edited, lambda e: let(anchors(e), lambda a: F.struct(F.sha2(e, 256).alias("sha"), shown(a).alias("shown"), likeness(own, a).alias("near"))))
+        return F.struct(shown(own).alias("shown"), other.alias("edited"), likeness(own, anchors(F.col("next__text"))).alias("next"))
+
+    return rows.select(F.col("_id").alias(id_col), "n_chars", let(anchors(F.col("_text")), compared).alias("_e")).select(
         id_col,
         "n_chars",
-        F.col("_e.sha").alias("edited_sha256"),
-        "fingerprint",
-        F.col("_e.shown").alias("edited_fingerprint"),
-        F.col("_e.near").alias("near_edited"),
-        "near_next",
+        F.col("_e.edited.sha").alias("edited_sha256"),
+        F.col("_e.shown").alias("fingerprint"),
+        F.col("_e.edited.shown").alias("edited_fingerprint"),
+        F.col("_e.edited.near").alias("near_edited"),
+        F.col("_e.next").alias("near_next"),
     )

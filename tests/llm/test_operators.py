@@ -419,6 +419,17 @@ def test_anchors_are_closed_syncmers_and_free_of_context(spark):
     assert {p.a - p.b for p in both} == {17}
 
 
+def test_fingerprints_keep_every_anchor(spark):
+    own = lambda c, n: [f"{c}{i * i}" for i in range(n)]
+    shared = own("s", 60)
+    a, b = " ".join(own("a", 3000) + shared), " ".join(shared + own("b", 3000))
+    df = spark.createDataFrame([(a, b, a.replace("a4000000 ", "changed "))], "a string, b string, c string")
+    x, y, z = (syncmers.anchors(F.col(c)) for c in "abc")
+    out = df.select(syncmers.common_places(x, y).alias("p"), syncmers.likeness(x, y).alias("n"), (x == z).alias("same"), F.size(x).alias("size")).first()
+    assert len(out.p) > 10 and {p.a - p.b for p in out.p} == {3000}
+    assert 0 < out.n < 0.05 and not out.same and out.size > 1000
+
+
 def test_neighbours_over_many_windows(spark, monkeypatch):
     monkeypatch.setattr(syncmers, "ROWS", 7)
     df = spark.createDataFrame([(i * 3, f"t{i}") for i in range(100)], "doc_id long, text string")
