@@ -1,13 +1,14 @@
 """Document fingerprints from closed syncmers.
 
-The words of a text are hashed; each K of them in a row are a candidate, and it is an anchor if the least
-hash of its inner pairs of words lies at its first or last place. Whether a candidate is an anchor depends
-on its own words only, so equal passages have equal anchors wherever they stand. A fingerprint lists all
+The letters are words, but characters in runs of a script without spaces, in runs of over ``LONG`` characters,
+and in texts that would have fewer than K letters. They are hashed; each K of them in a row are a candidate, and it is an anchor if the least
+hash of its inner pairs of letters lies at its first or last place. Whether a candidate is an anchor depends
+on its own letters only, so equal passages have equal anchors wherever they stand. A fingerprint lists all
 anchors by their hashes, each with its place, and its likeness to another is the share of common hashes
 among those of both. All of it is DataFrame functions on the JVM.
 
-Cases: a null text is empty, and so is its fingerprint; a text of fewer than K words has one anchor, the
-hash of the text; two empty fingerprints are alike (1), an empty one and another are not (0); rows with
+Cases: a null text is empty, and so is its fingerprint; a text of fewer than K characters has one
+anchor, the hash of the text; two empty fingerprints are alike (1), an empty one and another are not (0); rows with
 equal or null identifiers are neighbours in the order of their texts' hashes, null ones last; a single row
 is its own neighbour; an empty table gives no rows; other columns are not read.
 """
@@ -19,8 +20,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words of an anchor.
-K = 5
+#: Letters of an anchor, and characters of the longest run that is one letter.
+K, LONG = 5, 32
+#: A character of a script that is written without spaces.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]"
+_SPACE = r"[\x20\x09-\x0D]+"
 #: Bits of an anchor's number that hold its place, below those of its hash.
 PLACE_BITS = 24
 #: Rows dealt to one window of neighbours, and windows at most.
@@ -55,11 +59,21 @@ def anchors(text: Column, kept: int | None = None) -> Column:
 
     def pick(words: Column) -> Column:
         short = F.when(F.length(text) == 0, F.array().cast("array<bigint>")).otherwise(F.array(_anchor(F.xxhash64(text), F.lit(0))))
-        # The last word's pair is no pair, and is left out.
+        # The last letter's pair is no pair, and is left out.
         pairs = F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1)))
         return F.when(F.size(words) < K, short).otherwise(cut(let(pairs, of_pairs)))
 
-    return let(F.split(F.btrim(text, F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+"), pick)
+    return let(_letters(text), pick)
+
+
+def _letters(text: Column) -> Column:
+    """Words, or characters where a run or the text has too few words."""
+    trimmed = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
+    dense = UNSPACED + r"|[^\x20\x09-\x0D]{%d}" % (LONG + 1)
+    apart = lambda words: F.flatten(F.transform(words, lambda w: F.when(w.rlike(dense), F.split(w, "")).otherwise(F.array(w))))
+    whole = let(F.split(trimmed, _SPACE), lambda words: F.when(text.rlike(dense), apart(words)).otherwise(words))
+    characters = F.split(F.regexp_replace(trimmed, _SPACE, ""), "")
+    return let(whole, lambda letters: F.when(F.size(letters) < K, characters).otherwise(letters))
 
 
 def _hash(anchor: Column) -> Column:

@@ -430,6 +430,20 @@ def test_fingerprints_keep_every_anchor(spark):
     assert 0 < out.n < 0.05 and not out.same and out.size > 1000
 
 
+def test_anchors_of_texts_without_spaces(spark):
+    rnd = random.Random(5)
+    run = lambda lo, n: "".join(chr(lo + rnd.randrange(2000)) for _ in range(n))
+    for text in (run(0x4E00, 300), "".join(rnd.choice("abcdefghij") for _ in range(300)), "one two three"):
+        edited = text[: len(text) * 2 // 3] + "x"
+        df = spark.createDataFrame([(text, edited, f"ab cd {text} ef")], "a string, b string, c string")
+        x, y, z = (syncmers.anchors(F.col(c)) for c in "abc")
+        out = df.select(syncmers.likeness(x, y).alias("n"), syncmers.common_places(x, z).alias("p"), F.size(x).alias("size")).first()
+        assert out.n > 0.2 and out.size > 1
+        if len(text) == 300:
+            assert out.size > 100 and {p.b - p.a for p in out.p} == {2} and len(out.p) > 90
+    assert spark.createDataFrame([("a b",)], "a string").select(F.size(syncmers.anchors(F.col("a")))).first()[0] == 1
+
+
 def test_neighbours_over_many_windows(spark, monkeypatch):
     monkeypatch.setattr(syncmers, "ROWS", 7)
     df = spark.createDataFrame([(i * 3, f"t{i}") for i in range(100)], "doc_id long, text string")
