@@ -246,6 +246,14 @@ def test_clusters_and_kriging(spark):
     assert [out[i] for i in range(7)] == pytest.approx([2 * x for x in [0.0, 1.0, 3.0, 4.0, 8.0, 9.0, 10.0]], abs=1e-6)
 
 
+@pytest.mark.parametrize("step", [1.0, 0.0])
+def test_clusters_beyond_the_last_k_are_split(spark, step):
+    p = points(spark, [(i, step * i, step * (i * 7 % 30), 1.0) for i in range(30)])
+    out = geostat.clusterize(p, 3, most=4)
+    sizes = [r["count"] for r in out.groupBy("cluster").count().collect()]
+    assert sum(sizes) == 30 and max(sizes) <= 3 and out.select("id").distinct().count() == 30
+
+
 def test_variogram_fit(spark):
     rng = np.random.default_rng(2)
     p = points(spark, [(i, float(rng.uniform(0, 5)), float(rng.uniform(0, 5)), float(rng.normal())) for i in range(60)])
