@@ -254,6 +254,21 @@ def test_clusters_beyond_the_last_k_are_split(spark, step):
     assert sum(sizes) == 30 and max(sizes) <= 3 and out.select("id").distinct().count() == 30
 
 
+def test_registered_variograms_take_all_pairs(spark, monkeypatch):
+    from gyre.plans import queries, registry
+
+    n = geostat.MAX_POINTS + 100
+    p = points(spark, [(i, i % 40 * 1.37, i // 40 * 0.91, float(i % 7)) for i in range(n)])
+    monkeypatch.setattr(queries, "suppliers", lambda *_: p)
+    assert registry.QUERIES["variogram_pairs"](spark, "").count() == n * (n - 1) // 2
+    gaps = points(spark, [(i, float(i), 0.0, None if i % 2 else 1.0) for i in range(20)])
+    assert geostat.variogram_pairs(gaps, most=10).count() == 45
+    seen = []
+    monkeypatch.setattr(geostat, "empirical_variogram", lambda *_, most=0, **__: seen.append(most) or spark.createDataFrame([(0, 1.0, 1.0)], "bin int, dist double, gamma double"))
+    registry.QUERIES["variogram_bins"](spark, "")
+    assert seen == [None]
+
+
 def test_variogram_fit(spark):
     rng = np.random.default_rng(2)
     p = points(spark, [(i, float(rng.uniform(0, 5)), float(rng.uniform(0, 5)), float(rng.normal())) for i in range(60)])
