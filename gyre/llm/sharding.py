@@ -113,6 +113,7 @@ def extendible_shards(
 
 
 def write_shards(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = SHARD_BYTES) -> None:
-    """Write ``df`` as Parquet with one folder for each shard, ``shard_id=...``; a column of that name gives way, and rows without identifier are left out."""
-    shards = extendible_shards(df, id_col, text_col, limit).select(id_col, F.col("shard_id")).distinct()
-    df.drop("shard_id").join(shards, id_col).repartition("shard_id").write.partitionBy("shard_id").parquet(path)
+    """Write ``df`` as Parquet with one folder for each shard, ``shard_id=...``; a column of that name gives way."""
+    shards = extendible_shards(df, id_col, text_col, limit).select(F.col(id_col).alias("_shard_of"), "shard_id").distinct()
+    rows = df.drop("shard_id")
+    rows.join(shards, rows[id_col].eqNullSafe(F.col("_shard_of"))).drop("_shard_of").repartition("shard_id").write.partitionBy("shard_id").parquet(path)

@@ -86,6 +86,13 @@ def test_shards_of_odd_rows(odd, none, tmp_path):
     assert odd.sparkSession.read.parquet(str(tmp_path / "s")).count() == len(ODD) - 1
 
 
+def test_written_shards_keep_rows_without_identifier(odd, tmp_path):
+    sharding.write_shards(odd, str(tmp_path / "s"), limit=100)
+    back = odd.sparkSession.read.parquet(str(tmp_path / "s"))
+    assert back.count() == len(ODD) and back.where("doc_id IS NULL").count() == 1
+    assert sorted(back.columns) == sorted(odd.columns)
+
+
 # 2
 
 
