@@ -11,7 +11,8 @@ reaches are records; version lines inside payloads, even of whole fake records,
 back into the payload around them. What travels by file is two offsets a candidate, and a file's
 candidates are bounded by its size (archives are rolled at about 1 GB).
 
-Cases: a null payload is empty; a null URL gives no target header; line ends in a URL become spaces; a
+Cases: a null payload is empty; a null URL gives no target header; line ends in a URL become spaces, and
+the W of a version string at its end %57; a chain that breaks before its last candidate is an error; a
 null identifier comes back as null and, among equal payloads, revisits the largest identifier, or is a
 response where none has one; rows that repeat identifier and payload are all responses; an empty table
 gives no records; other columns are not read.
@@ -53,7 +54,7 @@ def write_warc(
     """Write one record a row into WARC files in the folder ``path``."""
     rows = df.select(
         F.col(id_col).alias("_id"),
-        F.regexp_replace(F.col(url_col).cast("string"), r"[\r\n]+", " ").alias("_url"),
+        F.regexp_replace(F.regexp_replace(F.col(url_col).cast("string"), r"[\r\n]+", " "), r"WARC/1\.0\z", "%57ARC/1.0").alias("_url"),
         F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("_payload"),
     )
     rows = rows.withColumn("_digest", base32_sha1("_payload"))
@@ -104,6 +105,7 @@ def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
     n = len(at)
     jump = np.searchsorted(at, to)
     jump[(jump < n) & (at[np.minimum(jump, n - 1)] != to)] = n
+    lost = (to < 0) | ((jump == n) & (to <= at.max(initial=-1)))
     jump = np.append(jump, n)
     reached = np.zeros(n + 1, bool)
     reached[0] = n > 0 and at[0] == 0
@@ -113,6 +115,8 @@ def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
         if (more == reached).all():
             break
         reached, jump = more, jump[jump]
+    if (reached[:n] & lost).any():
+        raise ValueError(f"{pdf['_file'].iloc[0]}: no record where the one at {at[reached[:n] & lost][0]} ends")
     pdf["_reached"] = reached[:n]
     return pdf[["_file", "_nr", "_at", "_reached"]]
 

@@ -4,6 +4,7 @@ import sys
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -186,6 +187,14 @@ def test_warc(spark, tmp_path, compression, split):
     assert {r.refers_to for r in rows if r.record_id == "<urn:page:1>"} == {"<urn:page:2>"}
 
 
+def test_warc_of_a_url_that_ends_in_a_version(spark):
+    rows = [(i, "http://a/WARC/1.0" if i == 2 else f"http://a/{i}", f"page {i}") for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    assert sorted(r.page_id for r in warc.warc_round_trip(df).collect()) == list(range(6))
+    with pytest.raises(ValueError):
+        warc._chain(pd.DataFrame({"_file": "f", "_nr": [0, 1, 2], "_at": [0, 50, 90], "_next": [50, -1, 120]}))
+
+
 def test_warc_round_trip(spark):
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string").withColumn("payload_digest", F.lit(1))
     out = warc.warc_round_trip(df).collect()
