@@ -13,12 +13,18 @@ input are not read, whatever their names; an empty table gives no rows.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gyre.llm.session import shared_dir, written
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk. Without the last setting each store takes some MB of disk ahead, however few its keys.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def sha256(text: Column) -> Column:
@@ -32,66 +38,58 @@ def exact_dedup(
     text_col: str = "text",
     digest=sha256,
     max_bytes_per_batch: int = 64 << 30,
+    locators: bool = False,
 ) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256; the largest id of equal texts stays.
 
-    ``path`` is a Parquet file or folder, ``digest`` a function of the text column (the check on full
-    bytes makes the result the same for any), ``max_bytes_per_batch`` bounds a micro-batch.
+    ``path`` is a Parquet file, folder or pattern as Spark's readers take it, ``digest`` a function of the text
+    column (the check on full bytes makes the result the same for any), ``max_bytes_per_batch`` bounds a
+    micro-batch. ``locators`` adds keep_file and keep_row, where the text that stays is found.
     """
     rows = _rows(spark.read.parquet(path), id_col, text_col, digest)
     state = _state(spark, path, rows, id_col, text_col, digest, max_bytes_per_batch)
     hits = rows.join(state.where("_n > 1").select("_digest"), "_digest", "left_semi")
-    classes = hits.groupBy("_digest", "_text").agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_n"))
+    classes = hits.groupBy("_digest", "_text").agg(F.max("_at").alias("_keep"), F.count(F.lit(1)).alias("_n"))
     shared = classes.groupBy("_digest").agg(F.count(F.lit(1)).alias("_classes")).where("_classes > 1").select("_digest")
     shared = written(shared, "exact-dedup-shared")
-    plain = (
-        rows.drop("_text")
-        .join(state, "_digest")
-        .join(shared, "_digest", "left_anti")
-        .select("_id", "_sha", "_keep", "_n")
-    )
+    plain = rows.drop("_text").join(state, "_digest").join(shared, "_digest", "left_anti")
     if shared.isEmpty():
-        return _named(plain, id_col)
-    parted = (
-        rows.join(shared, "_digest", "left_semi")
-        .join(classes, ["_digest", "_text"])
-        .select("_id", "_sha", "_keep", "_n")
-    )
-    return _named(plain.unionByName(parted), id_col)
+        return _named(plain, id_col, locators)
+    parted = rows.join(shared, "_digest", "left_semi").join(classes, ["_digest", "_text"])
+    columns = ["_at", "_sha", "_keep", "_n"]
+    return _named(plain.select(*columns).unionByName(parted.select(*columns)), id_col, locators)
 
 
-def _named(rows: DataFrame, id_col: str) -> DataFrame:
+def _named(rows: DataFrame, id_col: str, locators: bool) -> DataFrame:
     return rows.select(
-        F.col("_id").alias(id_col),
-        F.col("_keep").alias("keep_id"),
+        F.col("_at.id").alias(id_col),
+        F.col("_keep.id").alias("keep_id"),
         F.col("_n").alias("group_size"),
-        F.col("_id").eqNullSafe(F.col("_keep")).alias("kept"),
+        F.col("_at.id").eqNullSafe(F.col("_keep.id")).alias("kept"),
         F.col("_sha").alias("text_sha256"),
+        *([F.col("_keep.file").alias("keep_file"), F.col("_keep.row").alias("keep_row")] if locators else []),
     )
 
 
 def _rows(df: DataFrame, id_col: str, text_col: str, digest) -> DataFrame:
-    """Identifier, text, digest and SHA-256 of each row."""
+    """Identifier with locator (_at), text, digest and SHA-256 of each row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.select(
-        F.col(id_col).alias("_id"), text.alias("_text"), digest(text).alias("_digest"), sha256(text).alias("_sha")
-    )
+    at = F.struct(F.col(id_col).alias("id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return df.select(at.alias("_at"), text.alias("_text"), digest(text).alias("_digest"), sha256(text).alias("_sha"))
 
 
 def _state(spark, path, rows, id_col, text_col, digest, max_bytes) -> DataFrame:
-    """Run the stream to its end; the last state of each digest: _digest, _keep, _n."""
+    """Run the stream to its end; the last state of each digest: _digest, _keep (identifier and locator), _n."""
     place = shared_dir(spark, "exact-dedup")
     updates = f"{place}/updates"
-    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    try:
+    with settings(spark, STATE):
         schema = spark.read.parquet(path).select(id_col, text_col).schema
         # A pattern, since a stream takes a single file by a pattern only.
         files = f"{path[:-1]}[{path[-1]}]" if path[-1].isalnum() else path
         stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(max_bytes)).parquet(files)
         keyed = _rows(stream, id_col, text_col, digest).groupBy("_digest")
         query = (
-            keyed.agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_n"))
+            keyed.agg(F.max("_at").alias("_keep"), F.count(F.lit(1)).alias("_n"))
             .writeStream.outputMode("update")
             .option("checkpointLocation", f"{place}/checkpoint")
             .foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(f"{updates}/batch={batch}"))
@@ -99,12 +97,7 @@ def _state(spark, path, rows, id_col, text_col, digest, max_bytes) -> DataFrame:
             .start()
         )
         query.awaitTermination()
-    finally:
-        if old is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
-    kind = rows.schema["_id"].dataType.simpleString()
+    kind = rows.schema["_at"].dataType.simpleString()
     empty = spark.createDataFrame([], f"_digest string, _keep {kind}, _n bigint")
     if not _exists(spark, updates):
         return empty
@@ -112,6 +105,19 @@ def _state(spark, path, rows, id_col, text_col, digest, max_bytes) -> DataFrame:
     return seen.groupBy("_digest").agg(F.max("_keep").alias("_keep"), F.max("_n").alias("_n"))
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Set settings of the session for a while."""
+    old = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)

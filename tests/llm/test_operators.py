@@ -363,6 +363,17 @@ def test_exact_dedup_checks_bytes_under_shared_digests(spark, tmp_path, digits):
     assert {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in out} == want
 
 
+def test_state_keeps_the_locator_over_micro_batches(spark, tmp_path):
+    rows = [(i, f"text {i % 40}") for i in range(200)]
+    path = saved(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), tmp_path / "d")
+    out = exact_dedup(spark, path, max_bytes_per_batch=1, locators=True).collect()
+    place = {(r.f, r.n): (r.doc_id, r.text) for r in spark.read.parquet(path).select("doc_id", "text", F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("n")).collect()}
+    assert len({f for f, _ in place}) > 1
+    for r in out:
+        assert r.group_size == 5 and place[r.keep_file, r.keep_row] == (r.keep_id, f"text {r.doc_id % 40}")
+    assert spark.conf.get("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", None) is None
+
+
 def test_exact_dedup_of_odd_rows(spark, odd, none, tmp_path):
     out = exact_dedup(spark, saved(odd, tmp_path / "o")).collect()
     assert len(out) == len(ODD)
