@@ -16,6 +16,7 @@ identifiers are rows like others; other columns are not read; an empty table giv
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gyre.llm.session import small_batches
-from gyre.llm.text import LOWER, Words, _Powers, mix, slices, text_buffers
+from gyre.llm.text import LOWER, Words, mix, slices, text_buffers
 
 #: Labelled texts learned from, for each label; passes over them; texts of one step.
 SAMPLE, EPOCHS, STEP = 300, 4, 24
@@ -37,12 +38,22 @@ CHUNK = 32
 UNDECIDED = "und"
 
 
+_BASE = 0x9E3779B97F4A7C15
+
+
+@functools.cache
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """2**bits powers of an odd constant and of its inverse, modulo 2**64: a feature may share its place with others."""
+    up, down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full((1 << bits) - 1, np.uint64(x))]), dtype=np.uint64) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+    return up, down
+
+
 class Features:
     """Places in the weight table of each word's features: ``whole`` (words x features), ``gram`` and its word."""
 
     def __init__(self, words: Words):
         data, n = words.data, len(words.data)
-        up, down = _Powers.to(n + 1)
+        up, down = _powers(n.bit_length())
         total = np.zeros(n + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
         start, end = words.start, words.end

@@ -37,7 +37,6 @@ WINDOW = 20
 HOT = 5_000
 #: Bytes of a word's hash in a stretch.
 WORD_BYTES = 6
-_PLACE = np.uint64((1 << 24) - 1)
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -62,17 +61,17 @@ class Anchored:
             return
         # Hashes of k words at every place, also across texts: those windows are left out below.
         gram, _ = grams(hashes, np.zeros(len(hashes), np.int8), k)
-        least = (gram & ~_PLACE) | np.arange(len(gram), dtype=np.uint64)
-        span = 1
+        lesser = lambda a, b: np.where(gram[b] < gram[a], b, a)
+        least, span = np.arange(len(gram)), 1
         while 2 * span <= inner:
-            least = np.minimum(least[:-span], least[span:])
+            least = lesser(least[:-span], least[span:])
             span *= 2
         if span < inner:
-            least = np.minimum(least[: -(inner - span)], least[inner - span :])
+            least = lesser(least[: -(inner - span)], least[inner - span :])
         at = np.flatnonzero(words.doc[:count] == words.doc[window - 1 :])
         if not len(at):
             return
-        place = (least[at] & _PLACE).astype(np.int64)
+        place = least[at]
         opens = np.ones(len(at), bool)
         opens[1:] = (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)
         first = np.flatnonzero(opens)

@@ -1,11 +1,13 @@
 """Words, hashes and runs over whole Arrow batches of texts, as numpy arrays.
 
 A batch is handled in slices of bounded bytes, so that the arrays stay small beside the texts.
-Hashes are sums of random 64-bit values times powers of an odd constant, modulo 2**64, then mixed.
+A word's hash is its polynomial modulo two primes; modulo a power of two, some long words would share one
+hash by their build alone, whatever the base. Hashes of several words mix the hashes of their halves.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +19,10 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BYTES = np.random.default_rng(20240601).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: The primes, with a base for each.
+_FIELDS = [((1 << 31) - 1, 1_103_515_243), ((1 << 31) - 19, 1_812_433_253)]
+_CODES = np.random.default_rng(20240601).permutation(1 << 11)[:256].astype(np.uint64) + np.uint64(1)
+_NEXT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -30,20 +34,36 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class _Powers:
-    """Powers of the base and of its inverse, grown on demand."""
-
-    up = np.ones(1, np.uint64)
-    down = np.ones(1, np.uint64)
-
-    @classmethod
-    def to(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            m = 1 << (n - 1).bit_length()
-            inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-            cls.up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(m - 1, _BASE)]), dtype=np.uint64)
-            cls.down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(m - 1, inverse)]), dtype=np.uint64)
-        return cls.up, cls.down
+@functools.cache
+def _powers(field: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a field's base and of its inverse, up to the n-th."""
+    prime, base = _FIELDS[field]
+    out = []
+    for x in (base, pow(base, -1, prime)):
+        powers = np.ones(n + 1, np.uint64)
+        done = 1
+        while done <= n:
+            more = min(done, n + 1 - done)
+            powers[done : done + more] = powers[:more] * np.uint64(pow(x, done, prime)) % np.uint64(prime)
+            done += more
+        out.append(powers)
+    return out[0], out[1]
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes."""
+    n = len(data)
+    out, codes = mix((end - start).astype(np.uint64)), _CODES[data]
+    total = np.zeros(n + 1, np.uint64)
+    for field, (prime, _) in enumerate(_FIELDS):
+        up, down = _powers(field, 1 << max(20, (n - 1).bit_length()))
+        p = np.uint64(prime)
+        terms = codes * up[:n]
+        if n > SLICE_BYTES:  # for fewer, codes of 11 bits and powers of 31 sum up to less than 2**64
+            terms %= p
+        np.cumsum(terms, out=total[1:])
+        out = mix(out * _NEXT + (total[end] - total[start]) % p * down[start] % p)
+    return out
 
 
 def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -101,12 +121,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
-        n = len(self.data)
-        up, down = _Powers.to(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTES[self.data] * up[:n], out=total[1:])
-        h = (total[self.end] - total[self.start]) * down[self.start]
-        return mix(h + (self.end - self.start).astype(np.uint64))
+        return span_hashes(self.data, self.start, self.end)
 
 
 def grams(h: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,8 +129,14 @@ def grams(h: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarra
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    up, down = _Powers.to(len(h) + 1)
-    total = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * up[: len(h)], out=total[1:])
+    # Runs of 1, 2, 4, ... values; those whose sizes add up to k are joined from the left.
+    run, size, out, taken = h, 1, None, 0
+    while True:
+        if k & size:
+            out = mix(run[:n] + np.uint64(k)) if out is None else mix(out * _NEXT + run[taken : taken + n])
+            taken += size
+        if taken == k:
+            break
+        run, size = mix(run[:-size] * _NEXT + run[size:]), 2 * size
     at = np.flatnonzero(doc[:n] == doc[k - 1 :])
-    return mix((total[at + k] - total[at]) * down[at] + np.uint64(k)), at
+    return out[at], at
