@@ -14,9 +14,11 @@ component are compared only until they are connected.
 Two nodes at the threshold share a band but for a chance of 1e-9 (at 0.85), and have some ten bands in common.
 Any band that they share connects them, unless the estimate of the two themselves is ``SLACK`` too low.
 
-A coarse component with many shingles is dealt to blocks. Blocks are solved alone, and then those nodes that
-are not in a component's largest part so far are compared with all its nodes, ``PIVOTS`` at a time, until
-none is left: every pair of nodes from different parts has then been decided.
+A band with many nodes is dealt to units of two blocks, such that every two nodes of different parts meet in one;
+no task holds a whole band. A coarse component with many shingles is dealt to blocks as well. Blocks are solved
+alone, and then those nodes that are not in a component's largest part so far are compared with all its nodes, in
+units of ``PIVOTS`` nodes and a block, four times as many in each round, until none is left: every pair of nodes
+from different parts has then been decided.
 
 Cases: documents without words have an empty set and are linked with nothing; fewer words than a shingle has
 are one shingle; a null identifier comes after all others; rows that repeat an identifier are documents of
@@ -40,8 +42,8 @@ BAND = 5
 EMPTY = 0xFFFF
 #: How far below the threshold an estimate may lie before its pair drops out: ten standard errors.
 SLACK = 0.30
-#: Shingles of one block, and nodes compared with all of a component at a time.
-BLOCK, PIVOTS = 1_000_000, 256
+#: Shingles and nodes of one block, and nodes compared with it at a time.
+BLOCK, NODES, PIVOTS = 1_000_000, 4096, 256
 #: For each register the order in which, where it is empty, the others of its function are asked.
 _ORDER = np.stack([np.random.default_rng(i).permutation(BUCKETS) for i in range(BUCKETS)], 1)
 _SALT = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)]
@@ -198,21 +200,21 @@ def _joined(nodes: np.ndarray, labels: np.ndarray, sizes: np.ndarray, regs: np.n
 
 
 def _compare(percent: int):
-    """Pairs that connect the parts of each band, from nodes sorted by band."""
+    """Pairs that connect the parts of each unit of a band, from nodes sorted by unit."""
 
     def run(batches):
         key, group, out = None, [], []
 
         def done():
             nodes, labels, sizes = (np.array(x, np.int64) for x in list(zip(*group))[:3])
-            regs = np.frombuffer(b"".join(x[3] for x in group), np.uint16).reshape(len(group), -1)
+            regs = np.frombuffer(b"".join([x[3] for x in group]), np.uint16).reshape(len(group), -1)
             return _joined(nodes, labels, sizes, regs, percent)
 
         for batch in batches:
-            for k, *row in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if k != key:
+            for k, u, v, *row in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                if (k, u, v) != key:
                     out += done() if group else []
-                    key, group = k, []
+                    key, group = (k, u, v), []
                 group.append(row)
             if len(out) > 50_000:
                 yield _pairs(out)
@@ -299,7 +301,7 @@ def _pairs(rows) -> pa.RecordBatch:
 
 
 def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, lower: bool = True, block: int = BLOCK, pivots: int = PIVOTS
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, lower: bool = True, block: int = BLOCK, nodes: int = NODES, pivots: int = PIVOTS
 ) -> DataFrame:
     """One row per row: id, n_shingles, component_id (the least identifier reachable over links), kept.
 
@@ -320,7 +322,7 @@ def near_duplicates(
         .agg(F.min("_h").alias("_h"), F.first("_regs").alias("_regs"))
     )
     standing = written(standing, "near-nodes")
-    links = _links(docs, standing, kind, words, percent, lower, block, pivots)
+    links = _links(docs, standing, kind, words, percent, lower, block, nodes, pivots)
     found = components(links)
     named = standing.select("_a", "_b", "_min").join(found, F.col("_a") == F.col("_node"))
     least = named.groupBy("_comp").agg(F.min("_min").alias("_least"))
@@ -335,7 +337,7 @@ def near_duplicates(
     )
 
 
-def _links(docs: DataFrame, standing: DataFrame, kind: str, words: int, percent: int, lower: bool, block: int, pivots: int) -> DataFrame:
+def _links(docs: DataFrame, standing: DataFrame, kind: str, words: int, percent: int, lower: bool, block: int, nodes_of_block: int, pivots: int) -> DataFrame:
     """Exact links that connect the components: _x, _y."""
     spark = docs.sparkSession
     bands = standing.select("_a", "_regs").mapInArrow(_bands, "_key bigint, _a bigint")
@@ -358,16 +360,17 @@ def _links(docs: DataFrame, standing: DataFrame, kind: str, words: int, percent:
     still = written(parted.join(still, "_key"), "near-open")
     if not still.isEmpty():
         met = (
-            still.join(regs, "_a")
-            .select("_key", "_a", "_label", "_n", "_regs")
-            .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_key")
-            .sortWithinPartitions("_key", "_a")
+            _units(still, nodes_of_block)
+            .join(regs, "_a")
+            .select("_key", "_u", "_v", "_a", "_label", "_n", "_regs")
+            .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_key", "_u", "_v")
+            .sortWithinPartitions("_key", "_u", "_v", "_a")
             .mapInArrow(_compare(percent), "_x bigint, _y bigint")
         )
         met = written(met, "near-met")
         coarse = components(close.unionByName(met)) if not met.isEmpty() else coarse
     inside = standing.join(coarse, F.col("_a") == F.col("_node")).select("_a", "_n", F.col("_min").alias("_i"), F.col("_h").alias("_g"), "_comp")
-    parts = inside.groupBy("_comp").agg(F.ceil(F.sum("_n") / block).alias("_parts"))
+    parts = inside.groupBy("_comp").agg(F.greatest(F.ceil(F.sum("_n") / block), F.ceil(F.count(F.lit(1)) / nodes_of_block)).alias("_parts"))
     inside = inside.join(parts, "_comp").withColumn("_part", F.pmod(F.col("_a"), F.col("_parts")))
     chosen = docs.join(inside, docs["_id"].eqNullSafe(inside["_i"]) & (docs["_h"] == inside["_g"]))
     members = chosen.select("_text", "_comp", "_part", "_a").mapInArrow(_members(words, lower), "_comp bigint, _part bigint, _a bigint, _set binary")
@@ -379,7 +382,7 @@ def _links(docs: DataFrame, standing: DataFrame, kind: str, words: int, percent:
     )
     links = written(solve(members.withColumn("_pivot", F.lit(False))), "near-links")
     large = written(inside.where("_parts > 1").select("_comp", "_parts", "_part", "_a"), "near-large")
-    used = None
+    used, most = None, pivots
     while not large.isEmpty():
         # Nodes outside of their component's largest part so far, and one inside it for each block at first.
         label = _labelled(large, links)
@@ -392,22 +395,58 @@ def _links(docs: DataFrame, standing: DataFrame, kind: str, words: int, percent:
         else:
             outside = label.where("_label <> _main").join(used, ["_comp", "_a"], "left_anti")
             next_up = outside.select("_comp", "_a")
-        turn = _first_of_each(next_up, "_comp", "_a", pivots)
+        turn = _first_of_each(next_up, "_comp", "_a", most)
         turn = written(turn, "near-pivots")
         if used is not None and turn.isEmpty():
             break
-        used = turn if used is None else written(used.unionByName(turn), "near-used")
+        used, most = turn if used is None else written(used.unionByName(turn), "near-used"), 4 * most
+        # A unit is a block with some of the pivots.
+        shares = turn.groupBy("_comp").agg(F.ceil(F.count(F.lit(1)) / pivots).alias("_shares"))
+        shares = large.select("_comp", "_parts").distinct().join(shares, "_comp")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         sent = (
             turn.join(members.select("_comp", "_a", "_set"), ["_comp", "_a"])
-            .join(large.select("_comp", "_parts").distinct(), "_comp")
-            .withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+            .join(shares, "_comp")
+            .withColumn("_part", each("_parts"))
+            .withColumn("_part", F.col("_part") * F.col("_shares") + F.pmod(F.xxhash64("_a"), F.col("_shares")))
             .select("_comp", "_part", "_a", "_set", F.lit(True).alias("_pivot"))
         )
-        against = members.join(large.select("_comp").distinct(), "_comp", "left_semi").withColumn("_pivot", F.lit(False))
+        against = (
+            members.join(shares, "_comp")
+            .withColumn("_share", each("_shares"))
+            .withColumn("_part", F.col("_part") * F.col("_shares") + F.col("_share"))
+            .select("_comp", "_part", "_a", "_set", F.lit(False).alias("_pivot"))
+        )
         links = written(links.unionByName(solve(against.unionByName(sent))), "near-links")
     return links
 
 
+def _units(still: DataFrame, size: int) -> DataFrame:
+    """Deal the nodes of bands (_key, _a, _label) to units (_u, _v) of at most about twice ``size`` of them.
+
+    Nodes of a band's largest part make blocks of their own, which meet those of the others but not each other.
+    """
+    counts = still.groupBy("_key", "_label").agg(F.count(F.lit(1)).alias("_c"))
+    bands = counts.groupBy("_key").agg(F.max(F.struct("_c", "_label")).alias("_top"), F.sum("_c").alias("_all"))
+    bands = bands.select(
+        "_key",
+        F.col("_top._label").alias("_main"),
+        F.when(F.col("_all") > 2 * size, F.ceil((F.col("_all") - F.col("_top._c")) / size)).alias("_others"),
+        F.ceil(F.col("_top._c") / size).alias("_mains"),
+    )
+    others, mains = F.col("_others"), F.col("_mains")
+    own = lambda blocks: F.pmod(F.xxhash64("_a"), blocks)
+    every = lambda blocks, unit: F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), unit)
+    unit = lambda u, v: F.struct(u.alias("u"), v.alias("v"))
+    among = F.filter(every(others, lambda x: unit(F.least(x, own(others)), F.greatest(x, own(others)))), lambda x: x["u"] < x["v"])
+    other = F.concat(among, every(mains, lambda m: unit(own(others), others + m)))
+    main = every(others, lambda x: unit(x, others + own(mains)))
+    whole = F.array(unit(F.lit(0).cast("long"), F.lit(0).cast("long")))
+    units = F.when(others.isNull(), whole).when(F.col("_label") == F.col("_main"), main).otherwise(other)
+    dealt = still.join(bands, "_key").select("_key", "_a", "_label", F.explode(units).alias("_unit"))
+    return dealt.select("_key", F.col("_unit.u").alias("_u"), F.col("_unit.v").alias("_v"), "_a", "_label")
+
+
 def _labelled(large: DataFrame, links: DataFrame) -> DataFrame:
     found = components(links).withColumnsRenamed({"_node": "_a", "_comp": "_label"})
     return large.join(found, "_a", "left").select("_comp", "_parts", "_part", "_a", F.coalesce("_label", "_a").alias("_label"))

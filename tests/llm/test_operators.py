@@ -114,7 +114,7 @@ def copies():
     return rows + [(1000 + i, " ".join(f"y{rnd.randint(0, 5)}" for _ in range(rnd.randint(0, 8)))) for i in range(80)]
 
 
-@pytest.mark.parametrize("k,percent,options", [(3, 85, {}), (5, 80, {}), (3, 85, {"block": 4000, "pivots": 8})])
+@pytest.mark.parametrize("k,percent,options", [(3, 85, {}), (5, 80, {}), (3, 85, {"block": 4000, "pivots": 8}), (5, 80, {"nodes": 20, "pivots": 2})])
 def test_near_duplicates(spark, copies, k, percent, options):
     df = spark.createDataFrame(copies, "doc_id long, text string")
     assert near(df, words=k, percent=percent, **options) == brute.components(copies, k, percent)
@@ -130,6 +130,32 @@ def test_near_duplicates_of_frequent_lines(spark):
     assert near(docs(spark, rows), words=3, percent=85) == brute.components(rows, 3, 85)
 
 
+@pytest.mark.parametrize("options", [{}, {"nodes": 30, "pivots": 4}])
+def test_near_duplicates_among_texts_with_a_common_phrase(spark, options):
+    rows, n = [], 0
+    for pair in range(12):
+        a = [f"a{pair}w{j}" for j in range(8)]
+        for i in range(302):
+            own = f"p{pair}o{i}"
+            text = a if i == 150 else [*a, "more"] if i == 151 else [own, *a[i % 3 : i % 3 + 6], f"{own}x"]
+            rows.append((n, " ".join(text)))
+            n += 1
+    want = brute.components(rows, 3, 85)
+    assert sum(c != i for i, (_, c) in want.items()) >= 12
+    assert near(docs(spark, rows), words=3, percent=85, **options) == want
+
+
+def test_units_of_a_band_let_all_parts_meet(spark):
+    rows = [(k, a, 7 if a < 30 else a) for k, n in ((1, 55), (2, 12), (3, 31)) for a in range(n)]
+    out = near_dedup._units(spark.createDataFrame(rows, "_key long, _a long, _label long"), 10).collect()
+    units = {}
+    for r in out:
+        units.setdefault((r._key, r._u, r._v), {})[r._a] = r._label
+    assert max(map(len, units.values())) < 40 and len(out) == len({(r._key, r._u, r._v, r._a) for r in out})
+    met = {(k, *sorted((a, b))) for (k, *_), g in units.items() for a in g for b in g if g[a] != g[b]}
+    assert met == {(k, a, b) for k, a, x in rows for h, b, y in rows if k == h and a < b and x != y}
+
+
 def test_parts_of_a_band_meet_past_its_least_node():
     rng = np.random.default_rng(0)
     regs = rng.integers(0, 60_000, (6, near_dedup.FUNCTIONS * near_dedup.BUCKETS)).astype(np.uint16)
@@ -512,6 +538,31 @@ def test_packing(spark, odd, none, monkeypatch):
     assert packing.pack(odd, P.path("byte_bpe_50k.json")).select("doc_id").distinct().count() == 8
 
 
+def test_long_words_built_alike_have_hashes_of_their_own(spark):
+    word, swap = "a", str.maketrans("ab", "ba")
+    for _ in range(10):
+        word += word.translate(swap)
+    common = [f"c{i}" for i in range(25)]
+    rows = [(1, " ".join([*common[:12], word, *common[12:]])), (2, " ".join([*common[:12], word.translate(swap), *common[12:]]))]
+    out = substring_dedup.substring_dedup(docs(spark, rows)).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in out} == brute.passages(rows, 20)
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 5, 6, 7, 20])
+def test_grams_part_what_differs(k):
+    from gyre.llm.text import Words, grams, text_buffers
+
+    rnd = random.Random(k)
+    texts = [[f"x{rnd.randint(0, 2)}" for _ in range(n)] for n in (300, 0, 5, 300)]
+    w = Words(*text_buffers(pa.array([" ".join(t) for t in texts])))
+    value, at = grams(w.hashes(), w.doc, k)
+    flat = [x for t in texts for x in t]
+    seen = {}
+    for h, i in zip(value.tolist(), at.tolist()):
+        assert seen.setdefault(h, flat[i : i + k]) == flat[i : i + k]
+    assert len(at) == sum(max(len(t) - k + 1, 0) for t in texts) and len(seen) == len({tuple(flat[i : i + k]) for i in at})
+
+
 def test_words_and_slices():
     from gyre.llm.text import Words, slices, text_buffers
 
