@@ -8,15 +8,21 @@ the length, so the best earlier cut is the minimum of a sliding window, kept in
 cut enters and leaves it once.
 
 Documents keep their order within a task, and each task packs its own, in blocks of bounded tokens: no
-shuffle, and memory that does not follow the input.
+shuffle, and memory that does not follow the input. The last window of a block goes over to the next, so that
+only the last sequence of a task is short.
+
+Added tokens of the vocabulary file stand for themselves wherever their string occurs in a text, as the
+library has it; ``special_as_text`` makes these strings ordinary text.
 
 Cases: a null text is empty and has one token, the end mark; repeated identifiers are documents of their
-own; other columns are not read; an empty table gives no rows.
+own; other columns are not read; an empty table gives no rows; a vocabulary whose added tokens take white
+space beside them, or stand for whole words only, is an error.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from collections import deque
 from itertools import chain
@@ -84,7 +90,7 @@ def candidates(total: int, doc_ends: np.ndarray, sentence_ends: np.ndarray) -> t
 class Coder:
     """Identifiers of texts by a vocabulary file of the ``tokenizers`` library, piece by piece."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
@@ -94,8 +100,22 @@ class Coder:
         self.closes = np.zeros(self.n, bool)
         for token, i in tokenizer.get_vocab().items():
             self.closes[i] = token[-1] in ".!?" or shown[10] in token
+        added = {} if special_as_text else {t.content: (i, t) for i, t in tokenizer.get_added_tokens_decoder().items()}
+        if any(t.lstrip or t.rstrip or t.single_word for _, t in added.values()):
+            raise ValueError(f"{path}: added tokens that depend on what stands beside them")
+        self.added = {content: i for content, (i, _) in added.items()}
+        self.marks = re.compile("(" + "|".join(re.escape(c) for c in sorted(self.added, key=len, reverse=True)) + ")") if added else None
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not any(c in t for t in texts for c in self.added):
+            return self._plain(texts)
+        # Parts between added tokens at even places, added tokens at odd ones.
+        parts = [self.marks.split(t) for t in texts]
+        plain = iter(self._plain([p for part in parts for p in part[::2]]))
+        mark = lambda c: np.array([self.added[c]], np.uint32)
+        return [np.concatenate([mark(p) if i % 2 else next(plain) for i, p in enumerate(part)]) for part in parts]
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
         pieces, first = cut(texts)
         first = first.tolist()
         return [
@@ -112,11 +132,13 @@ def _byte_letters() -> list[str]:
 
 
 @functools.cache
-def coder(path: str) -> Coder:
-    return Coder(path)
+def coder(path: str, special_as_text: bool) -> Coder:
+    return Coder(path, special_as_text)
 
 
-def pack(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, end_id: int = 0) -> DataFrame:
+def pack(
+    df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, end_id: int = 0, special_as_text: bool = False, block: int = BLOCK
+) -> DataFrame:
     """The pieces of packed documents, one row each.
 
     Columns: id, start (the document's tokens before the piece), length, ids_crc32, doc_tokens (with the
@@ -130,14 +152,14 @@ def pack(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str =
     )
 
     def run(batches):
-        code = coder(vocabulary)
+        code = coder(vocabulary, special_as_text)
+        held = Held()
         sequence = TaskContext.get().partitionId() << 33
-        ids, docs, held = [], [], 0
 
-        def flush():
-            nonlocal sequence, ids, docs, held
-            out, sequence = _pieces(ids, docs, sequence, size, code.closes)
-            ids, docs, held = [], [], 0
+        def flush(last: bool):
+            nonlocal sequence
+            out, windows = _pieces(held, sequence, size, code.closes, last)
+            sequence += windows
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
 
         names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "token_ids"]
@@ -149,38 +171,65 @@ def pack(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str =
             for lo, hi in slices(off):
                 texts = [t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
                 for key, found in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), code.encode(texts)):
-                    docs.append(key)
-                    ids.append(np.concatenate([found, mark]))
-                    held += len(ids[-1])
-                if held >= BLOCK:
-                    yield flush()
-        if docs:
-            yield flush()
+                    held.add(key, np.concatenate([found, mark]))
+                if held.tokens >= block:
+                    yield flush(False)
+        if held.docs:
+            yield flush(True)
 
     return small_batches(df.select(id_col, text_col)).mapInArrow(run, schema)
 
 
-def _pieces(ids: list[np.ndarray], docs: list, sequence: int, size: int, closes: np.ndarray) -> tuple[list[list], int]:
-    """Columns of the pieces of one block, and the next free sequence number."""
-    stream = np.concatenate(ids)
-    ends = np.cumsum([len(x) for x in ids])
+class Held:
+    """Documents that wait to be packed; of the first, ``begun`` tokens have been packed already."""
+
+    def __init__(self):
+        self.docs, self.ids, self.sizes, self.begun, self.tokens = [], [], [], 0, 0
+
+    def add(self, doc, ids: np.ndarray) -> None:
+        self.docs.append(doc)
+        self.ids.append(ids)
+        self.sizes.append(len(ids))
+        self.tokens += len(ids)
+
+    def drop(self, ends: np.ndarray, upto: int) -> None:
+        """Drop the first ``upto`` tokens; ``ends`` are those of the documents."""
+        i = int(np.searchsorted(ends, upto, "right"))
+        inside = upto - (int(ends[i - 1]) if i else 0)
+        self.begun = inside + (0 if i else self.begun)
+        self.docs, self.ids, self.sizes = self.docs[i:], self.ids[i:], self.sizes[i:]
+        if self.ids:
+            self.ids[0] = self.ids[0][inside:]
+        self.tokens -= upto
+
+
+def _pieces(held: Held, sequence: int, size: int, closes: np.ndarray, last: bool) -> tuple[list[list], int]:
+    """Columns of the pieces of a block, which are dropped from it, and the number of its sequences.
+
+    The last window stays in the block unless it is the ``last`` of all.
+    """
+    stream = np.concatenate(held.ids)
+    ends = np.cumsum([len(x) for x in held.ids])
     sentence = np.flatnonzero(closes[stream]) + 1
     cuts, penalty = candidates(len(stream), ends, sentence)
     windows = cuts[plan(cuts, penalty, size)]
-    edges = np.unique(np.concatenate([windows, ends]))
+    if not last and len(windows) > 2:
+        windows = windows[:-1]
+    edges = np.unique(np.concatenate([windows, ends[ends < windows[-1]]]))
     begin, length = edges[:-1], np.diff(edges)
     doc = np.searchsorted(ends, begin, "right")
     opens = np.concatenate([[0], ends[:-1]])
     window = np.searchsorted(windows, begin, "right") - 1
     parts = [stream[a : a + n] for a, n in zip(begin.tolist(), length.tolist())]
     columns = [
-        [docs[i] for i in doc.tolist()],
-        begin - opens[doc],
+        [held.docs[i] for i in doc.tolist()],
+        begin - opens[doc] + np.where(doc == 0, held.begun, 0),
         length,
         [zlib.crc32(p.astype("<u4").tobytes()) for p in parts],
-        (ends - opens)[doc],
+        np.array(held.sizes)[doc],
         sequence + window,
         begin - windows[window],
         [p.astype(np.int32) for p in parts],
     ]
-    return columns, sequence + len(windows) - 1
+    held.drop(ends, int(windows[-1]))
+    return columns, len(windows) - 1

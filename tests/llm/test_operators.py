@@ -1,6 +1,7 @@
 import hashlib
 import random
 import sys
+import zlib
 from pathlib import Path
 
 import numpy as np
@@ -520,20 +521,25 @@ def test_plan_is_the_cheapest():
         assert sum(size - cuts[b] + cuts[a] + price[b] for a, b in zip(got, got[1:])) == pytest.approx(cost[-1])
 
 
-def test_packing(spark, odd, none, monkeypatch):
+@pytest.mark.parametrize("block,special_as_text", [(packing.BLOCK, False), (3000, False), (3000, True)])
+def test_packing(spark, odd, none, block, special_as_text):
     tokenizers = pytest.importorskip("tokenizers")
     t = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    texts = random_texts(60, 2, ["The cat. ", "sat", "on\n", "mats!", "<|endoftext|>", "été"], 300)
+    t.encode_special_tokens = special_as_text
+    texts = random_texts(60, 2, ["The cat. ", "sat", "on\n", "mats!", "<|endoftext|>", "<|endoftext|", "été"], 300) + ["a <|endoftext|> b", "<|endoftext|>"]
     for df, rows in ((docs(spark, texts), list(enumerate(texts))), (odd.where("doc_id <> 6 AND doc_id IS NOT NULL"), [r[:2] for r in ODD if r[0] not in (6, None)])):
-        out = packing.pack(df, P.path("byte_bpe_50k.json")).toPandas()
+        df = df.coalesce(2)
+        out = packing.pack(df, P.path("byte_bpe_50k.json"), block=block, special_as_text=special_as_text).toPandas()
         want = {i: t.encode(x or "", add_special_tokens=False).ids + [0] for i, x in rows}
+        assert special_as_text or df.count() < 20 or want[60][2] == 50256
         for i, g in out.sort_values("start").groupby("doc_id"):
             assert [x for ids in g["token_ids"] for x in ids] == want[i]
             assert (g["start"] == (g["length"].cumsum() - g["length"])).all() and (g["doc_tokens"] == len(want[i])).all()
+            assert all(zlib.crc32(np.array(x, "<u4").tobytes()) == c for x, c in zip(g["token_ids"], g["ids_crc32"]))
         assert set(out["doc_id"]) == set(want)
         for _, g in out.sort_values("offset").groupby("sequence_id"):
             assert (g["offset"] == (g["length"].cumsum() - g["length"])).all() and g["length"].sum() <= 1024
+        assert out["sequence_id"].nunique() <= sum(map(len, want.values())) / 1024 * 1.1 + 2
     assert packing.pack(none, P.path("byte_bpe_50k.json")).count() == 0
     assert packing.pack(odd, P.path("byte_bpe_50k.json")).select("doc_id").distinct().count() == 8
 
