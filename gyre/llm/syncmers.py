@@ -19,6 +19,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Letters of an anchor, and characters of the longest run that is one letter.
 K, LONG = 5, 32
@@ -27,8 +28,8 @@ UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer
 _SPACE = r"[\x20\x09-\x0D]+"
 #: Bits of an anchor's number that hold its place, below those of its hash.
 PLACE_BITS = 24
-#: Rows dealt to one window of neighbours, and windows at most.
-ROWS, WINDOWS = 2_000, 2_000
+#: Rows dealt to one window of neighbours, windows at most, and identifiers sampled for the edges of each.
+ROWS, WINDOWS, SAMPLED = 2_000, 20_000, 20
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -42,7 +43,10 @@ def _anchor(hashed: Column, place: Column) -> Column:
 
 
 def anchors(text: Column, kept: int | None = None) -> Column:
-    """The anchors of a text, or the ``kept`` least, as rising numbers: the hash in the upper 40 bits, the place below."""
+    """The anchors of a text, or the ``kept`` least, as rising numbers: the hash in the upper 40 bits, the place below.
+
+    Places from 2**24 on, in texts of some hundred MB, are given as 2**24 - 1.
+    """
 
     def of_pairs(pairs: Column) -> Column:
         def look(first: Column, i: Column) -> Column:
@@ -124,20 +128,18 @@ def shown(anchor_list: Column) -> Column:
 def with_next(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     """Add ``next_<column>``: the values of the next row by descending identifier, after the last the first.
 
-    Windows hold ranges of identifiers of about ``ROWS`` rows; the last row of each gets the first of the
-    next window, of which there are at most ``WINDOWS``.
+    Windows hold ranges of identifiers of about ``ROWS`` rows, more beyond ``WINDOWS`` windows; a window is sorted
+    on disk and streams through its task. Their edges come from a sample of identifiers of any type that has an
+    order, which shifts work between tasks, not results. The last row of each gets the first of the next window.
     """
     n = df.count()
     windows = max(1, min(WINDOWS, n // ROWS))
-    cuts = []
-    if windows > 1:
-        shares = [i / windows for i in range(1, windows)]
-        cuts = df.agg(F.percentile_approx(id_col, shares, 10 * windows).alias("q")).first()["q"] or []
     place = F.lit(0)
-    if cuts:
-        at = F.array(*[F.lit(c) for c in sorted(set(cuts))])
-        place = F.coalesce(F.size(F.filter(at, lambda c: c <= F.col(id_col))), F.lit(-1))
-        place = F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise(place)
+    if windows > 1:
+        drawn = df.select(id_col).where(F.col(id_col).isNotNull()).sample(min(1.0, SAMPLED * windows / n), 7).collect()
+        drawn = sorted(r[0] for r in drawn)
+        cuts = sorted({drawn[i * len(drawn) // windows] for i in range(1, windows)}) if drawn else []
+        place = _bracket(F.col(id_col), cuts, df.schema[id_col].dataType)
     w = Window.partitionBy("_part").orderBy(F.col(id_col).desc_nulls_last(), "_tie")
     cols = F.struct(*columns)
     led = (
@@ -156,6 +158,26 @@ def with_next(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     return both.select(*df.columns, *[F.col(f"_next.{c}").alias(f"next_{c}") for c in columns])
 
 
+def _bracket(value: Column, cuts: list, kind: T.DataType) -> Column:
+    """How many of the rising cuts are at most the value, by halving; null comes before all."""
+    at = F.array(*[F.lit(c).cast(kind) for c in cuts]) if cuts else F.array().cast(T.ArrayType(kind))
+
+    def search(rising: Column) -> Column:
+        def step(state: Column, _: Column) -> Column:
+            middle = F.floor((state["lo"] + state["hi"]) / 2).cast("int")
+            below = F.coalesce(F.get(rising, middle) <= value, F.lit(False))
+            open_ = state["lo"] < state["hi"]
+            return F.struct(
+                F.when(open_ & below, middle + 1).otherwise(state["lo"]).alias("lo"),
+                F.when(open_ & ~below, middle).otherwise(state["hi"]).alias("hi"),
+            )
+
+        zero = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(len(cuts).bit_length())), zero, step)["lo"]
+
+    return F.when(value.isNull(), F.lit(-1)).otherwise(search(at))
+
+
 def edited_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of texts and of edited texts, whose last third gives way to the start of the next document.
 

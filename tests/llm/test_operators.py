@@ -1,5 +1,7 @@
+import functools
 import hashlib
 import random
+import struct
 import sys
 import zlib
 from pathlib import Path
@@ -498,11 +500,47 @@ def test_anchors_of_texts_without_spaces(spark):
     assert spark.createDataFrame([("a b",)], "a string").select(F.size(syncmers.anchors(F.col("a")))).first()[0] == 1
 
 
-def test_neighbours_over_many_windows(spark, monkeypatch):
+@pytest.mark.parametrize("kind", ["long", "string", "date", "decimal(9,2)"])
+def test_neighbours_over_many_windows(spark, monkeypatch, kind):
     monkeypatch.setattr(syncmers, "ROWS", 7)
-    df = spark.createDataFrame([(i * 3, f"t{i}") for i in range(100)], "doc_id long, text string")
-    out = {r.doc_id: r.next_text for r in syncmers.with_next(df, "doc_id", ["text"]).collect()}
-    assert out == {i * 3: f"t{(i - 1) % 100}" for i in range(100)}
+    df = spark.range(0, 300, 3).select((F.date_add(F.lit("2020-01-01"), F.col("id").cast("int")) if kind == "date" else F.col("id").cast(kind)).alias("doc_id"))
+    df = df.unionByName(df.where("false").unionByName(spark.range(2).select(F.lit(None).cast(kind).alias("doc_id"))))
+    df = df.withColumn("text", F.concat(F.lit("t"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    ordered = [r.text for r in sorted((r for r in df.collect() if r.doc_id is not None), key=lambda r: r.doc_id, reverse=True)] + ["tnone"] * 2
+    out = sorted((r.text, r.next_text) for r in syncmers.with_next(df, "doc_id", ["text"]).collect())
+    assert out == sorted(zip(ordered, ordered[1:] + ordered[:1]))
+
+
+def plain_likeness(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_fingerprints_against_brute_force(spark):
+    xxhash = pytest.importorskip("xxhash")
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    chained = lambda *xs: functools.reduce(lambda seed, x: xxhash.xxh64_intdigest(x if isinstance(x, bytes) else struct.pack("<q", x), seed), xs, 42)
+
+    def anchors(text):
+        w = text.encode().split()
+        pairs = [signed(chained(a, b)) for a, b in zip(w, w[1:])]
+        out = set()
+        for i in range(len(pairs) - 3):
+            if min(pairs[i], pairs[i + 3]) <= min(pairs[i + 1], pairs[i + 2]):
+                out.add(chained(pairs[i], pairs[i + 1], pairs[i + 3]) >> 24)
+        return out
+
+    rnd = random.Random(8)
+    stock = [" ".join(f"q{rnd.randint(0, 300)}" for _ in range(rnd.randint(20, 90))) for _ in range(25)]
+    rows = [(i, rnd.choice(stock) + " " + rnd.choice(stock)) for i in range(40)]
+    ordered = sorted(rows, reverse=True)
+    out = {r.doc_id: r for r in syncmers.edited_likeness(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for n, (i, t) in enumerate(ordered):
+        following, m = ordered[(n + 1) % len(ordered)][1], len(t) // 3
+        edited = t[: len(t) - m] + following[:m]
+        own = anchors(t)
+        assert {int(x.split(":")[0], 16) for x in out[i].fingerprint.split(",")} == own
+        assert out[i].near_edited == pytest.approx(plain_likeness(own, anchors(edited)))
+        assert out[i].near_next == pytest.approx(plain_likeness(own, anchors(following)))
 
 
 # 10
