@@ -29,7 +29,7 @@ _SPACE = r"[\x20\x09-\x0D]+"
 #: Bits of an anchor's number that hold its place, below those of its hash.
 PLACE_BITS = 24
 #: Rows dealt to one window of neighbours, windows at most, and identifiers sampled for the edges of each.
-ROWS, WINDOWS, SAMPLED = 2_000, 20_000, 20
+ROWS, WINDOWS, SAMPLED = 500, 20_000, 20
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -125,12 +125,14 @@ def shown(anchor_list: Column) -> Column:
     return F.array_join(F.transform(anchor_list, one), ",")
 
 
-def with_next(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
+def with_next(df: DataFrame, id_col: str, columns: list[str], derived: dict[str, Column] | None = None) -> DataFrame:
     """Add ``next_<column>``: the values of the next row by descending identifier, after the last the first.
 
+    Columns in ``derived`` are computed once a row, after the shuffle, and given for both rows.
+
     Windows hold ranges of identifiers of about ``ROWS`` rows, more beyond ``WINDOWS`` windows; a window is sorted
     on disk and streams through its task. Their edges come from a sample of identifiers of any type that has an
-    order, which shifts work between tasks, not results. The last row of each gets the first of the next window.
+    order, which shifts work between tasks, not results. The first row of each window ends the one before, too.
     """
     n = df.count()
     windows = max(1, min(WINDOWS, n // ROWS))
@@ -140,22 +142,19 @@ def with_next(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
         drawn = sorted(r[0] for r in drawn)
         cuts = sorted({drawn[i * len(drawn) // windows] for i in range(1, windows)}) if drawn else []
         place = _bracket(F.col(id_col), cuts, df.schema[id_col].dataType)
-    w = Window.partitionBy("_part").orderBy(F.col(id_col).desc_nulls_last(), "_tie")
-    cols = F.struct(*columns)
-    led = (
-        df.withColumn("_part", place)
-        .withColumn("_tie", F.xxhash64(columns[0]))
-        .withColumn("_next", F.lead(cols).over(w))
-        .withColumn("_rank", F.row_number().over(w))
-    )
-    heads = led.where("_rank = 1").select("_part", cols.alias("_head"))
-    order = Window.orderBy(F.col("_part").desc())
-    all_heads = Window.orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    follow = heads.select("_part", F.coalesce(F.lead("_head").over(order), F.first("_head").over(all_heads)).alias("_head"))
-    inner = led.where("_next IS NOT NULL")
-    last = led.where("_next IS NULL").drop("_next").join(follow.withColumnRenamed("_head", "_next"), "_part")
-    both = inner.unionByName(last)
-    return both.select(*df.columns, *[F.col(f"_next.{c}").alias(f"next_{c}") for c in columns])
+    placed = df.withColumn("_part", place).withColumn("_tie", F.xxhash64(columns[0]))
+    by_id = [F.col(id_col).desc_nulls_last(), F.col("_tie")]
+    first = Window.partitionBy("_part").orderBy(*by_id)
+    heads = placed.withColumn("_rank", F.row_number().over(first)).where("_rank = 1").drop("_rank")
+    # Parts fall with the order of rows: a head goes to the next part above its own, that of the highest to the lowest.
+    above = F.lag("_part").over(Window.orderBy(F.col("_part").desc()))
+    whole = Window.orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = heads.withColumn("_part", F.coalesce(above, F.last("_part").over(whole)))
+    rows = placed.withColumn("_end", F.lit(False)).unionByName(ends.withColumn("_end", F.lit(True)))
+    rows = rows.repartition("_part").sortWithinPartitions("_part", "_end", *by_id).withColumns(derived or {})
+    given = [*columns, *(derived or {})]
+    led = rows.withColumn("_next", F.lead(F.struct(*given)).over(Window.partitionBy("_part").orderBy("_end", *by_id)))
+    return led.where("NOT _end").select(*df.columns, *(derived or {}), *[F.col(f"_next.{c}").alias(f"next_{c}") for c in given])
 
 
 def _bracket(value: Column, cuts: list, kind: T.DataType) -> Column:
@@ -184,18 +183,17 @@ def edited_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Columns: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     """
     base = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    # Texts alone are shuffled: their anchors, which take as much room, are found again for the next row.
-    rows = with_next(base, "_id", ["_text"])
+    # Texts alone are shuffled, since their anchors take as much room again.
+    rows = with_next(base, "_id", ["_text"], {"_own": anchors(F.col("_text"))})
     third = F.floor(F.col("n_chars") / 3).cast("int")
     rows = rows.withColumn("n_chars", F.length("_text").cast("long"))
     edited = F.concat(
         F.substring(F.col("_text"), F.lit(1), (F.col("n_chars") - third).cast("int")), F.substring(F.col("next__text"), F.lit(1), third)
     )
-    def compared(own: Column) -> Column:
-        other = let(edited, lambda e: let(anchors(e), lambda a: F.struct(F.sha2(e, 256).alias("sha"), shown(a).alias("shown"), likeness(own, a).alias("near"))))
-        return F.struct(shown(own).alias("shown"), other.alias("edited"), likeness(own, anchors(F.col("next__text"))).alias("next"))
-
-    return rows.select(F.col("_id").alias(id_col), "n_chars", let(anchors(F.col("_text")), compared).alias("_e")).select(
+    own = F.col("_own")
+    other = let(edited, lambda e: let(anchors(e), lambda a: F.struct(F.sha2(e, 256).alias("sha"), shown(a).alias("shown"), likeness(own, a).alias("near"))))
+    compared = F.struct(shown(own).alias("shown"), other.alias("edited"), likeness(own, F.col("next__own")).alias("next"))
+    return rows.select(F.col("_id").alias(id_col), "n_chars", compared.alias("_e")).select(
         id_col,
         "n_chars",
         F.col("_e.edited.sha").alias("edited_sha256"),
