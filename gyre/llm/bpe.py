@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from gyre.llm.pretok import cut
-from gyre.llm.session import small_batches
+from gyre.llm.session import shipped
 from gyre.llm.text import slices, text_buffers
 
 #: Entries kept by a worker; beyond them the memo is emptied and filled anew, results stay the same.
@@ -195,6 +195,6 @@ def bpe_round_trip(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_
                 names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return small_batches(df.select(id_col, text_col)).mapInArrow(
+    return shipped(df.select(id_col, text_col)).mapInArrow(
         run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     )

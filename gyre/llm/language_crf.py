@@ -7,7 +7,8 @@ forward-backward algorithm gives each word's label probabilities over its whole
 turned into transfer matrices side by side, messages run over the chunks, and then through each chunk.
 
 The field is fitted by stochastic gradient of its likelihood on a bounded sample of labelled texts, chosen
-by the hash of their rows: at most ``SAMPLE`` for each label. Everything else sees all rows and whole texts.
+by the hash of their rows: of each label the first ``SAMPLE`` texts of at most ``TEXT_BYTES``, as far as they have no
+more than ``SAMPLE_BYTES`` together. Everything else sees all rows and whole texts.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0, and so is every text where no labelled
 row can be learned from; rows with a null label are predicted but not learned from; null or repeated
@@ -21,15 +22,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gyre.llm.session import small_batches
+from gyre.llm.session import shipped
 from gyre.llm.text import LOWER, Words, mix, slices, text_buffers
 
-#: Labelled texts learned from, for each label; passes over them; texts of one step.
-SAMPLE, EPOCHS, STEP = 300, 4, 24
+#: Labelled texts learned from, for each label, their bytes together, and those of one.
+SAMPLE, SAMPLE_BYTES, TEXT_BYTES = 300, 8 << 20, 1 << 20
+#: Passes over them, and texts of one step.
+EPOCHS, STEP = 4, 24
 TABLE_BITS = 18
 RATE, DECAY = 0.3, 1e-4
 AFFIXES, GRAM = (1, 2, 3, 4), 3
@@ -197,26 +200,32 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     """Fit a field on a sample of the rows with text and label that are not held out."""
     rows = df.where(~F.coalesce(held_out(id_col), F.lit(False)) & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(text_col).alias("_text"), F.col(label_col).alias("_label"), F.xxhash64(id_col, text_col).alias("_r"))
+    rows = rows.where(F.octet_length("_text") <= TEXT_BYTES)
     counts = {r["_label"]: r["n"] for r in rows.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    texts, labels = [], []
-    for label, n in sorted(counts.items()):
-        share = min(1.0, 1.3 * SAMPLE / n)
-        below = F.lit(min(int(-(2**63) + share * 2**64), 2**63 - 1))
-        picked = rows.where((F.col("_label") == label) & (F.col("_r") <= below)).limit(SAMPLE).select("_text").collect()
-        texts += [r["_text"] for r in picked]
-        labels += [label] * len(picked)
-    return fit(texts, labels)
-
-
-def identify(df: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
+    if not counts:
+        return fit([], [])
+    # Of labels with many rows only those of low hash enter the sort.
+    share = lambda n: min(1.0, 1.3 * SAMPLE / n)
+    below = F.create_map(*[F.lit(x) for label, n in counts.items() for x in (label, min(int(-(2**63) + share(n) * 2**64), 2**63 - 1))])
+    order = Window.partitionBy("_label").orderBy("_r")
+    sized = rows.where(F.col("_r") <= below[F.col("_label")]).withColumn("_bytes", F.sum(F.octet_length("_text")).over(order))
+    chosen = sized.withColumn("_rank", F.row_number().over(order)).where((F.col("_rank") <= SAMPLE) & (F.col("_bytes") <= SAMPLE_BYTES))
+    picked = sorted((r["_label"], r["_r"], r["_text"]) for r in chosen.select("_label", "_r", "_text").collect())
+    return fit([text for *_, text in picked], [label for label, *_ in picked])
+
+
+def identify(
+    df: DataFrame, field: Field, text_col: str = "text", spans: bool = False, names: tuple[str, str, str] = ("lang_pred", "score", "word_langs")
+) -> DataFrame:
     """``df`` with lang_pred and score, the mean probability of that label over the words of the text.
 
-    ``spans`` adds word_langs, runs of words as (lang, words).
+    ``spans`` adds word_langs, runs of words as (lang, words). Columns of ``df`` with one of the ``names`` given
+    to the new ones give way.
     """
     model = df.sparkSession.sparkContext.broadcast(field)
-    new = {"lang_pred": T.StringType(), "score": T.DoubleType()}
+    new = {names[0]: T.StringType(), names[1]: T.DoubleType()}
     if spans:
-        new["word_langs"] = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("words", T.IntegerType())]))
+        new[names[2]] = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("words", T.IntegerType())]))
     fields = [f for f in df.schema.fields if f.name not in new]
     schema = T.StructType(fields + [T.StructField(k, v) for k, v in new.items()])
 
@@ -247,7 +256,7 @@ def identify(df: DataFrame, field: Field, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    given = small_batches(df.select(*[F.col(f"`{f.name}`") for f in fields], F.col(f"`{text_col}`").alias("__gyre_text"), letters.alias("__gyre_letters")))
+    given = shipped(df.select(*[F.col(f"`{f.name}`") for f in fields], F.col(f"`{text_col}`").alias("__gyre_text"), letters.alias("__gyre_letters")))
     return given.mapInArrow(run, schema)
 
 
@@ -261,4 +270,4 @@ def language_id(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """One row per row: id, held_out, lang_pred, score; learned from the rows that are not held out."""
     field = learn(df, id_col, text_col, label_col)
     rows = df.select(F.col(id_col), F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), F.col(text_col).alias("_source"))
-    return identify(rows, field, id_col, "_source").drop("_source")
+    return identify(rows, field, "_source").drop("_source")

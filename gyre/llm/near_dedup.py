@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gyre.llm.components import components
-from gyre.llm.session import small_batches, written
+from gyre.llm.session import shipped, written
 from gyre.llm.text import Words, grams, mix, slices, text_buffers
 
 FUNCTIONS, BUCKET_BITS, MANTISSA = 3, 6, 10
@@ -309,7 +309,7 @@ def near_duplicates(
     """
     kind = df.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = small_batches(df.select(F.col(id_col).alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_h")))
+    docs = shipped(df.select(F.col(id_col).alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_h")))
     sketches = written(docs.mapInArrow(_sketch(words, lower), f"_id {kind}, _h bigint, _n bigint, _a bigint, _b bigint, _regs binary"), "near-sketches")
     classes = sketches.where("_n > 0").groupBy("_a", "_b", "_n").agg(F.min("_id").alias("_min"))
     # One row stands for a class: that of its least identifier, of equal ones that of the least hash.

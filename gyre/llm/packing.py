@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 
 from gyre.llm.bpe import Pieces
 from gyre.llm.pretok import cut
-from gyre.llm.session import small_batches
+from gyre.llm.session import shipped
 from gyre.llm.text import slices, text_buffers
 
 SIZE = 1024
@@ -177,7 +177,7 @@ def pack(
         if held.docs:
             yield flush(True)
 
-    return small_batches(df.select(id_col, text_col)).mapInArrow(run, schema)
+    return shipped(df.select(id_col, text_col)).mapInArrow(run, schema)
 
 
 class Held:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,7 +113,6 @@ def op10_dp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "pipeline": corpus_pipeline.run,
     "op1_extendible_sharding": op1_extendible_sharding,
     "op2_hyperminhash": op2_hyperminhash,
     "op3_warc_chain": op3_warc_chain,

@@ -9,20 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gyre.shipping import ship
 
-#: Rows in one Arrow batch of the Python operators: with texts of some KB, a few MB.
-BATCH_ROWS = 512
-
 
 def shared_dir(spark: SparkSession, kind: str) -> str:
-    """A new folder under the shared one of the cluster (``spark.checkpoint.dir``).
+    """A new folder under the shared one of the cluster (``spark.checkpoint.dir``), deleted when the driver ends.
 
-    Only where that setting is absent, as in tests on one machine, a temporary folder takes its place.
+    Only where that setting is absent and the session runs on one machine, as in tests, a temporary folder takes
+    its place; on a cluster its absence is an error, since executors do not see each other's disks.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="gyre-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return f"{path}/data"
 
 
 def written(df: DataFrame, kind: str) -> DataFrame:
@@ -33,8 +38,7 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
-    """Before Python over Arrow: bound the rows of its batches on this session, and send the package to the workers."""
+def shipped(df: DataFrame) -> DataFrame:
+    """Before Python over Arrow: send the package to the workers. Spark bounds the rows and bytes of their batches."""
     ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df

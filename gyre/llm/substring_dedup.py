@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gyre.llm.session import small_batches, written
+from gyre.llm.session import shipped, written
 from gyre.llm.text import Words, grams, slices, text_buffers
 
 WINDOW = 20
@@ -384,7 +384,7 @@ def substring_dedup(
     ``kept_sha256`` is of the kept words joined by one space; ``kept_text`` keeps the white space before them.
     """
     kind = df.schema[id_col].dataType.simpleString()
-    docs = small_batches(_base(df, id_col, text_col))
+    docs = shipped(_base(df, id_col, text_col))
     base = written(docs.mapInArrow(_per_text, f"_id {kind}, _h bigint, _g bigint, _n bigint, _sha string"), "passages-texts")
     first = base.groupBy("_h", "_g").agg(F.min("_id").alias("_first"), F.min(F.col("_n")).alias("_n"))
     own = base.join(first.select("_h", "_g", "_first"), ["_h", "_g"])

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gyre.llm.session import shared_dir, small_batches, written
+from gyre.llm.session import shared_dir, shipped, written
 
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n"
@@ -158,7 +158,7 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
     pointers = placed.where("_at >= 0").select(
         "_file", "_nr", "_at", F.coalesce(F.col("_at") + len(MAGIC) + F.col("_own"), F.lit(-1)).alias("_next")
     )
-    reached = small_batches(pointers, 10_000).groupBy("_file").applyInPandas(_chain, "_file string, _nr long, _at long, _reached boolean")
+    reached = shipped(pointers).groupBy("_file").applyInPandas(_chain, "_file string, _nr long, _at long, _reached boolean")
     reached = written(reached.where("_reached").select("_file", "_nr", "_at"), "warc-chain")
     records = meta.join(reached, ["_file", "_nr"])
     whole = records.where("_own <= _size")
