@@ -30,11 +30,11 @@ def shared_dir(spark: SparkSession, kind: str) -> str:
     return f"{path}/data"
 
 
-def written(df: DataFrame, kind: str) -> DataFrame:
+def written(df: DataFrame, kind: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: a cut of the lineage."""
     spark = df.sparkSession
     path = shared_dir(spark, kind)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,15 +1,18 @@
 """WARC archives written and read with Spark's text files, records found by boundary chains.
 
 Writing: one record a row; of rows with equal payloads that with the largest identifier is the response
-and the others revisit it, without payload. A record is one string and the line separator ends it, so
-that any file system that Spark writes to can hold the archives.
+and the others revisit it, without payload. Payloads are equal if their SHA-256 is; the archive names their
+SHA-1. A record's block is an HTTP response: its status line and headers, then the payload. A record is one
+string and the line separator ends it, so that any file system that Spark writes to can hold the archives.
+Gzip runs over whole files, not record by record.
 
 Reading: the version line is the separator of a text scan, which splits plain files over tasks, whatever
 the payloads. Each chunk is a candidate record: its offset, and the offset of its successor by its own
 Content-Length. Pointers are doubled from the start of each file, and only candidates that the chain
 reaches are records; version lines inside payloads, even of whole fake records, are not reached and go
-back into the payload around them. What travels by file is two offsets a candidate, and a file's
-candidates are bounded by its size (archives are rolled at about 1 GB).
+back into the payload around them. The archives are scanned once: candidates and their text are written to
+the shared folder, so that nothing depends on how a second scan would be split. What travels by file is two
+offsets a candidate; a file has at most ``records_per_file`` records.
 
 Cases: a null payload is empty; a null URL gives no target header; line ends in a URL become spaces, and
 the W of a version string at its end %57; a chain that breaks before its last candidate is an error; a
@@ -29,6 +32,8 @@ from gyre.llm.session import shared_dir, shipped, written
 
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n"
+#: What stands before the payload in a block.
+HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 # The digits of base 32 as conv() writes them, and those of RFC 4648.
 _CONV, _RFC4648 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -57,13 +62,13 @@ def write_warc(
         F.regexp_replace(F.regexp_replace(F.col(url_col).cast("string"), r"[\r\n]+", " "), r"WARC/1\.0\z", "%57ARC/1.0").alias("_url"),
         F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("_payload"),
     )
-    rows = rows.withColumn("_digest", base32_sha1("_payload"))
-    keep = rows.groupBy("_digest").agg(F.max("_id").alias("_keep"))
-    rows = rows.join(keep, "_digest")
+    rows = rows.withColumn("_same", F.unhex(F.sha2("_payload", 256)))
+    keep = rows.groupBy("_same").agg(F.max("_id").alias("_keep"))
+    rows = rows.join(keep, "_same").withColumn("_digest", base32_sha1("_payload"))
     again = (F.octet_length("_payload") >= min_revisit_bytes) & ~F.col("_id").eqNullSafe(F.col("_keep"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
     line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit(END)), F.lit(""))
-    body = F.when(again, F.lit("")).otherwise(F.col("_payload"))
+    body = F.concat(F.lit(HTTP), F.when(again, F.lit("")).otherwise(F.col("_payload")))
     record = F.concat(
         F.lit(MAGIC),
         line("WARC-Type", F.when(again, F.lit("revisit")).otherwise(F.lit("response"))),
@@ -72,7 +77,7 @@ def write_warc(
         line("WARC-Date", F.lit(date)),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("_digest"))),
         line("WARC-Refers-To", F.when(again, urn("_keep"))),
-        line("Content-Type", F.lit("text/html; charset=utf-8")),
+        line("Content-Type", F.lit("application/http; msgtype=response")),
         line("Content-Length", F.octet_length(body).cast("string")),
         F.lit(END),
         body,
@@ -127,29 +132,32 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
     ``digest`` is that of the header, ``payload_digest`` that of the bytes read. ``payload`` adds the bytes
     themselves in a column of that name.
     """
-    chunks = _chunks(spark, path)
     header = F.substring_index("value", END + END, 1)
     size = F.octet_length("value").cast("long")
-    data = F.col("value").cast("binary")
     cl = F.regexp_extract("_header", r"(?i)(?:^|\r\n)Content-Length:[ \t]*(\d{1,15})", 1)
-    body = F.substring(data, (F.octet_length("_header") + 5).cast("int"), F.col("_cl").cast("int"))
+    with_http = F.octet_length(F.substring_index("value", END + END, 2)).cast("long")
     found = (
-        chunks.withColumn("_header", header)
+        _chunks(spark, path)
+        .withColumn("_header", header)
         .withColumn("_size", size)
         .withColumn("_cl", F.when((cl != "") & (F.octet_length("_header") < F.col("_size")), cl.cast("long")))
-        .withColumn("_own", F.octet_length("_header") + 4 + F.col("_cl") + 4)
+        .withColumn("_head", F.octet_length("_header").cast("long") + 4)
+        .withColumn("_own", F.col("_head") + F.col("_cl") + 4)
+        # A block that is an HTTP message has its payload after the headers.
+        .withColumn("_http", F.lower(_header("Content-Type")).startswith("application/http") & (with_http + 4 <= F.col("_head") + F.col("_cl")))
+        .withColumn("_skip", F.when(F.col("_http"), with_http + 4).otherwise(F.col("_head")))
+        .withColumn("_bytes", F.col("_head") + F.col("_cl") - F.col("_skip"))
     )
     meta = found.select(
-        "_file", "_block", "_nr", "_size", "_cl", "_own",
-        F.octet_length("_header").alias("_skip"),
+        "_file", "_block", "_nr", "_size", "_own", "_skip", "_bytes", "value",
         _header("WARC-Type").alias("record_type"),
         _header("WARC-Record-ID").alias("record_id"),
         _header("WARC-Target-URI").alias("target_uri"),
         _header("WARC-Refers-To").alias("refers_to"),
         _header("WARC-Payload-Digest").alias("digest"),
-        F.when(F.col("_own") <= F.col("_size"), base32_sha1(body)).alias("payload_digest"),
+        F.when(F.col("_own") <= F.col("_size"), base32_sha1(_payload("value"))).alias("payload_digest"),
     )
-    meta = written(meta, "warc-candidates")
+    meta = written(meta, "warc-candidates", compression="zstd")
     order = _in_order()
     placed = meta.select(
         "_file", "_nr", "_own",
@@ -161,16 +169,11 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
     reached = shipped(pointers).groupBy("_file").applyInPandas(_chain, "_file string, _nr long, _at long, _reached boolean")
     reached = written(reached.where("_reached").select("_file", "_nr", "_at"), "warc-chain")
     records = meta.join(reached, ["_file", "_nr"])
+    fields = ["record_type", "record_id", "target_uri", "refers_to", "digest", F.col("_bytes").alias("payload_bytes"), "payload_digest"]
+    more = ["payload"] if payload else []
     whole = records.where("_own <= _size")
-    broken = records.where("_own > _size OR _own IS NULL")
-    fields = ["record_type", "record_id", "target_uri", "refers_to", "digest", F.col("_cl").alias("payload_bytes"), "payload_digest"]
-    if payload:
-        bodies = chunks.join(whole.select("_file", "_nr", "_skip", "_cl"), ["_file", "_nr"]).select(
-            "_file", "_nr", F.substring(data, (F.col("_skip") + 5).cast("int"), F.col("_cl").cast("int")).alias("payload")
-        )
-        whole = whole.join(bodies, ["_file", "_nr"]).select(*fields, "payload")
-    else:
-        whole = whole.select(*fields)
+    whole = (whole.withColumn("payload", _payload("value")) if payload else whole).select(*fields, *more)
+    broken = records.where("_own > _size OR _own IS NULL").drop("value")
     if broken.isEmpty():
         return whole
     # Payloads with version lines inside: each chunk goes to the last record before it.
@@ -181,15 +184,17 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
         .join(broken.select("_file", F.col("_nr").alias("_owner")), ["_file", "_owner"], "left_semi")
         .select("_file", "_nr", "_owner")
     )
-    parts = chunks.join(owner, ["_file", "_nr"]).groupBy("_file", F.col("_owner").alias("_nr"))
+    parts = meta.select("_file", "_nr", "value").join(owner, ["_file", "_nr"]).groupBy("_file", F.col("_owner").alias("_nr"))
     joined = parts.agg(F.array_sort(F.collect_list(F.struct("_nr", "value"))).alias("_parts")).select(
-        "_file", "_nr", F.array_join("_parts.value", MAGIC).cast("binary").alias("_bytes")
+        "_file", "_nr", F.array_join("_parts.value", MAGIC).alias("_text")
     )
-    mended = broken.join(joined, ["_file", "_nr"]).withColumn(
-        "payload", F.substring("_bytes", (F.col("_skip") + 5).cast("int"), F.col("_cl").cast("int"))
-    )
-    mended = mended.where("_cl IS NOT NULL").withColumn("payload_digest", base32_sha1("payload"))
-    return whole.unionByName(mended.select(*fields, *(["payload"] if payload else [])))
+    mended = broken.where("_own IS NOT NULL").join(joined, ["_file", "_nr"]).withColumn("payload", _payload("_text"))
+    mended = mended.withColumn("payload_digest", base32_sha1("payload"))
+    return whole.unionByName(mended.select(*fields, *more))
+
+
+def _payload(text: str) -> Column:
+    return F.substring(F.col(text).cast("binary"), (F.col("_skip") + 1).cast("int"), F.col("_bytes").cast("int"))
 
 
 def _in_order():
