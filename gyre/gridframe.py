@@ -15,13 +15,19 @@ from gyre.meta import specs as meta
 class GridFrame:
     """Cells as rows: ``dims`` are index columns in order, ``coords`` columns that place the cells, the rest data.
 
-    Reordering dimensions changes the list only; no data moves.
+    ``types`` gives the types of dimensions where names do not tell them, ``spans`` the dimensions along which a
+    column varies where that is not all of them. Reordering dimensions changes the list only; no data moves.
     """
 
     df: DataFrame
     dims: tuple[str, ...]
     coords: tuple[str, ...] = ()
     types: dict[str, str] = field(default_factory=dict)
+    spans: dict[str, tuple[str, ...]] = field(default_factory=dict)
+
+    def along(self, column: str) -> tuple[str, ...]:
+        """The dimensions along which a column varies."""
+        return (column,) if column in self.dims else self.spans.get(column, self.dims)
 
     @property
     def data_vars(self) -> list[str]:
@@ -39,7 +45,7 @@ class GridFrame:
     def _with(self, df: DataFrame) -> GridFrame:
         new = dict(zip(self.df.columns, df.columns))
         named = lambda names: tuple(new[n] for n in names)
-        return replace(self, df=df, dims=named(self.dims), coords=named(self.coords), types={new[k]: v for k, v in self.types.items()})
+        return replace(self, df=df, dims=named(self.dims), coords=named(self.coords), types={new[k]: v for k, v in self.types.items()}, spans={new[k]: named(v) for k, v in self.spans.items() if k in new})
 
     def decode(self) -> GridFrame:
         return self._with(meta.infer(self.df).decode(self.df)).infer_coords()
@@ -76,6 +82,7 @@ class GridFrame:
         return self.transpose([by_type[t] for t in order if t in by_type])
 
     def drop_dim_coords(self, names: list[str]) -> GridFrame:
+        """Without these coordinates."""
         return replace(self, df=self.df.drop(*names), coords=tuple(c for c in self.coords if c not in names))
 
     def decode_sigma(self, name: str = "depth") -> GridFrame:
@@ -84,10 +91,19 @@ class GridFrame:
             m = f.metadata or {}
             if "formula_terms" in m and m.get("standard_name", "").split("_at_")[0] in _CONVERTERS:
                 terms = decode_formula_terms(m["formula_terms"])
+                self._check_dims(terms)
                 column = _CONVERTERS[m["standard_name"].split("_at_")[0]]({k: self._column(v) for k, v in terms.items()})
                 return replace(self, df=self.df.withColumn(name, column.alias(name, metadata={"units": "m"})), coords=(*self.coords, name))
         return self
 
+    def _check_dims(self, terms: dict[str, str]) -> None:
+        """The sea floor must not vary along a dimension that the sea level lacks, and the critical depth varies as the floor does, if at all."""
+        span = {k: set(self.spans[c]) for k, v in terms.items() for c in self.df.columns if c.lower() == v.lower() and c in self.spans}
+        if "depth" in span and "eta" in span and not span["depth"] <= span["eta"]:
+            raise ValueError(f"{terms['depth']} varies along {sorted(span['depth'] - span['eta'])}, {terms['eta']} does not")
+        if "depth" in span and span.get("depth_c") and span["depth_c"] != span["depth"]:
+            raise ValueError(f"{terms['depth_c']} and {terms['depth']} vary along different dimensions")
+
     def _column(self, name: str):
         found = next((c for c in self.df.columns if c.lower() == name.lower()), None)
         if found is None:

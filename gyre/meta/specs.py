@@ -11,12 +11,12 @@ import copy
 import fnmatch
 from collections.abc import Iterator
 from contextlib import contextmanager
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
 from importlib import resources
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField
+from pyspark.sql.types import IntegerType, StructField
 
 from gyre.meta.locator import Locator
 
@@ -224,6 +224,100 @@ class MetaSpecs:
         return self.items["coords"][hit[1]].axis.lower() or None if hit else None
 
 
+    def locations(self, df: DataFrame) -> dict[str, str | None]:
+        """The location of each known column, by its name or else its attributes."""
+        out = {}
+        for f in df.schema.fields:
+            if self.match(f):
+                named = self.locator.parse("name", f.name)[1]
+                out[f.name] = named or self.locator.location({k: v for k, v in (f.metadata or {}).items() if k in ("standard_name", "long_name")})
+        return out
+
+    def match_dim(self, dim: str, generic: str | None = None) -> str | None:
+        """The coordinate that a dimension's name names, if it is ``generic`` or that is not given."""
+        field_ = StructField(dim, IntegerType())
+        hit = self.match(field_, "coords")
+        return hit[1] if hit and generic in (None, hit[1]) else None
+
+    def search_dim(self, dims: tuple[str, ...], kind: str) -> str | None:
+        """The dimension of a type (x, y, z, t, f), by its name without location."""
+        for d in dims:
+            root = self.locator.parse("name", d)[0].lower()
+            if root == kind or (item := self.items["coords"].get(self.match_dim(root) or "")) and item.axis.lower() == kind:
+                return d
+        return None
+
+    def dims(self, dims: tuple[str, ...], kinds: str, errors: str = "ignore") -> list[str | None]:
+        """The dimensions of several types."""
+        found = [self.search_dim(dims, k) for k in kinds]
+        if errors == "raise" and None in found:
+            raise KeyError(f"no dimension of type {kinds[found.index(None)]}")
+        return found
+
+    def parse_dims(self, dims: tuple[str, ...], wanted: list[str]) -> list[str]:
+        """Dimensions given by name, by type or by generic name."""
+        out = []
+        for w in wanted:
+            hit = w if w in dims else self.search_dim(dims, w.lower()) or next((d for d in dims if self.match_dim(d) == w), None)
+            if hit is None:
+                raise KeyError(w)
+            out.append(hit)
+        return out
+
+    def category(self, generic: str) -> str | None:
+        """Where a generic name is specified: coords or data_vars."""
+        return next((c for c in CATEGORIES if generic in self.items[c]), None)
+
+    def assign(self, df: DataFrame) -> DataFrame:
+        """Note these specifications in the metadata of every column, and register them."""
+        register(self)
+        return df.select(*[F.col(f"`{f.name}`").alias(f.name, metadata={**(f.metadata or {}), NAMES_KEY: self.name}) for f in df.schema.fields])
+
+    def to_dict(self) -> dict[str, dict[str, dict]]:
+        """The items by category and generic name."""
+        return {c: {n: asdict(i) for n, i in items.items()} for c, items in self.items.items()}
+
+
+def variant(df: DataFrame, generics: tuple[str, ...], errors: str = "ignore") -> str | None:
+    """The first column that is one of several quantities, by their order."""
+    s = infer(df)
+    for generic in generics:
+        found = s.search(df, generic)
+        if found and (s.match(df.schema[found]) or (None, None))[1] in generics:
+            return found
+    if errors == "raise":
+        raise KeyError(f"no column is one of {', '.join(generics)}")
+    return None
+
+
+def search_similar(df: DataFrame, other: StructField) -> str | None:
+    """The first column that is the same quantity as another field."""
+    return next((f.name for f in df.schema.fields if similar(f, other)), None)
+
+
+def from_name(name: str, errors: str = "raise") -> MetaSpecs | None:
+    """Registered specifications by name, or the default ones."""
+    if name in _registered:
+        return _registered[name]
+    if name == "default":
+        return MetaSpecs.default()
+    if errors == "raise":
+        raise KeyError(name)
+    return None
+
+
+def from_file(path: str, name: str | None = None) -> MetaSpecs:
+    """Default specifications with the items of a file in the format of the vocabulary."""
+    with open(path) as f:
+        changes = parse(f.read())
+    specs = MetaSpecs.default()
+    specs.name = name or path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+    for category, items in changes.items():
+        specs.items[category].update(items)
+    specs._inherit()
+    return specs
+
+
 _registered: dict[str, MetaSpecs] = {}
 _current: list[MetaSpecs] = []
 

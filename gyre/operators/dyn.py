@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from gyre.shipping import ship
 
 RADIUS = 6371e3
+#: Cells of a field that goes to the workers: two values each, 80 MB.
+MAX_CELLS = 5_000_000
 
 
 def _velocity(x, y, lon, lat, u, v):
@@ -32,9 +34,12 @@ def flow2d(field: DataFrame, seeds: DataFrame, duration: float, step: float, exa
 
     The step weighs its four slopes equally, the last of them taken half-way, which is the contract of this
     operator; ``exact_rk4`` gives the classical scheme. The last step is shortened to the duration. The
-    field is a grid's two axes and two values a cell and goes to the workers whole; particles are rows.
+    field is a grid's two axes and two values a cell and goes to the workers whole, if it has no more than
+    ``MAX_CELLS`` cells (a larger one is an error: cut it to the region of the tracks); particles are rows.
     """
     ship(field.sparkSession)
+    if (n := field.count()) > MAX_CELLS:
+        raise ValueError(f"a field of {n} cells, {MAX_CELLS} at most go to the workers")
     grid = field.select("i_y", "i_x", "lon", "lat", "u", "v").toPandas()
     lon = grid.groupby("i_x")["lon"].first().to_numpy(float)
     lat = grid.groupby("i_y")["lat"].first().to_numpy(float)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gyre.functions.arrays import let
 from gyre.operators.distance import radius_average
+from gyre.scratch import written
 from gyre.shipping import ship
 
 # The first half and the centre of the Demerliac filter; the other half mirrors the first.
@@ -157,7 +158,7 @@ def erode(df: DataFrame, keys: list[str], dims: list[str], v: str, until: int |
     """Fill missing values next to valid ones with the mean of their neighbours, ``until`` times over.
 
     With ``mask`` (a boolean column, true where values may stay missing) until no other value is missing, at
-    most ``most`` times; every 8 passes are written to the checkpoint folder.
+    most ``most`` times; every 8 passes are written to the shared folder.
     """
     kernel = shapiro_kernel(len(dims)) if kernel is None else kernel
     rest = [c for c in df.columns if c not in (*keys, *dims, v)]
@@ -170,7 +171,7 @@ def erode(df: DataFrame, keys: list[str], dims: list[str], v: str, until: int |
         near = convolve(out, keys, dims, v, kernel, True, 1.0, "_near")
         out = out.join(near, [*keys, *dims]).select(*keys, *dims, F.coalesce(v, "_near").alias(v))
         if i % 8 == 7:
-            out = out.checkpoint()
+            out = written(out, "erode")
     return out.join(cells, [*keys, *dims]) if rest else out
 
 
@@ -210,19 +211,20 @@ def decimate(points: DataFrame, radius: float, method: str = "pick", order: str
     fields = points.select("id", "lon", "lat", value).schema
 
     def scan(batches):
-        x, y, z = [], [], []
-        xyz = np.zeros((0, 3))
+        near = np.zeros((1024, 3))  # the kept points' places, doubled when full
+        n = 0
         limit = 2 * np.sin(min(radius / 6371e3, np.pi) / 2)
         for pdf in batches:
             keep = []
             lon, lat = np.radians(pdf["lon"].to_numpy(float)), np.radians(pdf["lat"].to_numpy(float))
             here = np.stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)], 1)
-            kept = list(xyz)
             for i in range(len(pdf)):
-                if not kept or (np.linalg.norm(np.asarray(kept) - here[i], axis=1) >= limit).all():
-                    kept.append(here[i])
+                if (np.linalg.norm(near[:n] - here[i], axis=1) >= limit).all():
+                    if n == len(near):
+                        near = np.concatenate([near, np.zeros_like(near)])
+                    near[n] = here[i]
+                    n += 1
                     keep.append(i)
-            xyz = np.asarray(kept)
             yield pdf.iloc[keep]
 
     kept = points.select("id", "lon", "lat", value).repartition(1).sortWithinPartitions(order).mapInPandas(scan, fields)

@@ -24,11 +24,36 @@ def diff(df: DataFrame, keys: list[str], dim: str, cols: list[str], coords: list
     return df.select(*keys, dim, *out, F.lead(F.lit(1)).over(w).alias("_more")).where("_more = 1").drop("_more")
 
 
+#: Of a row at place i of n, the places before and after the dimension that take its values.
+MIRRORS = {
+    "reflect": lambda i, n: (-i, 2 * (n - 1) - i),
+    "symmetric": lambda i, n: (-1 - i, 2 * n - 1 - i),
+    "wrap": lambda i, n: (i - n, i + n),
+}
+
+
+def _mirrored(df: DataFrame, keys: list[str], dim: str, cols: list[str], before: int, after: int, mode: str) -> DataFrame:
+    every = Window.partitionBy(*keys)
+    rows = df.withColumn("_i", (F.row_number().over(_along(keys, dim)) - 1).cast("long")).withColumn("_n", F.count(F.lit(1)).over(every))
+    low, high = MIRRORS[mode](F.col("_i"), F.col("_n"))
+    takes = F.array(F.col("_i"), F.when((low < 0) & (low >= -before), low), F.when((high >= F.col("_n")) & (high < F.col("_n") + after), high))
+    rows = rows.withColumn("_to", F.explode(F.array_compact(takes)))
+    return rows.select(*keys, (F.col(dim) + F.col("_to") - F.col("_i")).cast(df.schema[dim].dataType).alias(dim), *cols)
+
+
 def pad(df: DataFrame, keys: list[str], dim: str, cols: list[str], before: int = 0, after: int = 0, mode: str = "edge", coords: list[str] = (), coord_mode: str = "extrap", constant: float | None = None) -> DataFrame:
-    """Add rows at the ends of a dimension: edge values, a constant, or a linear continuation (``extrap``).
+    """Add rows at the ends of a dimension: edge values, a constant, a linear continuation (``extrap``), rows
+    mirrored at the end row (``reflect``) or behind it (``symmetric``), or those of the other end (``wrap``).
 
-    Each end row explodes to itself and its new neighbours, so that the only shuffle is that of the keys.
+    Each row explodes to itself and the new rows that it gives its values to, so that the only shuffle is that of
+    the keys. Mirrored and wrapped widths are those of the dimension at most.
     """
+    if mode in MIRRORS:
+        given = _mirrored(df, keys, dim, cols, before, after, mode)
+        if not coords:
+            return given
+        placed = pad(df, keys, dim, [], before, after, "edge", coords, coord_mode)
+        return given.join(placed, [*keys, dim]).select(*keys, dim, *cols, *coords)
     w = _along(keys, dim)
     wd = Window.partitionBy(*keys).orderBy(F.col(dim).desc())
     rows = df.withColumn("_f", F.row_number().over(w) == 1).withColumn("_l", F.row_number().over(wd) == 1)

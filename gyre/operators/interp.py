@@ -3,24 +3,50 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gyre.functions.arrays import count_upto, let
+from gyre.operators.regrid import profiles, value_at
+
 
 def _axis(grid: DataFrame, index: str, coord: str) -> list[float]:
-    """The coordinates of an axis by rising index. An axis is a dimension of the grid, far smaller than it."""
-    rows = grid.groupBy(index).agg(F.min(coord).alias("_c")).orderBy(index).collect()
-    return [float(r["_c"]) for r in rows]
+    """The coordinates of an axis by rising index; an error if they change along another dimension, or do not rise.
+
+    An axis is a dimension of the grid, far smaller than it.
+    """
+    rows = grid.groupBy(index).agg(F.min(coord).alias("_c"), F.max(coord).alias("_d")).orderBy(index).collect()
+    nodes = [float(r["_c"]) for r in rows]
+    if any(float(r["_d"]) - float(r["_c"]) > 1e-9 * max(1.0, abs(float(r["_c"]))) for r in rows):
+        raise ValueError(f"{coord} changes along other dimensions than {index}; use level_coord or curvilinear2loc")
+    if any(b <= a for a, b in zip(nodes, nodes[1:])):
+        raise ValueError(f"{coord} does not rise with {index}")
+    return nodes
 
 
-def grid2loc(grid: DataFrame, points: DataFrame, axes: dict[str, str], v: str, extra: list[str] = (), period: dict[str, float] | None = None) -> DataFrame:
-    """Linear interpolation at points over up to four axes: id, extra dimensions, v.
+def grid2loc(
+    grid: DataFrame, points: DataFrame, axes: dict[str, str], v: str | list[str], extra: list[str] = (), period: dict[str, float] | None = None,
+    level: str | None = None, level_coord: str | None = None,
+) -> DataFrame:
+    """Linear interpolation at points over up to four axes: id, extra dimensions, v (one column or several).
 
     ``axes`` maps an index column of the grid (from 0 on, rising with its coordinate) to the coordinate's
     column, which both frames have. A point outside an axis, without a coordinate, or with a missing corner
     has a missing value; on the last node the corner beyond it is not needed. ``period`` wraps an axis. Each
     point explodes to its corners, at most two an axis, and these meet the cells by an equi-join.
+
+    ``level`` is the index of a dimension whose coordinate, ``level_coord``, changes from cell to cell, such as the
+    depth of terrain-following levels: it is interpolated along the other axes first, with the values.
     """
+    if level:
+        names = [v] if isinstance(v, str) else list(v)
+        columns = grid2loc(grid, points, axes, [level_coord, *names], [*extra, level], period).where(F.col(level).isNotNull())
+        found = points.select("id")
+        for name in names:
+            one = profiles(columns, ["id", *extra], level_coord, name).join(points.select("id", F.col(level_coord).cast("double").alias("_y")), "id")
+            found = found.join(one.select("id", *extra, _on_profile(F.col("nodes"), F.col("_y")).alias(name)), ["id", *extra] if name != names[0] else "id", "left")
+        return found.select("id", *extra, *names)
+    values = [v] if isinstance(v, str) else list(v)
     rows = points.select("id", *dict.fromkeys(axes.values()))
     names = []
     for index, coord in axes.items():
@@ -30,7 +56,7 @@ def grid2loc(grid: DataFrame, points: DataFrame, axes: dict[str, str], v: str, e
         if period and coord in period:
             x = F.lit(nodes[0]) + F.pmod(x - nodes[0], F.lit(period[coord]))
         inside = (x >= nodes[0]) & (x <= nodes[-1])
-        lower = F.when(inside, F.size(F.filter(at, lambda n: n <= x)) - 1)
+        lower = F.when(inside, count_upto(at, len(nodes), x) - 1)
         rows = rows.withColumn(f"_i_{index}", lower).withColumn(f"_x_{index}", x)
         low, high = F.get(at, F.col(f"_i_{index}")), F.get(at, F.col(f"_i_{index}") + 1)
         share = F.coalesce((F.col(f"_x_{index}") - low) / (high - low), F.lit(0.0))
@@ -50,12 +76,85 @@ def grid2loc(grid: DataFrame, points: DataFrame, axes: dict[str, str], v: str, e
     wanted = corner.select("id", *[F.col(f"_c_{i}.i").alias(i) for i in names], weight.alias("_w"))
     inside = wanted.where(F.col("_w").isNotNull())
     need = inside.groupBy("id").agg(F.count(F.lit(1)).alias("_need"))
-    met = inside.join(grid.select(*names, *extra, F.col(v).cast("double").alias("_v")), names)
-    found = met.groupBy("id", *extra).agg(F.sum(F.col("_w") * F.col("_v")).alias(v), F.count("_v").alias("_got")).join(need, "id")
-    found = found.select("id", *extra, F.when(F.col("_got") == F.col("_need"), F.col(v)).alias(v))
+    met = inside.join(grid.select(*names, *extra, *[F.col(c).cast("double").alias(f"_v_{c}") for c in values]), names)
+    sums = [f(F.col(f"_v_{c}")).alias(f"{n}{c}") for c in values for n, f in (("_s_", lambda x: F.sum(F.col("_w") * x)), ("_got_", F.count))]
+    found = met.groupBy("id", *extra).agg(*sums).join(need, "id")
+    found = found.select("id", *extra, *[F.when(F.col(f"_got_{c}") == F.col("_need"), F.col(f"_s_{c}")).alias(c) for c in values])
     return points.select("id").join(found, "id", "left")
 
 
+def _on_profile(nodes: Column, y: Column) -> Column:
+    """Linear between the two nodes around y, missing where one of them is, or outside; on a node its own value."""
+    placed = F.transform(nodes, lambda n, i: F.struct(n["y"].alias("y"), n["v"].alias("v"), i.alias("i")))
+    on = lambda n: F.filter(n, lambda x: x["y"] == y)
+    return let(placed, lambda n: F.when(F.size(on(n)) > 0, F.get(on(n), F.lit(0))["v"]).otherwise(value_at(n, y)))
+
+
+def curvilinear2loc(grid: DataFrame, points: DataFrame, ydim: str = "j", xdim: str = "i", v: str = "v", lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """Bilinear interpolation at points from a grid whose longitudes and latitudes both change along both dimensions.
+
+    Columns: id, p and q (place along xdim and ydim, whole part the cell, -1 outside), v. The cells, as
+    quadrilaterals of four nodes, and the points meet on bins about as large as a cell; of several cells that hold
+    a point the one of least indices counts. A missing corner of any weight gives a missing value.
+    """
+    node = F.struct(F.col(lon).cast("double").alias("x"), F.col(lat).cast("double").alias("y"), F.col(v).cast("double").alias("v"))
+    # A node is a corner of up to four cells.
+    share = F.array(*[F.struct(F.lit(dj).alias("dj"), F.lit(di).alias("di")) for dj in (0, 1) for di in (0, 1)])
+    own = grid.where(F.col(lon).isNotNull() & F.col(lat).isNotNull()).select(ydim, xdim, node.alias("_n"), F.explode(share).alias("_d"))
+    of_cell = own.groupBy((F.col(ydim) - F.col("_d.dj")).alias("_j"), (F.col(xdim) - F.col("_d.di")).alias("_i"))
+    corner = lambda di, dj: F.max(F.when((F.col("_d.di") == di) & (F.col("_d.dj") == dj), F.col("_n")))
+    cells = of_cell.agg(*[corner(*d).alias(f"_n{k}") for k, d in enumerate(((0, 0), (1, 0), (1, 1), (0, 1)))])
+    cells = cells.where(" AND ".join(f"_n{k} IS NOT NULL" for k in range(4)))
+    for axis in "xy":
+        ends = [F.col(f"_n{k}.{axis}") for k in range(4)]
+        cells = cells.withColumn(f"_{axis}0", F.least(*ends)).withColumn(f"_{axis}1", F.greatest(*ends))
+    # Nearly all cells fit into a bin; larger ones enter several.
+    size = cells.agg(*[F.percentile_approx(F.col(f"_{a}1") - F.col(f"_{a}0"), 0.99).alias(a) for a in "xy"]).first()
+    step = {a: max(size[a] or 1.0, 1e-9) for a in "xy"}
+    for axis in "xy":
+        bins = F.sequence(F.floor(F.col(f"_{axis}0") / step[axis]), F.floor(F.col(f"_{axis}1") / step[axis]))
+        cells = cells.withColumn(f"_b{axis}", F.explode(bins))
+    here = points.select("id", F.col(lon).cast("double").alias("_px"), F.col(lat).cast("double").alias("_py"))
+    here = here.withColumn("_bx", F.floor(F.col("_px") / step["x"])).withColumn("_by", F.floor(F.col("_py") / step["y"]))
+    inside = F.col("_px").between(F.col("_x0"), F.col("_x1")) & F.col("_py").between(F.col("_y0"), F.col("_y1"))
+    met = here.join(cells, ["_bx", "_by"]).where(inside).withColumn("_pq", _relative(F.col("_px"), F.col("_py"))).where("_pq IS NOT NULL")
+    p, q = F.col("_pq.p"), F.col("_pq.q")
+    weights = [(1 - p) * (1 - q), p * (1 - q), p * q, (1 - p) * q]
+    terms = [F.when(w == 0, F.lit(0.0)).otherwise(w * F.col(f"_n{k}.v")) for k, w in enumerate(weights)]
+    total = terms[0] + terms[1] + terms[2] + terms[3]
+    best = met.groupBy("id").agg(F.min(F.struct("_j", "_i", (F.col("_i") + p).alias("p"), (F.col("_j") + q).alias("q"), total.alias("v"))).alias("_m"))
+    out = points.select("id").join(best, "id", "left")
+    return out.select("id", F.coalesce("_m.p", F.lit(-1.0)).alias("p"), F.coalesce("_m.q", F.lit(-1.0)).alias("q"), F.col("_m.v").alias(v))
+
+
+def _relative(x: Column, y: Column) -> Column:
+    """``cell_coordinates`` as a column of the cell's corners _n0 to _n3: (p, q), or missing outside."""
+    at = lambda k, c: F.col(f"_n{k}.{c}")
+    side = lambda k, c: at(k, c) - at(0, c)
+    ax, ay, bx, by = side(1, "x"), side(1, "y"), side(3, "x"), side(3, "y")
+    cx, cy = at(2, "x") - at(1, "x") - bx, at(2, "y") - at(1, "y") - by
+    dx, dy = x - at(0, "x"), y - at(0, "y")
+    names = dict(zip(("ax", "ay", "bx", "by", "cx", "cy", "dx", "dy"), (ax, ay, bx, by, cx, cy, dx, dy)))
+
+    def of(s: Column) -> Column:
+        k2 = s["bx"] * s["cy"] - s["by"] * s["cx"]
+        k1 = s["bx"] * s["ay"] - s["by"] * s["ax"] + s["dy"] * s["cx"] - s["dx"] * s["cy"]
+        k0 = s["dy"] * s["ax"] - s["dx"] * s["ay"]
+        straight, under = F.abs(k2) < 1e-12 * F.greatest(F.abs(k1), F.lit(1e-300)), k1 * k1 - 4 * k2 * k0
+        root = lambda sign: F.when(straight, F.when(k1 != 0, -k0 / k1)).when(under >= 0, (-k1 + sign * F.sqrt(under)) / (2 * k2))
+
+        def placed(q: Column) -> Column:
+            ex, ey = s["ax"] + q * s["cx"], s["ay"] + q * s["cy"]
+            p = F.when(F.abs(ex) >= F.abs(ey), (s["dx"] - q * s["bx"]) / ex).otherwise((s["dy"] - q * s["by"]) / ey)
+            held = lambda z: F.greatest(F.least(z, F.lit(1.0)), F.lit(0.0))
+            fits = p.between(-1e-9, 1 + 1e-9) & q.between(-1e-9, 1 + 1e-9)
+            return F.when(fits, F.struct(held(p).alias("p"), held(q).alias("q")))
+
+        return F.coalesce(let(root(1), placed), let(root(-1), placed))
+
+    return let(F.struct(*[c.alias(n) for n, c in names.items()]), of)
+
+
 def cell_coordinates(x, y, corners: np.ndarray) -> tuple[float, float]:
     """Relative place (p, q) of a point in a quadrilateral with corners (0,0), (1,0), (1,1), (0,1); (-1, -1) outside.
 

@@ -13,6 +13,20 @@ from gyre.functions.arrays import let
 
 METHODS = ("nearest", "linear", "cubic", "hermit", "cellave")
 EXTRAP = {"no": (), "top": ("top",), "bottom": ("bottom",), "both": ("top", "bottom")}
+# Other names of the ways to extrapolate.
+SYNONYMS = {
+    "false": "no", "none": "no", "0": "no", "true": "both", "yes": "both", "all": "both", "2": "both", "above": "top", "after": "top", "1": "top",
+    "below": "bottom", "before": "bottom", "-1": "bottom",
+}
+
+
+def extrap_sides(mode) -> tuple[str, ...]:
+    """The sides that a way to extrapolate fills, by its name or another of its names."""
+    name = str(mode).lower()
+    name = SYNONYMS.get(name, name)
+    if name not in EXTRAP:
+        raise ValueError(f"no such way to extrapolate: {mode!r}")
+    return EXTRAP[name]
 
 
 def profiles(df: DataFrame, keys: list[str], y: str, v: str) -> DataFrame:
@@ -75,9 +89,9 @@ def value_at(nodes: Column, y: Column, method: str = "linear", extrap: str = "no
         return out
 
     body = F.when((after > 0) & (y <= last["y"]) & (n > 1), let(F.least(after, n - 1) - 1, inside))
-    if "bottom" in EXTRAP[extrap]:
+    if "bottom" in extrap_sides(extrap):
         body = F.when((n > 0) & (y < F.get(nodes, F.lit(0))["y"]), F.get(F.filter(nodes, lambda x: x["v"].isNotNull()), F.lit(0))["v"]).otherwise(body)
-    if "top" in EXTRAP[extrap]:
+    if "top" in extrap_sides(extrap):
         body = F.when((n > 0) & (y > last["y"]), last["v"]).otherwise(body)
     return body
 
@@ -99,9 +113,9 @@ def extrap1d(df: DataFrame, keys: list[str], order: str, v: str, mode: str = "bo
     ok = F.when(F.col(v).isNotNull(), F.col(order))
     first, last = F.min(ok).over(w), F.max(ok).over(w)
     out = F.col(v)
-    if "bottom" in EXTRAP[mode]:
+    if "bottom" in extrap_sides(mode):
         out = F.when(F.col(order) < first, F.first(v, ignorenulls=True).over(full)).otherwise(out)
-    if "top" in EXTRAP[mode]:
+    if "top" in extrap_sides(mode):
         out = F.when(F.col(order) > last, F.last(v, ignorenulls=True).over(full)).otherwise(out)
     return df.withColumn(v, out)
 
@@ -114,12 +128,12 @@ def cellave1d(df: DataFrame, keys: list[str], lo: str, hi: str, v: str, edges: l
     """
     cells = F.array(*[F.struct(F.lit(i).alias("cell"), F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for i, (a, b) in enumerate(zip(edges, edges[1:]))])
     rows = df
-    if extrap != "no":
+    if extrap_sides(extrap):
         w = Window.partitionBy(*keys)
         low, high = F.min(lo).over(w), F.max(hi).over(w)
-        if "bottom" in EXTRAP[extrap]:
+        if "bottom" in extrap_sides(extrap):
             rows = rows.withColumn(lo, F.when(F.col(lo) == low, F.least(F.col(lo), F.lit(float(edges[0])))).otherwise(F.col(lo)))
-        if "top" in EXTRAP[extrap]:
+        if "top" in extrap_sides(extrap):
             rows = rows.withColumn(hi, F.when(F.col(hi) == high, F.greatest(F.col(hi), F.lit(float(edges[-1])))).otherwise(F.col(hi)))
     rows = rows.where(F.col(v).isNotNull()).withColumn("_c", F.explode(F.filter(cells, lambda c: (F.col(hi) > c["a"]) & (F.col(lo) < c["b"]))))
     w = F.least(F.col(hi), F.col("_c.b")) - F.greatest(F.col(lo), F.col("_c.a"))

@@ -9,11 +9,18 @@ from pyspark.sql import functions as F
 
 
 def open_sample(spark: SparkSession, path: str, schema: str | None = None, columns: list[str] | None = None, skip_units: bool = False) -> DataFrame:
-    """A Parquet, ORC, JSON or CSV table; CSV has a header, and ``skip_units`` drops rows that do not fit the schema, such as one of units."""
+    """A Parquet, ORC, JSON or CSV table; CSV has a header.
+
+    ``skip_units`` drops the row of units below the header of a CSV with a schema: a row none of whose values that
+    should be numbers or times is one. Other rows that do not fit the schema stay, with missing values.
+    """
     suffix = os.path.splitext(path.rstrip("/"))[1].lstrip(".").lower()
     reader = spark.read.schema(schema) if schema else spark.read
     if suffix == "csv":
-        df = reader.option("header", True).option("mode", "DROPMALFORMED" if skip_units else "PERMISSIVE").csv(path)
+        df = reader.option("header", True).csv(path)
+        typed = [f.name for f in df.schema.fields if f.dataType.typeName() != "string"]
+        if skip_units and typed:
+            df = df.where(" OR ".join(f"`{c}` IS NOT NULL" for c in typed))
     elif suffix in ("parquet", "orc", "json"):
         df = getattr(reader, suffix)(path)
     else:

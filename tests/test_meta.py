@@ -66,21 +66,28 @@ def test_search_and_locations(spark):
 
 
 def test_scores_and_inference(spark):
-    df = frame(spark, "mytemp", "mysal", "mylon", "mylat")
-    make = lambda n, coords, data, **k: meta.MetaSpecs.from_dict(n, {"coords": {a: {"name": b} for a, b in coords.items()}, "data_vars": {a: {"name": b} for a, b in data.items()}}, **k)
-    a = make("a", {}, {"temp": "mytemp"})
-    b = make("b", {"lon": "mylon", "lat": "mylat"}, {"sal": "mysal"})
-    c = make("c", {"lon": "mylon"}, {"temp": "mytemp"}, attrs={"source": ["*model*"]})
-    assert [x.score(df) for x in (a, b, c)] == [25, 75, 50]
+    df = frame(spark, "kelvins", "swell", "east_west", "north_south", "hour_of_day", "floor")
+    coord = {"lon": {"name": "east_west"}, "lat": {"name": "north_south"}, "time": {"name": "hour_of_day"}}
+    make = lambda name, coords, data, **more: meta.MetaSpecs.from_dict(name, {"coords": coords, "data_vars": data}, **more)
+    known = {
+        "waves": make("waves", {}, {"hs": {"name": "swell"}}, attrs={"title": ["*buoy*"]}),
+        "grid": make("grid", coord, {"bathy": {"name": "floor"}}),
+        "heat": make("heat", {"lon": coord["lon"]}, {"temp": {"name": "kelvins"}}),
+    }
+    scores = {name: round(s.score(df), 6) for name, s in known.items()}
+    assert scores == {"waves": round(100 / 6, 6), "grid": round(400 / 6, 6), "heat": round(200 / 6, 6)}
+    assert known["grid"].score(df.select("kelvins")) == 0
     meta.reset()
-    meta.register(a, b, c)
+    meta.register(*known.values())
     try:
-        assert meta.infer(df).name == "b"
-        assert meta.infer(df, {"source": "My Model 3"}).name == "c"
+        assert meta.infer(df).name == "grid"
+        assert meta.infer(df, {"title": "Buoy 62001"}).name == "waves"
+        assert [s.name for s in meta.registered()] == ["heat", "grid", "waves"]
     finally:
         meta.reset()
-    with meta.set_specs(a):
-        assert meta.current().name == "a"
+    with meta.set_specs(known["heat"]):
+        assert meta.current() is known["heat"]
+    assert meta.current().name == "default"
 
 
 def test_grid_frame(spark):
