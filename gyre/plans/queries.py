@@ -83,11 +83,11 @@ def _(spark, d):
 
 @query(
     "geo_extent",
-    f"""WITH {POINTS}, e AS (SELECT min(lon) a, max(lon) b, min(lat) y, max(lat) z FROM c WHERE id % 7 = 3)
+    f"""WITH {POINTS}, e AS (SELECT min(lon) a, max(lon) b, min(lat) y, max(lat) z FROM c)
 SELECT round((a + b) / 2 - (b - a) * 0.6, 6) AS xmin, round((a + b) / 2 + (b - a) * 0.6, 6) AS xmax, round((y + z) / 2 - (z - y) * 0.6, 6) AS ymin, round((y + z) / 2 + (z - y) * 0.6, 6) AS ymax FROM e""",
 )
 def _(spark, d):
-    box = distance.extent(customers(spark, d).where("id % 7 = 3"), margin=0.1)
+    box = distance.extent(customers(spark, d), margin=0.1)
     return spark.createDataFrame([tuple(round(x, 6) for x in box)], "xmin double, xmax double, ymin double, ymax double")
 
 
