@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gyre import coords
 from gyre.functions import geo, sigma, variogram
 from gyre.gridframe import GridFrame
 from gyre.meta.specs import MetaSpecs
@@ -428,6 +429,108 @@ def _(spark, d):
     return interp.grid2loc(cells(spark, d), points, {"i": "lon", "j": "lat"}, "v").select("id", r("v", 3).alias("v"))
 
 
+# Where the points lie on the field, off its nodes.
+_AT = f"""WITH {CELLS}, {POINTS}, n AS (SELECT max(i) AS ni, max(j) AS nj FROM f),
+u AS (SELECT id, (lon + 180) / 4.5 + 0.0137 AS x, (lat + 85) / 10 + 0.0171 AS y, CAST(id % 53 AS DOUBLE) AS z FROM c),
+g AS (SELECT u.*, {{i}} AS fi, {{j}} AS fj FROM u),
+q AS (SELECT *, CAST(floor(fi) AS INTEGER) AS i, CAST(floor(fj) AS INTEGER) AS j FROM g, n WHERE fi BETWEEN 0 AND ni AND fj BETWEEN 0 AND nj),
+k(di, dj) AS (VALUES (0, 0), (1, 0), (0, 1), (1, 1)),
+w AS (SELECT id, i + di AS i, j + dj AS j, (CASE WHEN di = 0 THEN 1 - (fi - i) ELSE fi - i END) * (CASE WHEN dj = 0 THEN 1 - (fj - j) ELSE fj - j END) AS w FROM q, k),
+b AS (SELECT w.id, sum(w * f.v) AS v, count(f.v) AS got, count(*) AS need FROM w LEFT JOIN f ON f.i = w.i AND f.j = w.j WHERE w > 0 GROUP BY w.id),
+a AS (SELECT id, CASE WHEN got = need THEN v END AS v FROM b)"""
+
+
+def _on_field(spark: SparkSession, d: str) -> DataFrame:
+    c = customers(spark, d)
+    return c.select("id", ((F.col("lon") + 180) / 4.5 + 0.0137).alias("lon"), ((F.col("lat") + 85) / 10 + 0.0171).alias("lat"), (F.col("id") % 53).cast("double").alias("depth"))
+
+
+@query(
+    "grid2loc_levels",
+    _AT.format(i="x / 2", j="y / 3")
+    + """ SELECT u.id, round(CASE WHEN u.z / (10 + 0.1 * u.x + 0.05 * u.y) <= 5 THEN a.v * (1 + 0.1 * u.z / (10 + 0.1 * u.x + 0.05 * u.y)) END, 3) AS v FROM u LEFT JOIN a ON u.id = a.id""",
+)
+def _(spark, d):
+    levels_ = F.explode(F.sequence(F.lit(0), F.lit(5)))
+    field = cells(spark, d).withColumn("k", levels_).withColumn("depth", F.col("k") * (10 + 0.1 * F.col("lon") + 0.05 * F.col("lat")))
+    field = field.withColumn("v", F.col("v") * (1 + 0.1 * F.col("k")))
+    out = interp.grid2loc(field, _on_field(spark, d), {"i": "lon", "j": "lat"}, "v", level="k", level_coord="depth")
+    return out.select("id", r("v", 3).alias("v"))
+
+
+@query(
+    "curvilinear2loc",
+    _AT.format(i="(3 * x - 0.3 * y) / 5.97", j="(2 * y - 0.1 * x) / 5.97")
+    + " SELECT u.id, round(coalesce(q.fi, -1), 5) AS p, round(coalesce(q.fj, -1), 5) AS q, round(a.v, 3) AS v FROM u LEFT JOIN q ON u.id = q.id LEFT JOIN a ON u.id = a.id",
+)
+def _(spark, d):
+    field = cells(spark, d).withColumns({"lon": 2.0 * F.col("i") + 0.3 * F.col("j"), "lat": 3.0 * F.col("j") + 0.1 * F.col("i")})
+    return interp.curvilinear2loc(field, _on_field(spark, d)).select("id", r("p", 5).alias("p"), r("q", 5).alias("q"), r("v", 3).alias("v"))
+
+
+# Dimensions.
+
+
+def _pad_query(mode: str, low: str, high: str) -> None:
+    @query(
+        f"grid_pad_{mode}",
+        f"""WITH {LEVELS}, q AS (SELECT prof, lvl, v, count(*) OVER (PARTITION BY prof) AS n FROM l)
+SELECT prof, lvl, round(v, 4) AS v FROM q UNION ALL SELECT prof, 0, round(v, 4) FROM q WHERE {low} UNION ALL SELECT prof, CAST(n + 1 AS INTEGER), round(v, 4) FROM q WHERE {high}""",
+    )
+    def _(spark, d):
+        return grid.pad(levels(spark, d), ["prof"], "lvl", ["v"], 1, 1, mode).select("prof", "lvl", r("v").alias("v"))
+
+
+_pad_query("reflect", "lvl = 2", "lvl = n - 1")
+_pad_query("symmetric", "lvl = 1", "lvl = n")
+_pad_query("wrap", "lvl = n", "lvl = 1")
+
+
+@query("iminmax", f"WITH {LEVELS} SELECT prof, coalesce(min(lvl) FILTER (v IS NOT NULL), 0) AS imin, coalesce(max(lvl) FILTER (v IS NOT NULL), 0) AS imax FROM l GROUP BY prof")
+def _(spark, d):
+    out = coords.iminmax(levels(spark, d), ["prof"], "lvl", "v")
+    return out.select("prof", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("imin", "imax")])
+
+
+@query("mask_counts", f"WITH {LEVELS} SELECT prof, CAST(sum(CAST(v IS NULL AS INTEGER)) AS BIGINT) AS masked, count(*) AS total, bool_or(v IS NULL) AS any_masked FROM l GROUP BY prof")
+def _(spark, d):
+    return coords.mask_counts(levels(spark, d), ["prof"], "v")
+
+
+@query("time_mean", f"WITH {HOURS} SELECT event_type, round(avg(value), 4) AS value FROM h GROUP BY event_type")
+def _(spark, d):
+    return coords.reduce_mean(hours(spark, d), ["event_type"], "value").select("event_type", r("value").alias("value"))
+
+
+@query("ensemble_std", f"WITH {HOURS} SELECT hour, round(stddev_pop(value), 4) AS value FROM h GROUP BY hour")
+def _(spark, d):
+    return coords.reduce_std(hours(spark, d), ["hour"], "value").select("hour", r("value").alias("value"))
+
+
+@query(
+    "rate_of_change",
+    f"""WITH {HOURS}, x AS (SELECT *, lag(value) OVER w AS v0, lead(value) OVER w AS v1, lag(hour) OVER w AS t0, lead(hour) OVER w AS t1 FROM h WINDOW w AS (PARTITION BY event_type ORDER BY hour))
+SELECT event_type, hour, round((CASE WHEN t1 IS NULL THEN value ELSE v1 END - CASE WHEN t0 IS NULL THEN value ELSE v0 END) / (epoch(coalesce(t1, hour)) - epoch(coalesce(t0, hour))) * 3600, 4) AS value FROM x""",
+)
+def _(spark, d):
+    out = coords.rate_of_change(hours(spark, d), ["event_type"], "hour", ["value"])
+    return out.select("event_type", "hour", F.round(F.col("value") * 3600, 4).alias("value"))
+
+
+@query("unravel_index", f"WITH {CELLS}, x AS (SELECT CAST(j AS BIGINT) * 40 + i AS place FROM f) SELECT place, place // 40 AS j, place % 40 AS i FROM x")
+def _(spark, d):
+    rows = cells(spark, d).select(coords.ravel_index(["j", "i"], [1 << 20, 40]).alias("place"))
+    j, i = coords.unravel_index("place", [1 << 20, 40])
+    return rows.select("place", j.alias("j"), i.alias("i"))
+
+
+@query("decode_dz2depth", f"WITH {LEVELS} SELECT prof, lvl, round(y - dz / 2, 6) AS depth FROM p")
+def _(spark, d):
+    frame = GridFrame(levels(spark, d).select("prof", "lvl", "dz"), ("prof", "lvl"), types={"lvl": "z"})
+    frame, name = coords.get_depth(coords.decode_dz2depth(frame, "down"))
+    return frame.df.select("prof", "lvl", r(name, 6).alias("depth"))
+
+
 # Geostatistics.
 
 
