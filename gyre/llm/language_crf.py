@@ -44,7 +44,7 @@ UNDECIDED = "und"
 _BASE = 0x9E3779B97F4A7C15
 
 
-@functools.cache
+@functools.lru_cache(2)
 def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     """2**bits powers of an odd constant and of its inverse, modulo 2**64: a feature may share its place with others."""
     up, down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full((1 << bits) - 1, np.uint64(x))]), dtype=np.uint64) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
@@ -56,7 +56,7 @@ class Features:
 
     def __init__(self, words: Words):
         data, n = words.data, len(words.data)
-        up, down = _powers(n.bit_length())
+        up, down = _powers(max(20, (n - 1).bit_length()))
         total = np.zeros(n + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
         start, end = words.start, words.end

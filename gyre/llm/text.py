@@ -34,7 +34,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-@functools.cache
+@functools.lru_cache(2 * len(_FIELDS))
 def _powers(field: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of a field's base and of its inverse, up to the n-th."""
     prime, base = _FIELDS[field]
