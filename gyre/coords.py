@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField
 
+from gyre.errors import CoordsError
 from gyre.gridframe import GridFrame
 from gyre.meta import specs as meta
 from gyre.operators.grid import dz2depth
@@ -25,7 +26,7 @@ def find_coord(frame: GridFrame, generic: str, errors: str = "raise") -> str | N
     """The column that is the coordinate; with ``errors="ignore"`` None where there is none."""
     found = meta.infer(frame.df).search(frame.df, generic, "coords")
     if found is None and errors == "raise":
-        raise KeyError(f"no column is {generic}")
+        raise CoordsError(f"no column is {generic}")
     return found
 
 
@@ -53,7 +54,7 @@ def get_vertical(frame: GridFrame, errors: str = "raise") -> str | None:
     """The depth, or else the altitude."""
     found = next((c for g in VERTICAL if (c := find_coord(frame, g, "ignore"))), None)
     if found is None and errors == "raise":
-        raise KeyError("no column is a depth or an altitude")
+        raise CoordsError("no column is a depth or an altitude")
     return found
 
 
@@ -72,7 +73,7 @@ def get_depth(frame: GridFrame, errors: str = "raise", kind: str | None = None,
     if thickness and kind in (None, "dz"):
         return decode_dz2depth(frame, name=name), name
     if errors == "raise":
-        raise KeyError("no column is a depth, a level with formula terms, or a thickness")
+        raise CoordsError("no column is a depth, a level with formula terms, or a thickness")
     return frame, None
 
 
@@ -138,7 +139,7 @@ def get_dim(frame: GridFrame, kind: str, errors: str = "raise") -> str | None:
         if len(along) == 1 and s.axis_of(frame.df.schema[c]) == kind:
             return along[0]
     if errors == "raise":
-        raise KeyError(f"no dimension of type {kind}")
+        raise CoordsError(f"no dimension of type {kind}")
     return None
 
 
@@ -148,7 +149,7 @@ def get_meta_dims(frame: GridFrame, kinds: str, positional: bool = False, errors
     if None in found and positional and len(frame.dims) >= len(kinds):
         return list(frame.dims[-len(kinds) :])
     if None in found and errors == "raise":
-        raise KeyError(f"no dimension of type {kinds[found.index(None)]}")
+        raise CoordsError(f"no dimension of type {kinds[found.index(None)]}")
     return found
 
 

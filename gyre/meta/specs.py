@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField
 
+from gyre.errors import MetaError
 from gyre.meta.locator import Locator
 
 CATEGORIES = ("coords", "data_vars")
@@ -147,7 +148,7 @@ class MetaSpecs:
             if item:
                 hits += [f.name for f in df.schema.fields if self.match_item(f, item, c, loc) and f.name not in hits]
         if errors == "raise" and len(hits) != 1:
-            raise KeyError(f"{generic}: {len(hits)} columns match")
+            raise MetaError(f"{generic}: {len(hits)} columns match")
         exact = [h for h in hits if self.locator.parse("name", h)[0].lower() == generic.lower()]
         return (exact or hits or [None])[0]
 
@@ -206,6 +207,17 @@ class MetaSpecs:
         """Move all columns from one location to another."""
         return df.withColumnsRenamed({c: self.locator.format("name", c, locs[x]) for c in df.columns if (x := self.locator.parse("name", c)[1]) in locs})
 
+    def add_loc(self, df: DataFrame, column: str, loc: str | None, name: bool = True, attrs: bool = True) -> DataFrame:
+        """Give one column a location, in its name, its standard and long name, or both; None takes it away."""
+        out = []
+        for f in df.schema.fields:
+            meta = dict(f.metadata or {})
+            if f.name == column and attrs:
+                meta.update({k: self.locator.format(k, meta[k], loc) for k in ("standard_name", "long_name") if meta.get(k)})
+            to = self.locator.format("name", column, loc) if f.name == column and name else f.name
+            out.append(F.col(f"`{f.name}`").alias(to, metadata=meta))
+        return df.select(*out)
+
     def score(self, df: DataFrame) -> float:
         """Share of the columns, in percent, whose name is an own name of these specifications."""
         own = {n.lower() for c in CATEGORIES for i in self.items[c].values() for n in ([i.own_name] if i.own_name else [i.name])}
@@ -251,7 +263,7 @@ class MetaSpecs:
         """The dimensions of several types."""
         found = [self.search_dim(dims, k) for k in kinds]
         if errors == "raise" and None in found:
-            raise KeyError(f"no dimension of type {kinds[found.index(None)]}")
+            raise MetaError(f"no dimension of type {kinds[found.index(None)]}")
         return found
 
     def parse_dims(self, dims: tuple[str, ...], wanted: list[str]) -> list[str]:
@@ -260,7 +272,7 @@ class MetaSpecs:
         for w in wanted:
             hit = w if w in dims else self.search_dim(dims, w.lower()) or next((d for d in dims if self.match_dim(d) == w), None)
             if hit is None:
-                raise KeyError(w)
+                raise MetaError(w)
             out.append(hit)
         return out
 
@@ -286,7 +298,7 @@ def variant(df: DataFrame, generics: tuple[str, ...], errors: str = "ignore") ->
         if found and (s.match(df.schema[found]) or (None, None))[1] in generics:
             return found
     if errors == "raise":
-        raise KeyError(f"no column is one of {', '.join(generics)}")
+        raise MetaError(f"no column is one of {', '.join(generics)}")
     return None
 
 
@@ -302,7 +314,7 @@ def from_name(name: str, errors: str = "raise") -> MetaSpecs | None:
     if name == "default":
         return MetaSpecs.default()
     if errors == "raise":
-        raise KeyError(name)
+        raise MetaError(name)
     return None
 
 

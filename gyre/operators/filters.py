@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gyre.errors import TimeStepError
 from gyre.functions.arrays import let
 from gyre.operators.distance import radius_average
 from gyre.scratch import written
@@ -190,9 +191,9 @@ def tidal_filter(df: DataFrame, keys: list[str], time: str, v: str, name: str =
     steps = df.select(seconds.alias("_dt")).agg(F.min("_dt").alias("lo"), F.max("_dt").alias("hi"), F.avg("_dt").alias("mean")).first()
     if steps["mean"] is not None:
         if steps["hi"] - steps["lo"] > dt_tol * steps["mean"]:
-            raise ValueError("the time steps are not regular")
+            raise TimeStepError("the time steps are not regular")
         if steps["mean"] > 3600 * (1 + dt_tol):
-            raise ValueError(f"the rows are {steps['mean']} s apart; an hour at most is needed")
+            raise TimeStepError(f"the rows are {steps['mean']} s apart; an hour at most is needed")
     weights = np.array(tidal_weights(name))
     if steps["mean"] and steps["mean"] < 3600 * (1 - dt_tol):
         per_hour = 3600 / steps["mean"]

@@ -12,7 +12,7 @@ from gyre.meta.specs import MetaSpecs
 from gyre.operators import distance, filters, geostat, grid, interp, regrid, thermdyn
 from gyre.operators.dyn import flow2d
 from gyre.plans.tables import CELLS, HOURS, LEVELS, POINTS, SCALE, cells, customers, hours, levels, suppliers, table
-from gyre.streaming.resample import resample
+from gyre.streaming.resample import resample, tidal_resample
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -412,6 +412,20 @@ def _(spark, d):
     return resample(events, ["event_type"], "ts", "value").select("event_type", "start", r("value").alias("value"), "n")
 
 
+_MEAN = len(filters.tidal_weights("mean"))
+
+
+@query(
+    "tidal_resample",
+    f"""WITH {HOURS}, s AS (SELECT event_type, hour, avg(value) OVER w AS value, count(value) OVER w AS n FROM h
+  WINDOW w AS (PARTITION BY event_type ORDER BY hour RANGE BETWEEN INTERVAL {_MEAN // 2} HOUR PRECEDING AND INTERVAL {_MEAN // 2} HOUR FOLLOWING))
+SELECT event_type, hour, round(value, 4) AS value FROM s WHERE n > {0.5 * _MEAN}""",
+)
+def _(spark, d):
+    events = table(spark, d, "events").withColumn("value", F.col("value") * SCALE)
+    return tidal_resample(events, ["event_type"], "ts", "value", "mean", 0.5).select("event_type", "hour", r("value").alias("value"))
+
+
 # Grids to points.
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gyre.operators import distance, dyn, filters, geostat, grid, interp, regrid, thermdyn
 from gyre.sources.samples import open_sample
-from gyre.streaming.resample import resample
+from gyre.streaming.resample import resample, tidal_resample
 
 
 def values(df, order, col):
@@ -287,6 +287,22 @@ def test_resample_stream(spark, tmp_path):
     assert {(r.start, r.v) for r in spark.table("resampled").collect()} == {(r.start, r.v) for r in resample(df, ["k"], "ts", "v").collect()}
 
 
+def test_tidal_stream(spark, tmp_path):
+    src, w = str(tmp_path / "in"), filters.tidal_weights("demerliac")
+    df = spark.range(6 * 24 * 2).select(F.timestamp_seconds(F.col("id") * 1800).alias("t"), F.lit("a").alias("k"), F.sin("id").alias("v"))
+    df.write.parquet(src)
+    stream = tidal_resample(spark.readStream.schema(df.schema).parquet(src), ["k"], "t", "v", late="1 hour")
+    q = stream.writeStream.format("memory").queryName("tides").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    hourly = [(math.sin(2 * i) + math.sin(2 * i + 1)) / 2 for i in range(6 * 24)]
+    want = {i + 35: sum(a * b for a, b in zip(w, hourly[i:])) / sum(w) for i in range(6 * 24 - 70)}
+    batch = {r.h: r.v for r in tidal_resample(df, ["k"], "t", "v").select((F.unix_seconds("hour") / 3600).alias("h"), "v").collect()}
+    got = {r.h: r.v for r in spark.table("tides").select((F.unix_seconds("hour") / 3600).alias("h"), "v").collect()}
+    assert batch == pytest.approx(want)
+    # The watermark trails the last row by an hour, and so the last hours wait for more.
+    assert len(got) >= len(want) - 3 and got == pytest.approx({h: want[h] for h in got})
+
+
 def test_open_sample(spark, tmp_path):
     (tmp_path / "x.csv").write_text("id,v\n(1),(m)\n1,2.5\n2,3.5\n")
     df = open_sample(spark, str(tmp_path / "x.csv"), "id long, v double", skip_units=True)

@@ -34,6 +34,39 @@ def test_location_formats():
         x.location({"name": "u_u", "standard_name": "x_at_v_location"})
 
 
+def test_locations_of_several_letters():
+    x = Locator(("t", "r", "rho"), {"name": "{root}{loc}"})
+    assert x.parse("name", "temprho") == ("temp", "rho") and x.parse("name", "tempr") == ("temp", "r")
+    assert x.matches("name", "temprho", "temp", "rho") and not x.matches("name", "tempr", "temp", "rho")
+    assert x.matches("name", "tempr", "temp", ["t", "r"]) and x.matches("name", "tempr", "temp", "tr")
+    y = Locator(("a.b",))
+    assert y.parse("name", "x_axb") == ("x_axb", None) and y.parse("name", "x_a.b") == ("x", "a.b")
+
+
+def test_patched_attributes():
+    x = Locator()
+    have = {"standard_name": "sea_water_temperature_at_u_location", "units": "K"}
+    assert x.patch(have, {"long_name": "Temperature", "units": "degC"}) == {"long_name": "Temperature at U location", "units": "K", "standard_name": have["standard_name"]}
+    assert x.patch(have, {"units": "degC"}, "v", replace=True) == {"standard_name": "sea_water_temperature_at_v_location", "units": "degC"}
+
+
+def test_added_location(spark):
+    df = frame(spark, "temp", "sal", temp={"standard_name": "sea_water_temperature"})
+    out = meta.MetaSpecs.default().add_loc(df, "temp", "u")
+    assert out.columns == ["temp_u", "sal"] and out.schema["temp_u"].metadata["standard_name"] == "sea_water_temperature_at_u_location"
+    assert meta.MetaSpecs.default().add_loc(out, "temp_u", None).schema["temp"].metadata["standard_name"] == "sea_water_temperature"
+
+
+def test_errors_are_the_built_in_ones_too():
+    from gyre import errors
+
+    with pytest.raises(errors.MetaError) as e:
+        meta.from_name("nowhere")
+    assert isinstance(e.value, KeyError) and str(e.value) == "nowhere"
+    with pytest.raises(errors.LocationError):
+        Locator().format("name", "temp", "q")
+
+
 def test_vocabulary():
     s = meta.MetaSpecs.default()
     assert len(s.items["data_vars"]) == 154 and len(s.items["coords"]) == 13
