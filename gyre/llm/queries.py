@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gyre.llm import merkle
 from gyre.llm.bpe import bpe_round_trip
 from gyre.llm.exact_dedup import exact_dedup
 from gyre.llm.language_crf import language_id
@@ -112,6 +113,54 @@ def op10_dp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")).drop("token_ids")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third document by its checksum has been tampered with: its text is in lower case."""
+    docs = _documents(spark, sf_dir)
+    small = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    now = merkle.leaf([small if f == "text" else F.col(f) for f in merkle.FIELDS])
+    return merkle.merkle_manifest(docs, changed=F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, now))
+
+
+def _field_sql(*columns: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in columns) + ")"
+
+
+def _tree_sql(name: str, leaves: str) -> str:
+    """All levels of the trees over ``leaves`` (g, i, h, n): the nodes, and what stands left and right of each in its run."""
+    return f"""{name}_all(l, g, i, h, n) AS (
+  SELECT 0, g, i, h, n FROM {leaves} UNION ALL
+  SELECT l + 1, g, i // 8, sha256(string_agg(h, '' ORDER BY i)), (n + 7) // 8 FROM {name}_all WHERE n > 1 GROUP BY l, g, i // 8, n),
+{name}_path AS (
+  SELECT l, g, i, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+         coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b
+  FROM {name}_all WHERE n > 1 WINDOW w AS (PARTITION BY l, g, i // 8 ORDER BY i))"""
+
+
+#: CRC-32 bit by bit: -1 stands for a shift.
+_CRC_SQL = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+    lambda c: list_concat([unicode(c)::BIGINT], [-1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[])))),
+    lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) WHEN s & 1 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END), 4294967295)"""
+OP11_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT *, coalesce('=' || lang, '') AS g, {_field_sql(*merkle.FIELDS)} AS leaf, {_CRC_SQL} % 3 = 0 AS bent,
+         translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS small FROM documents),
+q AS (SELECT g, doc_id, leaf AS h, CASE WHEN bent THEN {_field_sql(*(f if f != "text" else "small" for f in merkle.FIELDS))} ELSE leaf END AS now,
+        row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM d),
+{_tree_sql("low", "q")},
+s AS (SELECT g AS grp, h, '' AS g, row_number() OVER (ORDER BY encode(g)) - 1 AS i, count(*) OVER () AS n FROM low_all WHERE n = 1),
+{_tree_sql("top", "s")},
+m AS (
+  SELECT q.g, q.i, 0 AS part, p.l, p.a, p.b FROM q JOIN low_path p ON p.g = q.g AND p.i = q.i // CAST(pow(8, p.l) AS BIGINT) UNION ALL
+  SELECT q.g, q.i, 1, p.l, p.a, p.b FROM q JOIN s ON s.grp = q.g JOIN top_path p ON p.i = s.i // CAST(pow(8, p.l) AS BIGINT)),
+f AS (SELECT g, i, string_agg(a || b, '' ORDER BY part, l) AS proof, list(a || '|' || b ORDER BY part, l) AS steps FROM m GROUP BY g, i),
+o AS (
+  SELECT q.doc_id, q.h AS leaf, s.h AS subroot, (SELECT h FROM top_all WHERE n = 1) AS root, sha256(coalesce(f.proof, '')) AS proof_sha256,
+         list_reduce(list_concat([q.now], coalesce(f.steps, [])), lambda x, y: sha256(split_part(y, '|', 1) || x || split_part(y, '|', 2))) AS folded_root
+  FROM q JOIN s ON s.grp = q.g LEFT JOIN f ON f.g = q.g AND f.i = q.i)
+SELECT *, folded_root = root AS verified FROM o
+"""
+
+
 QUERIES = {
     "op1_extendible_sharding": op1_extendible_sharding,
     "op2_hyperminhash": op2_hyperminhash,
@@ -123,10 +172,12 @@ QUERIES = {
     "op8_line_spread": op8_line_spread,
     "op9_syncmers": op9_syncmers,
     "op10_dp_packing": op10_dp_packing,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 ORACLE = {
     "op1_extendible_sharding": OP1_SQL,
     "op3_warc_chain": OP3_SQL,
     "op7_streaming_dedup": OP7_SQL,
     "op8_line_spread": OP8_SQL,
+    "op11_merkle_manifest": OP11_SQL,
 }
