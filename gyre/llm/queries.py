@@ -16,6 +16,7 @@ from gyre.llm.packing import pack
 from gyre.llm.sharding import SHARD_BYTES, extendible_shards
 from gyre.llm.substring_dedup import WINDOW, substring_dedup
 from gyre.llm.syncmers import edited_likeness
+from gyre.llm.token_alignment import token_alignment
 from gyre.llm.warc import warc_round_trip
 
 
@@ -161,6 +162,10 @@ SELECT *, folded_root = root AS verified FROM o
 """
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_extendible_sharding": op1_extendible_sharding,
     "op2_hyperminhash": op2_hyperminhash,
@@ -173,6 +178,7 @@ QUERIES = {
     "op9_syncmers": op9_syncmers,
     "op10_dp_packing": op10_dp_packing,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_token_alignment": op12_token_alignment,
 }
 ORACLE = {
     "op1_extendible_sharding": OP1_SQL,
