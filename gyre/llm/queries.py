@@ -10,6 +10,7 @@ from gyre.llm import merkle
 from gyre.llm.bpe import bpe_round_trip
 from gyre.llm.exact_dedup import exact_dedup
 from gyre.llm.language_crf import language_id
+from gyre.llm.license_scan import license_labels
 from gyre.llm.line_dedup import SITES, line_dedup
 from gyre.llm.near_dedup import near_duplicates
 from gyre.llm.packing import pack
@@ -166,6 +167,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_labels(_documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_extendible_sharding": op1_extendible_sharding,
     "op2_hyperminhash": op2_hyperminhash,
@@ -179,6 +184,7 @@ QUERIES = {
     "op10_dp_packing": op10_dp_packing,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_token_alignment": op12_token_alignment,
+    "op13_license_rules": op13_license_rules,
 }
 ORACLE = {
     "op1_extendible_sharding": OP1_SQL,
