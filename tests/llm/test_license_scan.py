@@ -91,6 +91,8 @@ def sample(parsed, rnd):
             out += sample(rnd.choice(arg[1]), rnd)
         elif kind == "MAX_REPEAT":
             out += "".join(sample(arg[2], rnd) for _ in range(rnd.randint(arg[0], min(arg[1], 3))))
+        elif kind == "NOT_LITERAL":
+            out += "q"
         elif kind == "IN":
             literals = [chr(x) for o, x in arg if str(o) == "LITERAL" and x != 32]
             out += rnd.choice(literals or ["q"])
