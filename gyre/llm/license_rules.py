@@ -58,8 +58,8 @@ apache | compliance | you may not use this file except in compliance with the li
 apache-2 | distributed conditions | unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis
 apache-1.1 | apache acknowledgment | this product includes software developed by the apache (?:software foundation|group)
 gpl | redistribute | (?:this program|it) is free software you can redistribute it and or modify it under the terms of the gnu general public license
-gpl-2-or-later | redistribute | it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version
-gpl-3-or-later | redistribute | it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version
+gpl-2-or-later | later | it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version
+gpl-3-or-later | later | it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version
 gpl | merchantability fitness | without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license
 gpl | gnu | you should have received a copy of the gnu general public license along with this program
 lgpl | redistribute | this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license
@@ -94,7 +94,7 @@ gfdl | invariant cover | with no invariant sections no front cover texts and no
 gfdl | gnu | permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license
 artistic-2 | artistic perl | (?:under|of) the (?:terms of the )?artistic license 2 0
 perl | perl | under the same terms as perl(?: itself)?
-ruby | ruby | you can redistribute it and or modify it under either the terms of the (?:gpl|2 clause bsdl?)
+ruby | redistribute | you can redistribute it and or modify it under either the terms of the (?:gpl|2 clause bsdl?)
 php-3.01 | php | this source file is subject to version 3 01 of the php license
 openssl | openssl | this product includes software developed by the openssl project for use in the openssl toolkit
 psf-2 | python psf | python software foundation license(?: version 2)?
@@ -151,14 +151,14 @@ psf | psf python | psf;python software foundation | 2.0
 php | php | php | 3.0 3.01
 ofl | ofl font | ofl;sil ofl;sil open font;open font | 1.0 1.1
 odbl | odbl database | odbl;open database | 1.0
-odc-by | odc | odc by;open data commons attribution | 1.0
+odc-by | odc data | odc by;open data commons attribution | 1.0
 pddl | pddl | pddl | 1.0
 afl | afl academic | afl;academic free | 2.1 3.0
 osl | osl open | osl;open software | 1.0 2.1 3.0
 cecill | cecill | cecill | 1.0 2.0 2.1
 mulan | mulan | mulan psl;mulan permissive software | 1.0 2.0
 ms-pl | microsoft ms | ms pl;microsoft public
-qpl | qpl qt | qpl;q public | 1.0
+qpl | qpl q | qpl;q public | 1.0
 upl | upl universal | upl;universal permissive | 1.0
 zpl | zpl zope | zpl;zope public | 2.0 2.1
 vim | vim | vim
