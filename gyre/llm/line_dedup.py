@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gyre.functions.arrays import let
 from gyre.llm.session import written
 
 #: Distinct sites from which a line is boilerplate.
@@ -74,8 +75,10 @@ def line_dedup(
     placed = placed.where("_line <> ''").select("__gyre_r1", "__gyre_r2", "_at", *_keys(F.col("_line")))
     cut = placed.join(bad, ["_h1", "_h2"], "left_semi").groupBy("__gyre_r1", "__gyre_r2").agg(F.collect_set("_at").alias("__gyre_cut"))
     lines = F.split(F.col(text_col), "\n")
-    left = F.filter(lines, lambda line, i: ~F.array_contains(F.col("__gyre_cut"), i))
-    text = F.when(F.col("__gyre_cut").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
+    # A difference of sets of places: in proportion to the lines, however many are cut.
+    places = lambda every: F.array_except(F.sequence(F.lit(0), F.size(every) - 1), F.col("__gyre_cut"))
+    left = let(lines, lambda every: F.array_join(F.transform(places(every), lambda i: F.get(every, i)), "\n"))
+    text = F.when(F.col("__gyre_cut").isNull(), F.col(text_col)).otherwise(left)
     joined = df.withColumns({"__gyre_r1": row[0], "__gyre_r2": row[1]}).join(cut, ["__gyre_r1", "__gyre_r2"], "left")
     out = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns]
     if counts:

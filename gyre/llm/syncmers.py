@@ -1,16 +1,17 @@
 """Document fingerprints from closed syncmers.
 
-The letters are words, but characters in runs of a script without spaces, in runs of over ``LONG`` characters,
-and in texts that would have fewer than K letters. They are hashed; each K of them in a row are a candidate, and it is an anchor if the least
-hash of its inner pairs of letters lies at its first or last place. Whether a candidate is an anchor depends
-on its own letters only, so equal passages have equal anchors wherever they stand. A fingerprint lists all
-anchors by their hashes, each with its place, and its likeness to another is the share of common hashes
-among those of both. All of it is DataFrame functions on the JVM.
-
-Cases: a null text is empty, and so is its fingerprint; a text of fewer than K characters has one
-anchor, the hash of the text; two empty fingerprints are alike (1), an empty one and another are not (0); rows with
-equal or null identifiers are neighbours in the order of their texts' hashes, null ones last; a single row
-is its own neighbour; an empty table gives no rows; other columns are not read.
+The letters are words, but characters in runs of a script without spaces and in runs of over ``LONG`` characters. They
+are hashed; each K of them in a row are a candidate, and it is an anchor if the least hash of its inner pairs of letters
+lies at its first or last place. Whether a candidate is an anchor depends on its own letters only, so equal passages have
+equal anchors wherever they stand. A fingerprint lists all anchors by their hashes, each with its place. Besides those of
+the letters it has, for every text, the anchors of the ``EDGE`` characters at its start and at its end, with characters as
+letters: they are few beside the words of a long text, and what a text of a few words is known by. Its likeness to another
+is the share of common hashes among those of both. All of it is DataFrame functions on the JVM.
+
+Cases: a null text is empty, and so is its fingerprint; every other text has an anchor: where no candidate is one, the
+first edge's candidate of least hash, and with fewer than K characters the text itself; two empty fingerprints are alike
+(1), an empty one and another are not (0); rows with equal or null identifiers are neighbours in the order of their texts'
+hashes, null ones last; a single row is its own neighbour; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import types as T
 
 #: Letters of an anchor, and characters of the longest run that is one letter.
 K, LONG = 5, 32
+#: Characters at either end of a text that are letters as well.
+EDGE = 32
 #: A character of a script that is written without spaces.
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]"
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -42,42 +45,62 @@ def _anchor(hashed: Column, place: Column) -> Column:
     return hashed.bitwiseAND(F.lit(~low)).bitwiseOR(F.least(place, F.lit(low)).cast("long"))
 
 
-def anchors(text: Column, kept: int | None = None) -> Column:
-    """The anchors of a text, or the ``kept`` least, as rising numbers: the hash in the upper 40 bits, the place below.
+def _closed(pairs: Column, first: Column | None = None, least: bool = False) -> Column:
+    """The anchors among candidates of K letters, by the hashes of pairs of letters; places count from ``first``.
 
-    Places from 2**24 on, in texts of some hundred MB, are given as 2**24 - 1.
+    ``least`` takes the candidate of least hash where there is no anchor.
     """
+    place = lambda i: i if first is None else i + first
+    hashed = lambda i: F.xxhash64(F.get(pairs, i), F.get(pairs, i + 1), F.get(pairs, i + (K - 2)))
+    # The last letter's pair is no pair, and is left out.
+    starts = F.slice(pairs, F.lit(1), F.greatest(F.size(pairs) - (K - 1), F.lit(0)))
+
+    def look(first_pair: Column, i: Column) -> Column:
+        inner = [F.get(pairs, i + j) for j in range(1, K - 2)]
+        at_edge = F.least(first_pair, F.get(pairs, i + (K - 2))) <= F.least(*inner)
+        return F.when(at_edge, _anchor(hashed(i), place(i)))
 
-    def of_pairs(pairs: Column) -> Column:
-        def look(first: Column, i: Column) -> Column:
-            inner = [F.get(pairs, i + j) for j in range(1, K - 2)]
-            last = F.get(pairs, i + (K - 2))
-            at_edge = F.least(first, last) <= F.least(*inner)
-            return F.when(at_edge, _anchor(F.xxhash64(first, inner[0], last), i))
+    found = F.array_compact(F.transform(starts, look))
+    if not least:
+        return found
+    one = lambda: F.array_compact(F.array(F.array_min(F.transform(starts, lambda _, i: _anchor(hashed(i), place(i))))))
+    return let(found, lambda x: F.when(F.size(x) > 0, x).otherwise(one()))
 
-        found = F.transform(F.slice(pairs, F.lit(1), F.size(pairs) - (K - 1)), look)
-        return F.array_sort(F.array_compact(found))
 
-    def cut(found: Column) -> Column:
-        return found if kept is None else F.slice(let(found, _first_places), 1, kept)
+def anchors(text: Column, kept: int | None = None) -> Column:
+    """The anchors of a text's letters, or the ``kept`` least, as rising numbers: the hash in the upper 40 bits, the place below.
+
+    A text of fewer than K letters has none. Places from 2**24 on, in texts of some hundred MB, are given as 2**24 - 1.
+    """
+    cut = lambda found: found if kept is None else F.slice(let(found, _first_places), 1, kept)
 
     def pick(words: Column) -> Column:
-        short = F.when(F.length(text) == 0, F.array().cast("array<bigint>")).otherwise(F.array(_anchor(F.xxhash64(text), F.lit(0))))
-        # The last letter's pair is no pair, and is left out.
         pairs = F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1)))
-        return F.when(F.size(words) < K, short).otherwise(cut(let(pairs, of_pairs)))
+        return cut(F.array_sort(let(pairs, lambda p: _closed(p))))
 
     return let(_letters(text), pick)
 
 
+def fingerprint(text: Column) -> Column:
+    """A text's anchors, those of its letters and of the characters at its edges, as rising numbers."""
+    n = F.length(text)
+
+    def edge(part: Column, first: Column, least: bool) -> Column:
+        pairs = lambda c: F.transform(c, lambda x, i: F.xxhash64(F.lit("edge"), x, F.get(c, i + 1)))
+        return let(F.split(part, ""), lambda c: let(pairs(c), lambda p: _closed(p, first, least)))
+
+    head = edge(F.left(text, F.lit(EDGE)), F.lit(0), True)
+    tail = edge(F.right(text, F.lit(EDGE)), F.greatest(n - EDGE, F.lit(0)), False)
+    whole = F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.array(_anchor(F.xxhash64(text), F.lit(0))))
+    return F.when(n < K, whole).otherwise(F.array_sort(F.concat(anchors(text), F.array_union(head, tail))))
+
+
 def _letters(text: Column) -> Column:
-    """Words, or characters where a run or the text has too few words."""
+    """Words, or characters of a run of them without spaces."""
     trimmed = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
     dense = UNSPACED + r"|[^\x20\x09-\x0D]{%d}" % (LONG + 1)
     apart = lambda words: F.flatten(F.transform(words, lambda w: F.when(w.rlike(dense), F.split(w, "")).otherwise(F.array(w))))
-    whole = let(F.split(trimmed, _SPACE), lambda words: F.when(text.rlike(dense), apart(words)).otherwise(words))
-    characters = F.split(F.regexp_replace(trimmed, _SPACE, ""), "")
-    return let(whole, lambda letters: F.when(F.size(letters) < K, characters).otherwise(letters))
+    return let(F.split(trimmed, _SPACE), lambda words: F.when(text.rlike(dense), apart(words)).otherwise(words))
 
 
 def _hash(anchor: Column) -> Column:
@@ -147,9 +170,12 @@ def with_next(df: DataFrame, id_col: str, columns: list[str], derived: dict[str,
     first = Window.partitionBy("_part").orderBy(*by_id)
     heads = placed.withColumn("_rank", F.row_number().over(first)).where("_rank = 1").drop("_rank")
     # Parts fall with the order of rows: a head goes to the next part above its own, that of the highest to the lowest.
-    above = F.lag("_part").over(Window.orderBy(F.col("_part").desc()))
-    whole = Window.orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ends = heads.withColumn("_part", F.coalesce(above, F.last("_part").over(whole)))
+    # The numbers of the parts alone, ``WINDOWS`` at most, meet in one task and are broadcast.
+    downward = Window.orderBy(F.col("_part").desc())
+    whole = downward.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    parts = placed.select("_part").distinct()
+    goes = parts.select("_part", F.coalesce(F.lag("_part").over(downward), F.last("_part").over(whole)).alias("_to"))
+    ends = heads.join(F.broadcast(goes), "_part").withColumn("_part", F.col("_to")).drop("_to")
     rows = placed.withColumn("_end", F.lit(False)).unionByName(ends.withColumn("_end", F.lit(True)))
     rows = rows.repartition("_part").sortWithinPartitions("_part", "_end", *by_id).withColumns(derived or {})
     given = [*columns, *(derived or {})]
@@ -184,14 +210,14 @@ def edited_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     base = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     # Texts alone are shuffled, since their anchors take as much room again.
-    rows = with_next(base, "_id", ["_text"], {"_own": anchors(F.col("_text"))})
+    rows = with_next(base, "_id", ["_text"], {"_own": fingerprint(F.col("_text"))})
     third = F.floor(F.col("n_chars") / 3).cast("int")
     rows = rows.withColumn("n_chars", F.length("_text").cast("long"))
     edited = F.concat(
         F.substring(F.col("_text"), F.lit(1), (F.col("n_chars") - third).cast("int")), F.substring(F.col("next__text"), F.lit(1), third)
     )
     own = F.col("_own")
-    other = let(edited, lambda e: let(anchors(e), lambda a: F.struct(F.sha2(e, 256).alias("sha"), shown(a).alias("shown"), likeness(own, a).alias("near"))))
+    other = let(edited, lambda e: let(fingerprint(e), lambda a: F.struct(F.sha2(e, 256).alias("sha"), shown(a).alias("shown"), likeness(own, a).alias("near"))))
     compared = F.struct(shown(own).alias("shown"), other.alias("edited"), likeness(own, F.col("next__own")).alias("next"))
     return rows.select(F.col("_id").alias(id_col), "n_chars", compared.alias("_e")).select(
         id_col,

@@ -17,7 +17,8 @@ offsets a candidate; a file has at most ``records_per_file`` records.
 Cases: a null payload is empty; a null URL gives no target header; line ends in a URL become spaces, and
 the W of a version string at its end %57; a chain that breaks before its last candidate is an error; a
 null identifier comes back as null and, among equal payloads, revisits the largest identifier, or is a
-response where none has one; rows that repeat identifier and payload are all responses; an empty table
+response where none has one; identifiers are percent-encoded, so that any string comes back as it was, an
+empty one too; rows that repeat identifier and payload are all responses; an empty table
 gives no records; other columns are not read.
 """
 
@@ -66,7 +67,8 @@ def write_warc(
     keep = rows.groupBy("_same").agg(F.max("_id").alias("_keep"))
     rows = rows.join(keep, "_same").withColumn("_digest", base32_sha1("_payload"))
     again = (F.octet_length("_payload") >= min_revisit_bytes) & ~F.col("_id").eqNullSafe(F.col("_keep"))
-    urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
+    # Percent signs stand for what could end a line or the URN.
+    urn = lambda c: F.coalesce(F.concat(F.lit("<urn:page:"), F.url_encode(F.col(c).cast("string")), F.lit(">")), F.lit("<urn:page>"))
     line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit(END)), F.lit(""))
     body = F.concat(F.lit(HTTP), F.when(again, F.lit("")).otherwise(F.col("_payload")))
     record = F.concat(
@@ -210,13 +212,13 @@ def warc_round_trip(df: DataFrame, id_col: str = "page_id", url_col: str = "url"
     path = shared_dir(spark, "warc")
     write_warc(df, path, id_col, url_col, payload_col, **options)
     kind = df.schema[id_col].dataType.simpleString()
-    number = lambda c: F.regexp_extract(c, r"<urn:page:(.+)>", 1)
+    named = lambda c: F.when(F.col(c).startswith("<urn:page:"), F.url_decode(F.regexp_extract(c, r"<urn:page:(.*)>", 1))).cast(kind)
     found = read_warc(spark, path, payload=False).select(
-        F.when(number("record_id") != "", number("record_id")).cast(kind).alias(id_col),
+        named("record_id").alias(id_col),
         "payload_bytes",
         "payload_digest",
         "record_type",
-        F.when(number("refers_to") != "", number("refers_to")).cast(kind).alias("refers_to"),
+        named("refers_to").alias("refers_to"),
         F.substring_index("digest", ":", -1).alias("_digest"),
     )
     found = written(found, "warc-records")

@@ -3,6 +3,7 @@ import hashlib
 import random
 import struct
 import sys
+import time
 import zlib
 from pathlib import Path
 
@@ -433,6 +434,19 @@ def test_lines_of_odd_rows(odd, none):
     assert line_dedup.line_dedup(none).count() == 0
 
 
+def test_lines_of_a_long_text_in_proportion(spark):
+    """Texts that are boilerplate throughout: eight times the lines take about eight times as long."""
+    took = []
+    for n in (5_000, 40_000):
+        text = "\n".join(f"line {i}" for i in range(n))
+        df = spark.createDataFrame([(i, text if i else text + "\nown", f"s{i}") for i in range(7)], "doc_id long, text string, source string").repartition(7)
+        began = time.monotonic()
+        out = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.line_dedup(df, counts=True).collect()}
+        took.append(time.monotonic() - began)
+        assert out == {i: ("" if i else "own", n) for i in range(7)}
+    assert took[1] < 8 * max(took[0], 3)
+
+
 # 9
 
 
@@ -492,12 +506,24 @@ def test_anchors_of_texts_without_spaces(spark):
     for text in (run(0x4E00, 300), "".join(rnd.choice("abcdefghij") for _ in range(300)), "one two three"):
         edited = text[: len(text) * 2 // 3] + "x"
         df = spark.createDataFrame([(text, edited, f"ab cd {text} ef")], "a string, b string, c string")
-        x, y, z = (syncmers.anchors(F.col(c)) for c in "abc")
-        out = df.select(syncmers.likeness(x, y).alias("n"), syncmers.common_places(x, z).alias("p"), F.size(x).alias("size")).first()
-        assert out.n > 0.2 and out.size > 1
+        x, z = (syncmers.anchors(F.col(c)) for c in "ac")
+        near = syncmers.likeness(*(syncmers.fingerprint(F.col(c)) for c in "ab"))
+        out = df.select(near.alias("n"), syncmers.common_places(x, z).alias("p"), F.size(x).alias("size")).first()
+        assert out.n > 0.2
         if len(text) == 300:
             assert out.size > 100 and {p.b - p.a for p in out.p} == {2} and len(out.p) > 90
-    assert spark.createDataFrame([("a b",)], "a string").select(F.size(syncmers.anchors(F.col("a")))).first()[0] == 1
+    assert spark.createDataFrame([("a b",)], "a string").select(F.size(syncmers.fingerprint(F.col("a")))).first()[0] == 1
+
+
+def test_short_texts_are_like_their_edited_form_and_unlike_others(spark):
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(3, 9)))
+    for n in (4, 5, 6):
+        rows = [(i, " ".join(word() for _ in range(n))) for i in range(60)]
+        out = syncmers.edited_likeness(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert all(r.fingerprint for r in out) and max(r.near_next for r in out) < 0.3
+        near = sorted(r.near_edited for r in out)
+        assert near[0] > 0 and 0.35 < near[len(near) // 2] < 0.65
 
 
 @pytest.mark.parametrize("kind", ["long", "string", "date", "decimal(9,2)"])
@@ -520,25 +546,33 @@ def test_fingerprints_against_brute_force(spark):
     signed = lambda h: h - (1 << 64) if h >> 63 else h
     chained = lambda *xs: functools.reduce(lambda seed, x: xxhash.xxh64_intdigest(x if isinstance(x, bytes) else struct.pack("<q", x), seed), xs, 42)
 
+    def closed(pairs):
+        every = [chained(pairs[i], pairs[i + 1], pairs[i + 3]) >> 24 for i in range(len(pairs) - 3)]
+        return [h for i, h in enumerate(every) if min(pairs[i], pairs[i + 3]) <= min(pairs[i + 1], pairs[i + 2])], every
+
     def anchors(text):
+        if len(text) < 5:
+            return {chained(text.encode()) >> 24} if text else set()
         w = text.encode().split()
-        pairs = [signed(chained(a, b)) for a, b in zip(w, w[1:])]
-        out = set()
-        for i in range(len(pairs) - 3):
-            if min(pairs[i], pairs[i + 3]) <= min(pairs[i + 1], pairs[i + 2]):
-                out.add(chained(pairs[i], pairs[i + 1], pairs[i + 3]) >> 24)
+        out = set(closed([signed(chained(a, b)) for a, b in zip(w, w[1:])])[0])
+        for part in (text[:32], text[-32:]):
+            c = [x.encode() for x in part]
+            found, every = closed([signed(chained(b"edge", a, b)) for a, b in zip(c, c[1:])])
+            out |= set(found or ([min(every, key=lambda h: h - (h >> 39 << 40))] if part == text[:32] else []))
         return out
 
     rnd = random.Random(8)
     stock = [" ".join(f"q{rnd.randint(0, 300)}" for _ in range(rnd.randint(20, 90))) for _ in range(25)]
     rows = [(i, rnd.choice(stock) + " " + rnd.choice(stock)) for i in range(40)]
+    rows += [(100 + 20 * n + i, " ".join(rnd.choice(stock).split()[:n])) for n in range(1, 13) for i in range(8)]
+    rows += [(900 + n, "x" * n) for n in range(9)] + [(950, " " * 9), (951, "ab ab ab ab ab ab")]
     ordered = sorted(rows, reverse=True)
     out = {r.doc_id: r for r in syncmers.edited_likeness(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for n, (i, t) in enumerate(ordered):
         following, m = ordered[(n + 1) % len(ordered)][1], len(t) // 3
         edited = t[: len(t) - m] + following[:m]
         own = anchors(t)
-        assert {int(x.split(":")[0], 16) for x in out[i].fingerprint.split(",")} == own
+        assert {int(x.split(":")[0], 16) for x in out[i].fingerprint.split(",") if x} == own and bool(own) == bool(t)
         assert out[i].near_edited == pytest.approx(plain_likeness(own, anchors(edited)))
         assert out[i].near_next == pytest.approx(plain_likeness(own, anchors(following)))
 
