@@ -8,39 +8,86 @@ from pyspark.sql import functions as F
 
 from gyre.functions.arrays import count_upto, let
 from gyre.operators.regrid import profiles, value_at
+from gyre.scratch import written
 
 
-def _axis(grid: DataFrame, index: str, coord: str) -> list[float]:
-    """The coordinates of an axis by rising index; an error if they change along another dimension, or do not rise.
+#: Nodes of an axis that become a literal of the plan; the intervals of longer ones are joined.
+LITERAL = 4096
 
-    An axis is a dimension of the grid, far smaller than it.
-    """
-    rows = grid.groupBy(index).agg(F.min(coord).alias("_c"), F.max(coord).alias("_d")).orderBy(index).collect()
-    nodes = [float(r["_c"]) for r in rows]
-    if any(float(r["_d"]) - float(r["_c"]) > 1e-9 * max(1.0, abs(float(r["_c"]))) for r in rows):
+
+def _axis(grid: DataFrame, index: str, coord: str) -> DataFrame:
+    """The nodes of an axis: index, _c. An error if the coordinate changes along another dimension, or does not rise."""
+    nodes = grid.groupBy(F.col(index).cast("long").alias("_i")).agg(F.min(coord).cast("double").alias("_c"), F.max(coord).cast("double").alias("_d"))
+    nodes = written(nodes, "axis")
+    if not nodes.where(F.col("_d") - F.col("_c") > 1e-9 * F.greatest(F.lit(1.0), F.abs("_c"))).isEmpty():
         raise ValueError(f"{coord} changes along other dimensions than {index}; use level_coord or curvilinear2loc")
-    if any(b <= a for a, b in zip(nodes, nodes[1:])):
+    after = nodes.select((F.col("_i") - 1).alias("_i"), F.col("_c").alias("_next"))
+    if not nodes.join(after, "_i").where("_next <= _c").isEmpty():
         raise ValueError(f"{coord} does not rise with {index}")
-    return nodes
+    return nodes.select("_i", "_c")
+
+
+def _bracketed(rows: DataFrame, grid: DataFrame, index: str, coord: str, period: float | None, literal: int) -> DataFrame:
+    """Add where each row lies on an axis: _i and _j, the nodes around it, and _a, its share of the way; null outside.
+
+    With a ``period`` the axis is a ring: behind its last node comes the first one again.
+    """
+    nodes = _axis(grid, index, coord)
+    n, low, high = nodes.agg(F.count(F.lit(1)), F.min("_c"), F.max("_c")).first()
+    names = [f"_{x}_{index}" for x in "ija"]
+    if not n:
+        return rows.withColumns({c: F.lit(None).cast("double" if c.startswith("_a") else "long") for c in names})
+    x = F.col(coord).cast("double")
+    if period:
+        x = F.lit(low) + F.pmod(x - F.lit(low), F.lit(float(period)))
+    closing = bool(period) and high < low + period
+    if n <= literal:
+        listed = sorted((r["_c"], r["_i"]) for r in nodes.collect())
+        coords, places = [c for c, _ in listed], [i for _, i in listed]
+        if closing:
+            coords, places = [*coords, low + period], [*places, places[0]]
+        at, numbers = F.array(*map(F.lit, coords)), F.array(*[F.lit(i).cast("long") for i in places])
+        k = F.when((x >= coords[0]) & (x <= coords[-1]), count_upto(at, len(coords), x) - 1)
+        share = lambda k: F.coalesce((x - F.get(at, k)) / (F.get(at, k + 1) - F.get(at, k)), F.lit(0.0))
+        rows = rows.withColumn("_k", k)
+        found = [F.get(numbers, F.col("_k")), F.get(numbers, F.col("_k") + 1), F.when(F.col("_k").isNotNull(), share(F.col("_k")))]
+        return rows.withColumns(dict(zip(names, found))).drop("_k")
+    # Intervals and rows meet on bins of the mean width of an interval, or wider ones of which an interval takes few.
+    ends = nodes.select((F.col("_i") - 1).alias("_i"), F.col("_i").alias("_j"), F.col("_c").alias("_e"))
+    parts = nodes.join(ends, "_i").select("_i", "_j", "_c", "_e", F.lit(False).alias("_last"))
+    final = nodes.where(F.col("_c") == high).select("_i", F.lit(None).cast("long").alias("_j"), "_c", F.col("_c").alias("_e"), F.lit(True).alias("_last"))
+    if closing:
+        first = nodes.where(F.col("_c") == low).select(F.col("_i").alias("_j"))
+        final = final.drop("_j").join(F.broadcast(first)).select("_i", "_j", "_c", F.lit(low + period).alias("_e"), F.lit(False).alias("_last"))
+    width = ((low + period if closing else high) - low) / n or 1.0
+    bin_of = lambda c: F.floor((c - F.lit(low)) / width)
+    parts = parts.unionByName(final).withColumn("_bin", F.explode(F.sequence(bin_of(F.col("_c")), bin_of(F.col("_e")))))
+    rows = rows.withColumn("_x", x).withColumn("_bin", bin_of(F.col("_x")))
+    parts = parts.withColumnRenamed("_bin", "_pbin")
+    inside = (F.col("_bin") == F.col("_pbin")) & (F.col("_x") >= F.col("_c")) & ((F.col("_x") < F.col("_e")) | (F.col("_last") & (F.col("_x") == F.col("_e"))))
+    met = rows.join(parts, inside, "left")
+    share = F.when(F.col("_last"), F.lit(0.0)).otherwise((F.col("_x") - F.col("_c")) / (F.col("_e") - F.col("_c")))
+    return met.withColumns({names[0]: F.col("_i"), names[1]: F.col("_j"), names[2]: share}).drop("_i", "_j", "_c", "_e", "_last", "_bin", "_pbin", "_x")
 
 
 def grid2loc(
     grid: DataFrame, points: DataFrame, axes: dict[str, str], v: str | list[str], extra: list[str] = (), period: dict[str, float] | None = None,
-    level: str | None = None, level_coord: str | None = None,
+    level: str | None = None, level_coord: str | None = None, literal: int = LITERAL,
 ) -> DataFrame:
     """Linear interpolation at points over up to four axes: id, extra dimensions, v (one column or several).
 
     ``axes`` maps an index column of the grid (from 0 on, rising with its coordinate) to the coordinate's
     column, which both frames have. A point outside an axis, without a coordinate, or with a missing corner
-    has a missing value; on the last node the corner beyond it is not needed. ``period`` wraps an axis. Each
-    point explodes to its corners, at most two an axis, and these meet the cells by an equi-join.
+    has a missing value; on the last node the corner beyond it is not needed. ``period`` makes an axis a ring, whose
+    first node follows on the last. Each point explodes to its corners, at most two an axis, and these meet the cells by
+    an equi-join. Axes of more than ``literal`` nodes are joined by their intervals; the result is the same.
 
     ``level`` is the index of a dimension whose coordinate, ``level_coord``, changes from cell to cell, such as the
     depth of terrain-following levels: it is interpolated along the other axes first, with the values.
     """
     if level:
         names = [v] if isinstance(v, str) else list(v)
-        columns = grid2loc(grid, points, axes, [level_coord, *names], [*extra, level], period).where(F.col(level).isNotNull())
+        columns = grid2loc(grid, points, axes, [level_coord, *names], [*extra, level], period, literal=literal).where(F.col(level).isNotNull())
         found = points.select("id")
         for name in names:
             one = profiles(columns, ["id", *extra], level_coord, name).join(points.select("id", F.col(level_coord).cast("double").alias("_y")), "id")
@@ -50,23 +97,13 @@ def grid2loc(
     rows = points.select("id", *dict.fromkeys(axes.values()))
     names = []
     for index, coord in axes.items():
-        nodes = _axis(grid, index, coord)
-        at = F.array(*[F.lit(x) for x in nodes])
-        x = F.col(coord).cast("double")
-        if period and coord in period:
-            x = F.lit(nodes[0]) + F.pmod(x - nodes[0], F.lit(period[coord]))
-        inside = (x >= nodes[0]) & (x <= nodes[-1])
-        lower = F.when(inside, count_upto(at, len(nodes), x) - 1)
-        rows = rows.withColumn(f"_i_{index}", lower).withColumn(f"_x_{index}", x)
-        low, high = F.get(at, F.col(f"_i_{index}")), F.get(at, F.col(f"_i_{index}") + 1)
-        share = F.coalesce((F.col(f"_x_{index}") - low) / (high - low), F.lit(0.0))
-        rows = rows.withColumn(f"_a_{index}", F.when(F.col(f"_i_{index}").isNotNull(), share))
+        rows = _bracketed(rows, grid, index, coord, (period or {}).get(coord), literal)
         names.append(index)
     corner = rows
     for index in names:
         pair = F.array(
             F.struct(F.col(f"_i_{index}").alias("i"), (1 - F.col(f"_a_{index}")).alias("w")),
-            F.struct((F.col(f"_i_{index}") + 1).alias("i"), F.col(f"_a_{index}").alias("w")),
+            F.struct(F.col(f"_j_{index}").alias("i"), F.col(f"_a_{index}").alias("w")),
         )
         # A corner without weight is not asked for.
         corner = corner.withColumn(f"_c_{index}", F.explode_outer(F.filter(pair, lambda c: c["w"] > 0)))
@@ -96,6 +133,9 @@ def curvilinear2loc(grid: DataFrame, points: DataFrame, ydim: str = "j", xdim: s
     Columns: id, p and q (place along xdim and ydim, whole part the cell, -1 outside), v. The cells, as
     quadrilaterals of four nodes, and the points meet on bins about as large as a cell; of several cells that hold
     a point the one of least indices counts. A missing corner of any weight gives a missing value.
+
+    Longitudes are unrolled around each cell, and bins go round the globe, so that cells across the date line are as
+    narrow as any. A cell whose corners turn around a pole is laid out on the plane around that pole.
     """
     node = F.struct(F.col(lon).cast("double").alias("x"), F.col(lat).cast("double").alias("y"), F.col(v).cast("double").alias("v"))
     # A node is a corner of up to four cells.
@@ -104,20 +144,23 @@ def curvilinear2loc(grid: DataFrame, points: DataFrame, ydim: str = "j", xdim: s
     of_cell = own.groupBy((F.col(ydim) - F.col("_d.dj")).alias("_j"), (F.col(xdim) - F.col("_d.di")).alias("_i"))
     corner = lambda di, dj: F.max(F.when((F.col("_d.di") == di) & (F.col("_d.dj") == dj), F.col("_n")))
     cells = of_cell.agg(*[corner(*d).alias(f"_n{k}") for k, d in enumerate(((0, 0), (1, 0), (1, 1), (0, 1)))])
-    cells = cells.where(" AND ".join(f"_n{k} IS NOT NULL" for k in range(4)))
-    for axis in "xy":
-        ends = [F.col(f"_n{k}.{axis}") for k in range(4)]
-        cells = cells.withColumn(f"_{axis}0", F.least(*ends)).withColumn(f"_{axis}1", F.greatest(*ends))
+    cells = _unrolled(cells.where(" AND ".join(f"_n{k} IS NOT NULL" for k in range(4))))
     # Nearly all cells fit into a bin; larger ones enter several.
-    size = cells.agg(*[F.percentile_approx(F.col(f"_{a}1") - F.col(f"_{a}0"), 0.99).alias(a) for a in "xy"]).first()
-    step = {a: max(size[a] or 1.0, 1e-9) for a in "xy"}
-    for axis in "xy":
-        bins = F.sequence(F.floor(F.col(f"_{axis}0") / step[axis]), F.floor(F.col(f"_{axis}1") / step[axis]))
-        cells = cells.withColumn(f"_b{axis}", F.explode(bins))
+    size = cells.where("_pole = 0").agg(*[F.percentile_approx(F.col(f"_{a}1") - F.col(f"_{a}0"), 0.99).alias(a) for a in "xy"]).first()
+    around = max(1, int(360 // max(size["x"] or 1.0, 1e-6)))
+    step = {"x": 360 / around, "y": max(size["y"] or 1.0, 1e-9)}
+    low, high = (F.floor((F.col(f"_x{e}") + by) / step["x"]) for e, by in ((0, -1e-9), (1, 1e-9)))
+    columns = F.transform(F.sequence(low, F.least(high, low + (around - 1))), lambda i: F.pmod(i, F.lit(around)))
+    cells = cells.withColumn("_bx", F.explode(columns))
+    cells = cells.withColumn("_by", F.explode(F.sequence(F.floor(F.col("_y0") / step["y"]), F.floor(F.col("_y1") / step["y"]))))
     here = points.select("id", F.col(lon).cast("double").alias("_px"), F.col(lat).cast("double").alias("_py"))
-    here = here.withColumn("_bx", F.floor(F.col("_px") / step["x"])).withColumn("_by", F.floor(F.col("_py") / step["y"]))
-    inside = F.col("_px").between(F.col("_x0"), F.col("_x1")) & F.col("_py").between(F.col("_y0"), F.col("_y1"))
-    met = here.join(cells, ["_bx", "_by"]).where(inside).withColumn("_pq", _relative(F.col("_px"), F.col("_py"))).where("_pq IS NOT NULL")
+    here = here.withColumn("_bx", F.pmod(F.floor(F.col("_px") / step["x"]), F.lit(around))).withColumn("_by", F.floor(F.col("_py") / step["y"]))
+    middle = (F.col("_x0") + F.col("_x1")) / 2
+    x, y = middle + _turn(F.col("_px") - middle), F.col("_py")
+    inside = (F.col("_pole") != 0) | x.between(F.col("_x0") - 1e-9, F.col("_x1") + 1e-9) & y.between(F.col("_y0"), F.col("_y1"))
+    flat = _around_pole(F.col("_px"), F.col("_py"), F.col("_pole"))
+    at = [F.when(F.col("_pole") != 0, p).otherwise(q) for p, q in zip(flat, (x, y))]
+    met = here.join(cells, ["_bx", "_by"]).where(inside).withColumn("_pq", _relative(*at)).where("_pq IS NOT NULL")
     p, q = F.col("_pq.p"), F.col("_pq.q")
     weights = [(1 - p) * (1 - q), p * (1 - q), p * q, (1 - p) * q]
     terms = [F.when(w == 0, F.lit(0.0)).otherwise(w * F.col(f"_n{k}.v")) for k, w in enumerate(weights)]
@@ -127,6 +170,36 @@ def curvilinear2loc(grid: DataFrame, points: DataFrame, ydim: str = "j", xdim: s
     return out.select("id", F.coalesce("_m.p", F.lit(-1.0)).alias("p"), F.coalesce("_m.q", F.lit(-1.0)).alias("q"), F.col("_m.v").alias(v))
 
 
+def _turn(degrees: Column) -> Column:
+    """An angle as one from -180 to 180 degrees."""
+    return F.pmod(degrees + 180, F.lit(360.0)) - 180
+
+
+def _around_pole(x: Column, y: Column, pole: Column) -> list[Column]:
+    """A place on the plane around a pole (1 or -1): its distance in degrees, in the direction of its longitude."""
+    away = 90 - y * pole
+    return [away * F.cos(F.radians(x)), away * F.sin(F.radians(x))]
+
+
+def _unrolled(cells: DataFrame) -> DataFrame:
+    """Cells with their corners _n0 to _n3 as a plane has them, their range _x0 to _y1 in degrees, and _pole: 1 or -1 if they hold one, or 0."""
+    x, y = ([F.col(f"_n{k}.{c}") for k in range(4)] for c in "xy")
+    steps = [_turn(x[(k + 1) % 4] - x[k]) for k in range(4)]
+    pole = F.when(F.abs(steps[0] + steps[1] + steps[2] + steps[3]) < 180, F.lit(0)).otherwise(F.when(y[0] + y[1] + y[2] + y[3] > 0, 1).otherwise(-1))
+    rows = cells.withColumn("_pole", pole)
+    along = [x[0], x[0] + steps[0], x[0] + steps[0] + steps[1], x[0] + steps[0] + steps[1] + steps[2]]
+    for k in range(4):
+        flat = _around_pole(x[k], y[k], F.col("_pole"))
+        px, py = (F.when(F.col("_pole") != 0, p).otherwise(q) for p, q in zip(flat, (along[k], y[k])))
+        rows = rows.withColumn(f"_m{k}", F.struct(px.alias("x"), py.alias("y"), F.col(f"_n{k}.v").alias("v")))
+    holds = F.col("_pole") != 0
+    ranges = {
+        "_x0": F.when(holds, -180.0).otherwise(F.least(*along)), "_x1": F.when(holds, 180.0).otherwise(F.greatest(*along)),
+        "_y0": F.when(F.col("_pole") < 0, -90.0).otherwise(F.least(*y)), "_y1": F.when(F.col("_pole") > 0, 90.0).otherwise(F.greatest(*y)),
+    }
+    return rows.withColumns(ranges).drop(*[f"_n{k}" for k in range(4)]).withColumnsRenamed({f"_m{k}": f"_n{k}" for k in range(4)})
+
+
 def _relative(x: Column, y: Column) -> Column:
     """``cell_coordinates`` as a column of the cell's corners _n0 to _n3: (p, q), or missing outside."""
     at = lambda k, c: F.col(f"_n{k}.{c}")

@@ -11,6 +11,7 @@ from gyre.gridframe import GridFrame
 from gyre.meta.specs import MetaSpecs
 from gyre.operators import distance, filters, geostat, grid, interp, regrid, thermdyn
 from gyre.operators.dyn import flow2d
+from gyre.operators.neighbours import nearest_k
 from gyre.plans.tables import CELLS, HOURS, LEVELS, POINTS, SCALE, cells, customers, hours, levels, suppliers, table
 from gyre.streaming.resample import resample, tidal_resample
 
@@ -66,6 +67,15 @@ def _(spark, d):
     return distance.nearest(suppliers(spark, d), customers(spark, d)).select("id", "nearest_id", r("dist", 3).alias("dist"))
 
 
+@query(
+    "geo_nearest_k",
+    f"""WITH {POINTS}, x AS (SELECT s.id, c.id AS nearest_id, round({hav('s', 'c')}, 6) AS d FROM s, c)
+SELECT id, CAST(row_number() OVER w AS INTEGER) AS rank, nearest_id, round(d, 3) AS dist FROM x WINDOW w AS (PARTITION BY id ORDER BY d, nearest_id DESC) QUALIFY rank <= 5""",
+)
+def _(spark, d):
+    return nearest_k(suppliers(spark, d), customers(spark, d), 5).select("id", "rank", "nearest_id", r("dist", 3).alias("dist"))
+
+
 @query(
     "geo_bearing",
     f"""WITH {POINTS} SELECT s.id AS id_a, c.id AS id_b, round(degrees(atan2(cos(radians(s.lat)) * sin(radians(c.lat)) - sin(radians(s.lat)) * cos(radians(c.lat)) * cos(radians(c.lon - s.lon)),
@@ -482,6 +492,48 @@ def _(spark, d):
     return interp.curvilinear2loc(field, _on_field(spark, d)).select("id", r("p", 5).alias("p"), r("q", 5).alias("q"), r("v", 3).alias("v"))
 
 
+@query(
+    "curvilinear_dateline",
+    _AT.format(i="(3 * x - 0.3 * y) / 5.97", j="(2 * y - 0.1 * x) / 5.97")
+    + " SELECT u.id, round(coalesce(q.fi, -1), 5) AS p, round(coalesce(q.fj, -1), 5) AS q, round(a.v, 3) AS v FROM u LEFT JOIN q ON u.id = q.id LEFT JOIN a ON u.id = a.id",
+)
+def _(spark, d):
+    """The same grid and points turned to where the date line runs through them."""
+    turned = lambda x: F.pmod(x + 151 + 180, F.lit(360.0)) - 180
+    field = cells(spark, d).withColumns({"lon": turned(2.0 * F.col("i") + 0.3 * F.col("j")), "lat": 3.0 * F.col("j") + 0.1 * F.col("i")})
+    out = interp.curvilinear2loc(field, _on_field(spark, d).withColumn("lon", turned(F.col("lon"))))
+    return out.select("id", r("p", 5).alias("p"), r("q", 5).alias("q"), r("v", 3).alias("v"))
+
+
+@query(
+    "grid2loc_ring",
+    f"""WITH {CELLS}, {POINTS}, u AS (SELECT id, ((lon + 360.37) % 360) / 9 AS x FROM c), q AS (SELECT id, CAST(floor(x) AS INTEGER) AS i, x - floor(x) AS a FROM u),
+w AS (SELECT id, i, 1 - a AS w FROM q UNION ALL SELECT id, (i + 1) % 40, a FROM q)
+SELECT w.id, f.j, round(CASE WHEN count(f.v) = 2 THEN sum(w * f.v) END, 3) AS v FROM w JOIN f ON f.i = w.i GROUP BY w.id, f.j""",
+)
+def _(spark, d):
+    points = customers(spark, d).select("id", (F.col("lon") + 0.37).alias("lon"))
+    field = cells(spark, d).withColumn("lon", F.col("i") * 9.0)
+    return interp.grid2loc(field, points, {"i": "lon"}, "v", ["j"], period={"lon": 360.0}).select("id", "j", r("v", 3).alias("v"))
+
+
+@query(
+    "grid2loc_4d",
+    _AT.format(i="x / 2", j="y / 3")
+    + """, g4 AS (SELECT u.id, a.v, u.z, 10 + 0.1 * u.x + 0.05 * u.y + (u.id % 31) / 10.0 + 0.013 AS h, (u.id % 31) / 10.0 + 0.013 AS t FROM u LEFT JOIN a ON u.id = a.id)
+SELECT id, round(CASE WHEN z / h <= 5 AND t <= 3 THEN v * (1 + 0.1 * z / h) * (1 + 0.2 * t) END, 3) AS v FROM g4""",
+)
+def _(spark, d):
+    """Over longitude, latitude, time, and a depth whose levels move with all three."""
+    steps = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n)))
+    field = cells(spark, d).withColumn("k", steps(5)).withColumn("n", steps(3)).withColumn("time", F.col("n").cast("double"))
+    field = field.withColumn("depth", F.col("k") * (10 + 0.1 * F.col("lon") + 0.05 * F.col("lat") + F.col("time")))
+    field = field.withColumn("v", F.col("v") * (1 + 0.1 * F.col("k")) * (1 + 0.2 * F.col("time")))
+    points = _on_field(spark, d).withColumn("time", F.col("id") % 31 / 10.0 + 0.013)
+    out = interp.grid2loc(field, points, {"i": "lon", "j": "lat", "n": "time"}, "v", level="k", level_coord="depth")
+    return out.select("id", r("v", 3).alias("v"))
+
+
 # Dimensions.
 
 
