@@ -6,15 +6,14 @@ import itertools
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gyre.errors import TimeStepError
 from gyre.functions.arrays import let
 from gyre.operators.distance import radius_average
+from gyre.operators.thinning import thinned
 from gyre.scratch import written
-from gyre.shipping import ship
 
 # The first half and the centre of the Demerliac filter; the other half mirrors the first.
 _DEMERLIAC = [
@@ -205,30 +204,9 @@ def tidal_filter(df: DataFrame, keys: list[str], time: str, v: str, name: str =
 def decimate(points: DataFrame, radius: float, method: str = "pick", order: str = "id", value: str = "value", smooth_factor: float = 1.0) -> DataFrame:
     """Thin points (id, lon, lat, value): in order, keep a point unless a kept one is nearer than ``radius`` metres.
 
-    ``average`` gives each kept point the mean of the points within ``radius * smooth_factor``. The scan is
-    sequential by definition, and runs in one task; the kept points alone are its memory.
+    ``average`` gives each kept point the mean of the points within ``radius * smooth_factor``.
     """
-    ship(points.sparkSession)
-    fields = points.select("id", "lon", "lat", value).schema
-
-    def scan(batches):
-        near = np.zeros((1024, 3))  # the kept points' places, doubled when full
-        n = 0
-        limit = 2 * np.sin(min(radius / 6371e3, np.pi) / 2)
-        for pdf in batches:
-            keep = []
-            lon, lat = np.radians(pdf["lon"].to_numpy(float)), np.radians(pdf["lat"].to_numpy(float))
-            here = np.stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)], 1)
-            for i in range(len(pdf)):
-                if (np.linalg.norm(near[:n] - here[i], axis=1) >= limit).all():
-                    if n == len(near):
-                        near = np.concatenate([near, np.zeros_like(near)])
-                    near[n] = here[i]
-                    n += 1
-                    keep.append(i)
-            yield pdf.iloc[keep]
-
-    kept = points.select("id", "lon", "lat", value).repartition(1).sortWithinPartitions(order).mapInPandas(scan, fields)
+    kept = thinned(points, radius, order, value)
     if method == "pick":
         return kept
     means = radius_average(points, kept, radius * smooth_factor, value).withColumnRenamed("value", "_mean")

@@ -643,12 +643,35 @@ def _(spark, d):
     return out.select("id", r("value", 3).alias("value"), r("error", 3).alias("error"))
 
 
-@query("decimate_pick")
+@query(
+    "decimate_pick",
+    f"""WITH RECURSIVE {POINTS},
+l(step, id, lon, lat, value, keep) AS (
+  SELECT 0, id, lon, lat, value, (SELECT min(id) FROM c) FROM c
+  UNION ALL
+  SELECT step + 1, id, lon, lat, value, min(id) OVER () FROM (
+    SELECT a.* FROM l a JOIN l b ON b.id = b.keep WHERE {hav('a', 'b')} >= 600000.0))
+SELECT id, lon, lat, value FROM l WHERE id = keep""",
+)
 def _(spark, d):
     return filters.decimate(customers(spark, d), 600_000.0)
 
 
-@query("flow2d_tracks")
+def _tracks_sql() -> str:
+    """Steps over the field of the query, whose u depends on the longitude alone and v on the latitude alone."""
+    scale = "(180 / (pi() * 6371e3))"
+    part = lambda f, x, w: f"((1 - ({x} / {w} - floor({x} / {w}))) * {f}(radians({w} * floor({x} / {w}))) + ({x} / {w} - floor({x} / {w})) * {f}(radians({w} * (floor({x} / {w}) + 1))))"
+    slope = lambda n, x, y: f"{part('sin', x, 2)} * {scale} AS u{n}, {part('cos', y, 3)} * {scale} * cos(radians({y})) AS v{n}"
+    k1 = f"SELECT *, {slope(1, 'lon', 'lat')} FROM t WHERE seconds < 25200"
+    k2 = f"SELECT *, {slope(2, '(lon + 1800 * u1)', '(lat + 1800 * v1)')} FROM ({k1})"
+    k3 = f"SELECT *, {slope(3, '(lon + 1800 * u2)', '(lat + 1800 * v2)')} FROM ({k2})"
+    k4 = f"SELECT *, {slope(4, '(lon + 1800 * u3)', '(lat + 1800 * v3)')} FROM ({k3})"
+    return f"""WITH RECURSIVE {POINTS}, t(id, seconds, lon, lat) AS (SELECT id, 0.0::DOUBLE, id % 70 + 2.5::DOUBLE, id % 9 + 1.5::DOUBLE FROM s UNION ALL
+SELECT id, seconds + 3600, lon + 600 * (u1 + u2 + u3 + u4), lat + 600 * (v1 + v2 + v3 + v4) FROM ({k4}))
+SELECT id, seconds, round(lon, 6) AS lon, round(lat, 6) AS lat FROM t"""
+
+
+@query("flow2d_tracks", _tracks_sql())
 def _(spark, d):
     field = cells(spark, d).select(
         F.col("j").alias("i_y"), F.col("i").alias("i_x"), "lon", "lat", F.sin(F.radians("lon")).alias("u"), F.cos(F.radians("lat")).alias("v")
