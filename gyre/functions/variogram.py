@@ -31,8 +31,11 @@ def model(kind: str, h, nugget: float, sill: float, span: float) -> Column:
     return n + (s - n) * shape
 
 
-def model_array(kind: str, h: np.ndarray, nugget: float, sill: float, span: float) -> np.ndarray:
+def model_array(kind, h: np.ndarray, nugget: float, sill: float, span: float) -> np.ndarray:
+    """The values of a model, by name or a function of distances and bounded parameters, at distances h."""
     n, s, r = bounded(nugget, sill, span)
+    if callable(kind):
+        return kind(h, n, s, r)
     x = h / r
     shape = {
         "linear": lambda: np.minimum(x, 1),
@@ -43,7 +46,7 @@ def model_array(kind: str, h: np.ndarray, nugget: float, sill: float, span: floa
     return n + (s - n) * shape
 
 
-def fit(kind: str, dist: np.ndarray, gamma: np.ndarray, frozen: dict[str, float] | None = None) -> dict[str, float]:
+def fit(kind, dist: np.ndarray, gamma: np.ndarray, frozen: dict[str, float] | None = None) -> dict[str, float]:
     """Nugget ``n``, sill ``s`` and range ``r`` of least squares on bin means, by a shrinking grid search."""
     frozen = frozen or {}
     ok = np.isfinite(dist) & np.isfinite(gamma)

@@ -636,6 +636,50 @@ def _(spark, d):
     return out.select("id", F.count(F.lit(1)).over(Window.partitionBy("cluster")).alias("size"))
 
 
+@query("clusterize_bounded", f"WITH {POINTS} SELECT id, true AS fits FROM s")
+def _(spark, d):
+    out = geostat.clusterize(suppliers(spark, d), 40)
+    sizes = out.groupBy("cluster").agg(F.count(F.lit(1)).alias("_n"))
+    return out.join(sizes, "cluster").select("id", (F.col("_n") <= 40).alias("fits"))
+
+
+@query(
+    "cluster_stats",
+    f"""WITH {POINTS}, k AS (SELECT c.*, customer.c_nationkey AS cluster FROM c JOIN customer ON c.id = customer.c_custkey), m AS (SELECT cluster, avg(lon) AS mx, avg(lat) AS my FROM k GROUP BY cluster)
+SELECT k.cluster, count(*) AS size, round(min(mx), 6) AS lon, round(min(my), 6) AS lat, round(avg(sqrt((lon - mx) * (lon - mx) + (lat - my) * (lat - my))), 6) AS distortion FROM k JOIN m ON k.cluster = m.cluster GROUP BY k.cluster""",
+)
+def _(spark, d):
+    nation = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("cluster"))
+    out = geostat.cluster_stats(customers(spark, d).join(nation, "id"))
+    return out.select("cluster", "size", r("lon", 6).alias("lon"), r("lat", 6).alias("lat"), r("distortion", 6).alias("distortion"))
+
+
+@query(
+    "variogram_near",
+    f"""WITH {POINTS} SELECT a.id AS id_a, b.id AS id_b, round({hav('a', 'b')} / 1000, 4) AS dist, round(abs(b.value - a.value), 3) AS gamma FROM s a JOIN s b ON a.id < b.id
+WHERE {hav('a', 'b')} / 1000 <= 1500.123""",
+)
+def _(spark, d):
+    pairs = geostat.variogram_pairs(suppliers(spark, d), most=None, distmax=1500.123, errfunc=lambda a, b: F.abs(b - a))
+    return pairs.select(F.col("_a").alias("id_a"), F.col("_b").alias("id_b"), r("dist").alias("dist"), r("gamma", 3).alias("gamma"))
+
+
+@query(
+    "krig_two_nearest",
+    f"""WITH {POINTS}, x AS (SELECT c.id, s.id AS sid, s.lon, s.lat, s.value AS z, round({hav('c', 's')}, 6) AS d FROM c, s),
+n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, sid DESC) AS k FROM x QUALIFY k <= 2),
+a AS (SELECT * FROM n WHERE k = 1), b AS (SELECT * FROM n WHERE k = 2),
+g AS (SELECT a.id, a.z AS z1, b.z AS z2, a.d / 4e7 AS g1, b.d / 4e7 AS g2, {hav('a', 'b')} / 4e7 AS g12 FROM a JOIN b ON a.id = b.id),
+w AS (SELECT *, 0.5 + (g2 - g1) / (2 * g12) AS w FROM g)
+SELECT id, round(w * z1 + (1 - w) * z2, 3) AS value, round(greatest(w * g1 + (1 - w) * g2 + g1 - g12 * (1 - w), 1e-12), 6) AS error FROM w""",
+)
+def _(spark, d):
+    """Ordinary kriging from two points has a closed form."""
+    model = geostat.VariogramModel("linear", n=0.0, s=1.0, r=40_000.0)
+    out = geostat.krig(suppliers(spark, d), customers(spark, d), model, neighbours=2)
+    return out.select("id", r("value", 3).alias("value"), r("error", 6).alias("error"))
+
+
 @query("krig_ordinary")
 def _(spark, d):
     model = geostat.VariogramModel("exponential", n=0.0, s=1e7, r=3000.0)

@@ -247,9 +247,9 @@ def test_clusters_and_kriging(spark):
 
 
 @pytest.mark.parametrize("step", [1.0, 0.0])
-def test_clusters_beyond_the_last_k_are_split(spark, step):
+def test_clusters_split_again(spark, step):
     p = points(spark, [(i, step * i, step * (i * 7 % 30), 1.0) for i in range(30)])
-    out = geostat.clusterize(p, 3, most=4)
+    out = geostat.clusterize(p, 3)
     sizes = [r["count"] for r in out.groupBy("cluster").count().collect()]
     assert sum(sizes) == 30 and max(sizes) <= 3 and out.select("id").distinct().count() == 30
 
