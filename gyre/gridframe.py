@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gyre.functions import sigma
 from gyre.meta import specs as meta
+from gyre.meta.locator import Locator
 
 
 @dataclass(frozen=True)
@@ -85,16 +86,50 @@ class GridFrame:
         """Without these coordinates."""
         return replace(self, df=self.df.drop(*names), coords=tuple(c for c in self.coords if c not in names))
 
-    def decode_sigma(self, name: str = "depth") -> GridFrame:
-        """Add the heights of terrain-following levels, from the formula terms in a column's metadata."""
+    def sigma_terms(self, hlocs: list[str | None] = (None,)) -> dict[tuple[str | None, str | None], tuple[str, dict[str, str]]]:
+        """What terrain-following levels are made of, by vertical and horizontal location: the kind, and the columns of its terms.
+
+        A vertical location is that of a column with formula terms. Sea level and sea floor are looked up at each
+        horizontal one: a term ``h`` at ``u`` is the column ``h_u``.
+        """
+        locator, out = Locator(), {}
         for f in self.df.schema.fields:
             m = f.metadata or {}
-            if "formula_terms" in m and m.get("standard_name", "").split("_at_")[0] in _CONVERTERS:
+            kind, vloc = locator.parse("standard_name", m.get("standard_name", ""))
+            if kind not in _CONVERTERS or "formula_terms" not in m:
+                continue
+            for hloc in hlocs:
                 terms = decode_formula_terms(m["formula_terms"])
-                self._check_dims(terms)
-                column = _CONVERTERS[m["standard_name"].split("_at_")[0]]({k: self._column(v) for k, v in terms.items()})
-                return replace(self, df=self.df.withColumn(name, column.alias(name, metadata={"units": "m"})), coords=(*self.coords, name))
-        return self
+                out[vloc, hloc or None] = (kind, {k: locator.format("name", c, hloc) if hloc and k in _HORIZONTAL else c for k, c in terms.items()})
+        return out
+
+    def decode_sigma(self, name: str = "depth", hlocs: list[str | None] | None = None, average: dict[str, str] | None = None) -> GridFrame:
+        """Add the heights of terrain-following levels, from the formula terms in columns' metadata.
+
+        ``hlocs`` asks for them at several horizontal locations (None is that without a name), and vertical ones come with
+        several columns of levels: ``depth_u``, ``depth_ur``, all in one pass. ``average`` gives the dimension along which
+        a location lies half a cell on; where a sea level or floor has no column there, it is the mean of this cell's and
+        the next one's, at the last one its own.
+        """
+        found = self.sigma_terms(hlocs or [None])
+        out, many = self, len(found) > 1 or bool(hlocs)
+        for (vloc, hloc), (kind, terms) in found.items():
+            self._check_dims(terms)
+            columns = {k: self._term(c, k, hloc, average or {}) for k, c in terms.items()}
+            loc = (hloc or "") + (vloc or "")
+            own = f"{name}_{loc}" if many and loc else name
+            df = out.df.withColumn(own, _CONVERTERS[kind](columns).alias(own, metadata={"units": "m"}))
+            out = replace(out, df=df, coords=(*out.coords, own))
+        return out
+
+    def _term(self, column: str, term: str, hloc: str | None, average: dict[str, str]):
+        """A term's column; at a location that has none of its own, the mean over the two cells around it."""
+        there = {c.lower() for c in self.df.columns}
+        if column.lower() in there or hloc not in average or term not in _HORIZONTAL:
+            return self._column(column)
+        dim, own = average[hloc], self._column(Locator().parse("name", column)[0])
+        after = F.lead(own).over(Window.partitionBy(*[d for d in self.dims if d != dim]).orderBy(dim))
+        return (own + F.coalesce(after, own)) / 2
 
     def _check_dims(self, terms: dict[str, str]) -> None:
         """The sea floor must not vary along a dimension that the sea level lacks, and the critical depth varies as the floor does, if at all."""
@@ -111,6 +146,8 @@ class GridFrame:
         return F.col(found)
 
 
+#: Terms that a grid has at its horizontal locations.
+_HORIZONTAL = ("eta", "depth", "ps")
 _CONVERTERS = {
     "atmosphere_sigma_coordinate": lambda t: sigma.atmosphere_sigma(t["sigma"], t["ps"], t["ptop"]),
     "ocean_sigma_coordinate": lambda t: sigma.ocean_sigma(t["sigma"], t["eta"], t["depth"]),

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gyre.errors import TimeStepError
-from gyre.functions.arrays import let
 from gyre.operators.distance import radius_average
 from gyre.operators.thinning import thinned
 from gyre.scratch import written
@@ -96,7 +95,7 @@ def make_kernel(kernel, n_dims: int, window="ones", isotropic: bool = False) ->
     """A kernel from a size, a size for each dimension, lists of weights, or an array."""
     if isinstance(kernel, np.ndarray):
         return kernel.astype(float)
-    sizes = [kernel] * n_dims if np.ndim(kernel) == 0 else list(kernel)
+    sizes = list(kernel) if isinstance(kernel, (list, tuple)) else [kernel] * n_dims
     return isotropic_kernel(tuple(sizes), window) if isotropic else orthogonal_kernel(sizes, window)
 
 
@@ -109,44 +108,78 @@ def _result(sum_col: Column, weight: Column, kernel: np.ndarray, normalize: bool
     return F.when(weight > least_weight(kernel, na_thres), sum_col / weight if normalize else sum_col)
 
 
-def convolve(df: DataFrame, keys: list[str], dims: list[str], v: str, kernel, normalize: bool = False, na_thres: float = 0.0, out: str | None = None) -> DataFrame:
+def axis_kernels(kernel, dims: list[str], window="ones") -> list[np.ndarray] | None:
+    """One kernel a dimension where a kernel is their outer product by its form: a dict by dimension, or sizes; else None.
+
+    In a dict a dimension has a size or a list of weights; dimensions that are left out are not convolved over.
+    """
+    if isinstance(kernel, dict):
+        if unknown := [d for d in kernel if d not in dims]:
+            raise ValueError(f"no such dimensions: {unknown}")
+        return [orthogonal_kernel([kernel.get(d, 1)], window) for d in dims]
+    if isinstance(kernel, np.ndarray):
+        return None
+    return [orthogonal_kernel([s], window) for s in (kernel if isinstance(kernel, (list, tuple)) else [kernel] * len(dims))]
+
+
+def convolve(
+    df: DataFrame, keys: list[str], dims: list[str], v: str, kernel, normalize: bool = False, na_thres: float = 0.0, out: str | None = None, window="ones",
+) -> DataFrame:
     """Convolution over the dimensions, zeros outside: missing values have no weight, and too little weight gives a missing result.
 
-    Over several dimensions each cell sends its products to the cells around it, summed before the shuffle;
-    over one dimension a window of the ordered rows gives the neighbours.
+    Dimensions are whole-number indices, and neighbours are those whose index says so; cells need not be there.
+    Each cell sends its products to the cells around it, summed before the shuffle; a kernel that is an outer product
+    (``axis_kernels``) goes one dimension after the other where that takes fewer products. Over one dimension a window over
+    a range of the index gives the neighbours.
     """
-    kernel = make_kernel(kernel, len(dims))
+    separate = axis_kernels(kernel, dims, window)
+    kernel = make_kernel(kernel, len(dims), window) if separate is None else reduce(np.multiply.outer, separate)
     out = out or v
     if len(dims) == 1:
         return _convolve1d(df, keys, dims[0], v, kernel, normalize, na_thres, out)
+    rows = df.select(*keys, *dims, F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias("_s"), F.col(v).isNotNull().cast("double").alias("_q"), F.lit(True).alias("_cell"))
+    if separate and kernel.size > 2 * sum(len(k) for k in separate):
+        for i, one in enumerate(separate):
+            if one.size > 1 or one[0] != 1:
+                rows = _sent(rows, keys, dims, one.reshape([-1 if j == i else 1 for j in range(len(dims))]))
+    else:
+        rows = _sent(rows, keys, dims, kernel)
+    return rows.where("_cell").select(*keys, *dims, _result(F.col("_s"), F.col("_q"), kernel, normalize, na_thres).alias(out))
+
+
+def _sent(rows: DataFrame, keys: list[str], dims: list[str], kernel: np.ndarray) -> DataFrame:
+    """Sums of what the cells around each place send to it; _cell is whether one stands there itself."""
     centre = [n // 2 for n in kernel.shape]
-    items = [(*[i - c for i, c in zip(at, centre)], float(kernel[at])) for at in np.ndindex(*kernel.shape) if kernel[at] or all(i == c for i, c in zip(at, centre))]
-    offsets = F.array(*[F.struct(*[F.lit(o).alias(f"o{j}") for j, o in enumerate(item[:-1])], F.lit(item[-1]).alias("w")) for item in items])
-    rows = df.select(*keys, *dims, F.col(v).cast("double").alias("_v"), F.explode(offsets).alias("_o"))
+    here = lambda at: all(i == c for i, c in zip(at, centre))
+    items = [(*[i - c for i, c in zip(at, centre)], float(kernel[at]), here(at)) for at in np.ndindex(*kernel.shape) if kernel[at] or here(at)]
+    names = [*[f"o{j}" for j in range(len(dims))], "w", "here"]
+    offsets = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(names, item)]) for item in items])
+    sent = rows.select(*keys, *dims, "_s", "_q", "_cell", F.explode(offsets).alias("_o"))
     target = [(F.col(d) + F.col(f"_o.o{j}")).alias(d) for j, d in enumerate(dims)]
-    here = F.lit(True)
-    for j in range(len(dims)):
-        here = here & (F.col(f"_o.o{j}") == 0)
-    sums = rows.select(*keys, *target, "_v", F.col("_o.w").alias("_w"), here.alias("_here"))
-    sums = sums.groupBy(*keys, *dims).agg(
-        F.coalesce(F.sum(F.col("_v") * F.col("_w")), F.lit(0.0)).alias("_s"),
-        F.coalesce(F.sum(F.when(F.col("_v").isNotNull(), F.col("_w"))), F.lit(0.0)).alias("_q"),
-        F.max("_here").alias("_cell"),
-    )
-    return sums.where("_cell").select(*keys, *dims, _result(F.col("_s"), F.col("_q"), kernel, normalize, na_thres).alias(out))
+    sums = sent.select(*keys, *target, (F.col("_s") * F.col("_o.w")).alias("_s"), (F.col("_q") * F.col("_o.w")).alias("_q"), (F.col("_cell") & F.col("_o.here")).alias("_cell"))
+    return sums.groupBy(*keys, *dims).agg(F.sum("_s").alias("_s"), F.sum("_q").alias("_q"), F.max("_cell").alias("_cell"))
 
 
 def _convolve1d(df: DataFrame, keys: list[str], dim: str, v: str, kernel: np.ndarray, normalize: bool, na_thres: float, out: str) -> DataFrame:
-    n, c = len(kernel), len(kernel) // 2
-    w = Window.partitionBy(*keys).orderBy(dim)
-    near = F.collect_list(F.struct(F.col(v).cast("double").alias("v"))).over(w.rowsBetween(-(n - 1 - c), c))
-    rows = df.select(*keys, dim, near.alias("_near"), F.greatest(F.lit(n - 1 - c) - (F.row_number().over(w) - 1), F.lit(0)).alias("_skip"))
-    weights = F.array(*[F.lit(float(x)) for x in kernel[::-1]])
-    # At the first rows the frame lacks its left part, and the weights begin further on.
-    used = F.slice(weights, F.col("_skip") + 1, F.size("_near"))
-    total = F.aggregate(F.zip_with("_near", used, lambda a, k: F.coalesce(a["v"], F.lit(0.0)) * k), F.lit(0.0), lambda s, x: s + x)
-    weight = F.aggregate(F.zip_with("_near", used, lambda a, k: F.when(a["v"].isNull(), 0.0).otherwise(k)), F.lit(0.0), lambda s, x: s + x)
-    return rows.withColumn("_s", total).withColumn("_q", weight).select(*keys, dim, _result(F.col("_s"), F.col("_q"), kernel, normalize, na_thres).alias(out))
+    weights = F.array(*[F.lit(float(x)) for x in kernel])
+    rows = _ranged(df.select(*keys, dim, F.col(v).cast("double").alias("_v"), F.col(dim).cast("long").alias("_i")), keys, weights, len(kernel))
+    return rows.select(*keys, dim, _result(F.col("_s"), F.col("_q"), kernel, normalize, na_thres).alias(out))
+
+
+def _ranged(rows: DataFrame, keys: list[str], weights: Column, most: int) -> DataFrame:
+    """Add _s and _q, the weighted sum of the values _v around each row by the index _i, and the weight of those that are there.
+
+    ``weights`` is an array of up to ``most`` weights, of the row's own.
+    """
+    w = Window.partitionBy(*keys).orderBy("_i").rangeBetween(-(most - 1 - most // 2), most // 2)
+    near = F.collect_list(F.struct(F.col("_i").alias("i"), F.col("_v").alias("v"))).over(w)
+    rows = rows.withColumn("_w", weights).withColumn("_near", near)
+    place = lambda x: (F.col("_i") - x["i"] + F.floor(F.size("_w") / 2)).cast("int")
+    weight = lambda x: F.when(place(x) >= 0, F.coalesce(F.get(F.col("_w"), place(x)), F.lit(0.0))).otherwise(F.lit(0.0))
+    met = F.transform(F.filter("_near", lambda x: x["v"].isNotNull()), lambda x: F.struct(weight(x).alias("w"), x["v"].alias("v")))
+    rows = rows.withColumn("_met", met)
+    total = F.aggregate("_met", F.lit(0.0), lambda s, x: s + x["w"] * x["v"])
+    return rows.withColumn("_s", total).withColumn("_q", F.aggregate("_met", F.lit(0.0), lambda s, x: s + x["w"])).drop("_near", "_met")
 
 
 def smooth(df: DataFrame, keys: list[str], dims: list[str], v: str, kernel=None, na_thres: float = 0.0) -> DataFrame:
@@ -184,21 +217,39 @@ def regular_hours(df: DataFrame, keys: list[str], time: str, v: str) -> DataFram
 
 
 def tidal_filter(df: DataFrame, keys: list[str], time: str, v: str, name: str = "demerliac", na_thres: float = 0.0, dt_tol: float = 0.01) -> DataFrame:
-    """A tidal filter over hourly rows; rows that are not an hour apart are an error."""
-    w = Window.partitionBy(*keys).orderBy(time)
-    seconds = (F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.lag(time).over(w).cast("timestamp"))) / 1e6
-    steps = df.select(seconds.alias("_dt")).agg(F.min("_dt").alias("lo"), F.max("_dt").alias("hi"), F.avg("_dt").alias("mean")).first()
-    if steps["mean"] is not None:
-        if steps["hi"] - steps["lo"] > dt_tol * steps["mean"]:
-            raise TimeStepError("the time steps are not regular")
-        if steps["mean"] > 3600 * (1 + dt_tol):
-            raise TimeStepError(f"the rows are {steps['mean']} s apart; an hour at most is needed")
-    weights = np.array(tidal_weights(name))
-    if steps["mean"] and steps["mean"] < 3600 * (1 - dt_tol):
-        per_hour = 3600 / steps["mean"]
-        n = int(round((len(weights) - 1) * per_hour)) + 1
-        weights = np.interp(np.linspace(0, len(weights) - 1, n), np.arange(len(weights)), weights)
-    return convolve(df, keys, [time], v, weights, True, na_thres)
+    """A tidal filter over rows an hour apart at most; each key has a time step of its own, to which the weights are fitted.
+
+    Rows of a key that are not equally far apart, or more than an hour, are an error.
+    """
+    of_key = Window.partitionBy(*keys)
+    seconds = F.unix_micros(F.col(time).cast("timestamp")) / 1e6
+    rows = df.select(*keys, time, F.col(v).cast("double").alias("_v"), seconds.alias("_t"))
+    rows = rows.withColumn("_dt", F.col("_t") - F.lag("_t").over(of_key.orderBy("_t")))
+    rows = rows.withColumn("_step", F.avg("_dt").over(of_key)).withColumn("_first", F.min("_t").over(of_key))
+    steps = rows.groupBy(*keys).agg(F.min("_dt").alias("lo"), F.max("_dt").alias("hi"), F.first("_step").alias("mean"))
+    odd, slow, finest = steps.agg(F.max(F.col("hi") - F.col("lo") > dt_tol * F.col("mean")), F.max("mean"), F.min("mean")).first()
+    if odd:
+        raise TimeStepError("the time steps are not regular")
+    if slow is not None and slow > 3600 * (1 + dt_tol):
+        raise TimeStepError(f"the rows are {slow} s apart; an hour at most is needed")
+    hourly = tidal_weights(name)
+    last = len(hourly) - 1
+    given = F.array(*map(F.lit, hourly))
+    rate = F.when(F.col("_step") < 3600 * (1 - dt_tol), 3600 / F.col("_step")).otherwise(F.lit(1.0))
+    n = F.round(last * F.coalesce(rate, F.lit(1.0))).cast("int")
+
+    def between(k: Column) -> Column:
+        at = k * last / n
+        low = F.floor(at).cast("int")
+        return F.get(given, low) + (at - low) * (F.coalesce(F.get(given, low + 1), F.lit(0.0)) - F.get(given, low))
+
+    weights = F.transform(F.sequence(F.lit(0), n), between)
+    finest = finest if finest is not None and finest < 3600 * (1 - dt_tol) else 3600.0
+    index = F.coalesce(F.round((F.col("_t") - F.col("_first")) / F.col("_step")), F.lit(0)).cast("long")
+    rows = _ranged(rows.withColumn("_i", index), keys, weights, int(round(last * 3600 / finest)) + 2)
+    total = F.aggregate("_w", F.lit(0.0), lambda s, x: s + x)
+    value = F.when(F.col("_q") > total * min(max(1e-6, 1 - na_thres), 1 - 1e-6), F.col("_s") / F.col("_q"))
+    return rows.select(*keys, time, value.alias(v))
 
 
 def decimate(points: DataFrame, radius: float, method: str = "pick", order: str = "id", value: str = "value", smooth_factor: float = 1.0) -> DataFrame:

@@ -172,7 +172,7 @@ def curvilinear2loc(grid: DataFrame, points: DataFrame, ydim: str = "j", xdim: s
 
 def _turn(degrees: Column) -> Column:
     """An angle as one from -180 to 180 degrees."""
-    return F.pmod(degrees + 180, F.lit(360.0)) - 180
+    return F.when(F.abs(degrees) <= 180, degrees).otherwise(F.pmod(degrees + 180, F.lit(360.0)) - 180)
 
 
 def _around_pole(x: Column, y: Column, pole: Column) -> list[Column]:
@@ -219,7 +219,8 @@ def _relative(x: Column, y: Column) -> Column:
         def placed(q: Column) -> Column:
             ex, ey = s["ax"] + q * s["cx"], s["ay"] + q * s["cy"]
             p = F.when(F.abs(ex) >= F.abs(ey), (s["dx"] - q * s["bx"]) / ex).otherwise((s["dy"] - q * s["by"]) / ey)
-            held = lambda z: F.greatest(F.least(z, F.lit(1.0)), F.lit(0.0))
+            # Unrolled longitudes are off by the last bits, and a place on a node is to be on it.
+            held = lambda z: F.when(F.abs(z - F.round(z)) < 1e-11, F.round(z)).otherwise(F.greatest(F.least(z, F.lit(1.0)), F.lit(0.0)))
             fits = p.between(-1e-9, 1 + 1e-9) & q.between(-1e-9, 1 + 1e-9)
             return F.when(fits, F.struct(held(p).alias("p"), held(q).alias("q")))
 

@@ -36,7 +36,7 @@ def profiles(df: DataFrame, keys: list[str], y: str, v: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(pair)).alias("nodes"))
 
 
-def _usable(nodes: Column, drop_na: bool) -> Column:
+def usable(nodes: Column, drop_na: bool) -> Column:
     """Nodes from the first to the last valid one with their place ``i``, without missing ones inside if asked for."""
     placed = F.transform(nodes, lambda n, i: F.struct(n["y"].alias("y"), n["v"].alias("v"), i.alias("i")))
 
@@ -102,10 +102,32 @@ def regrid1d(
 ) -> DataFrame:
     """Profiles at the target coordinates: keys, y, v. ``targets`` are numbers, or an array column of the keys."""
     to = F.array(*[F.lit(float(t)) for t in targets]) if isinstance(targets, list) else targets
-    rows = profiles(df, keys, y, v).withColumn("_n", _usable(F.col("nodes"), drop_na)).withColumn("_y", F.explode(to))
+    rows = profiles(df, keys, y, v).withColumn("_n", usable(F.col("nodes"), drop_na)).withColumn("_y", F.explode(to))
     return rows.select(*keys, F.col("_y").alias(y), value_at(F.col("_n"), F.col("_y"), method, extrap, maxgap, bias, tension).alias(v))
 
 
+def regrid1d_nd(
+    data: DataFrame, source: DataFrame, target: DataFrame, dims: list[str], z: str, z_out: str, y: str, v: str, method: str = "linear", extrap: str = "no", drop_na: bool = False, **options,
+) -> DataFrame:
+    """Profiles of ``data`` on levels whose coordinates may change along other dimensions: all dimensions, z_out, y, v.
+
+    ``data`` has the values v along z, ``source`` the coordinates y of the same levels, ``target`` those of the levels
+    z_out to go to. Each has those of ``dims`` along which it changes; along the others it is the same. A profile meets
+    its target levels, which are the levels of a grid, as one array.
+    """
+    has = {n: [d for d in dims if d in f.columns] for n, f in (("data", data), ("source", source), ("target", target))}
+    both = [d for d in dims if d in has["data"] or d in has["source"]]
+    shared = [d for d in has["data"] if d in has["source"]]
+    rows = data.select(*has["data"], z, F.col(v).cast("double").alias("_v")).join(source.select(*has["source"], z, F.col(y).cast("double").alias("_y")), [*shared, z])
+    nodes = profiles(rows, both, "_y", "_v").withColumn("_one", F.lit(1))
+    levels = target.groupBy(*has["target"]).agg(F.collect_list(F.struct(F.col(z_out).alias("z"), F.col(y).cast("double").alias("y"))).alias("_to")).withColumn("_one", F.lit(1))
+    met = nodes.join(levels, [*(d for d in both if d in has["target"]), "_one"])
+    met = met.withColumn("_n", usable(F.col("nodes"), drop_na)).withColumn("_at", F.explode("_to"))
+    every = [d for d in dims if d in both or d in has["target"]]
+    value = value_at(F.col("_n"), F.col("_at.y"), method, extrap, **options)
+    return met.select(*every, F.col("_at.z").alias(z_out), F.col("_at.y").alias(y), value.alias(v))
+
+
 def extrap1d(df: DataFrame, keys: list[str], order: str, v: str, mode: str = "both") -> DataFrame:
     """Carry the first and last valid values outward; gaps inside stay."""
     w = Window.partitionBy(*keys)

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField
 
+from gyre.errors import MetaError
 from gyre.meta import specs as meta
-from gyre.operators.regrid import isoslice, regrid1d
+from gyre.operators.regrid import isoslice, profiles, usable, value_at
 
 # The generic names that are a temperature, a salinity, a density or a sea level, in the order of preference.
 VARIANTS = {
@@ -55,8 +56,15 @@ def get_sea_level(df: DataFrame, errors: str = "ignore") -> str | None:
     return find_variant(df, "sea_level", errors=errors)
 
 
-#: The method that suits a variable's generic name.
-METHOD_OF = {"temp": "deltatemp", "ptemp": "deltatemp", "ctemp": "deltatemp", "dens": "deltadens", "sigma0": "deltadens", "sigmat": "deltadens", "kz": "kzmax", "akt": "kzmax"}
+def method_of(f: StructField) -> str:
+    """The way to find the mixed layer that suits a column, by what it is."""
+    for kind, method in (("temp", "deltatemp"), ("dens", "deltadens")):
+        if is_variant(f, kind):
+            return method
+    s = meta.current()
+    if f.name.lower() in ("kz", "akt") or any(s.match_item(f, s.items["data_vars"][k], "data_vars") for k in ("kz", "akt") if k in s.items["data_vars"]):
+        return "kzmax"
+    raise MetaError(f"{f.name} is no temperature, density or mixing; give the method")
 
 
 def mixed_layer_depth(
@@ -68,15 +76,18 @@ def mixed_layer_depth(
     surface counts, and the result is positive. Other than at the surface the reference value is that interpolated
     at the depth ``zref``, given as ``depth`` is.
     """
-    method = method or METHOD_OF[v]
+    method = method or method_of(df.schema[v])
     change = -deltatemp if method == "deltatemp" else deltadens
     up = F.col(depth) if positive == "up" else -F.col(depth)
     rows = df.select(*keys, up.alias("_up"), F.col(v).alias("_v"))
     if method == "kzmax":
         iso = F.lit(kzmax)
     elif zref:
-        at = regrid1d(rows, keys, "_up", "_v", [zref if positive == "up" else -zref]).select(*keys, F.col("_v").alias("_ref"))
-        rows, iso = rows.join(at, keys), F.col("_ref") + change
+        # The nodes come as arrays and go back to rows, in one shuffle by the keys.
+        nodes = profiles(rows, keys, "_up", "_v").withColumn("_n", usable(F.col("nodes"), False))
+        nodes = nodes.withColumn("_ref", value_at(F.col("_n"), F.lit(float(zref if positive == "up" else -zref))))
+        rows = nodes.select(*keys, "_ref", F.explode("nodes").alias("_x")).select(*keys, "_ref", F.col("_x.y").alias("_up"), F.col("_x.v").alias("_v"))
+        iso = F.col("_ref") + change
     else:
         w = Window.partitionBy(*keys).orderBy("_up").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         iso = F.last("_v").over(w) + change

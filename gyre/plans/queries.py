@@ -727,6 +727,59 @@ def _(spark, d):
 # Names and attributes.
 
 
+@query(
+    "decode_sigma_locations",
+    f"""WITH {_SIG}, a AS (SELECT id, eta, h, (eta + coalesce(lead(eta) OVER w, eta)) / 2 AS eta_u, (h + coalesce(lead(h) OVER w, h)) / 2 AS h_u FROM o2 WINDOW w AS (ORDER BY id))
+SELECT id, k, round(eta + sig * (eta + h), 4) AS depth, round(eta_u + sig * (eta_u + h_u), 4) AS depth_u, round(2 * eta + sig * (2 * eta + h + 1), 4) AS depth_v FROM a, k""",
+)
+def _(spark, d):
+    """Levels at three locations of one frame: v has columns of its own, u lies between a column and the next."""
+    terms = {"standard_name": "ocean_sigma_coordinate", "formula_terms": "sigma: sig eta: eta depth: h"}
+    rows = _columns_by_levels(spark, d).withColumn("sig", F.col("sig").alias("sig", metadata=terms))
+    rows = rows.withColumns({"eta_v": 2 * F.col("eta"), "h_v": F.col("h") + 1})
+    out = GridFrame(rows, ("id", "k"), ("sig",)).decode_sigma(hlocs=[None, "u", "v"], average={"u": "id"}).df
+    return out.select("id", "k", *[r(c).alias(c) for c in ("depth", "depth_u", "depth_v")])
+
+
+@query(
+    "regrid_nd",
+    f"""WITH {LEVELS}, e AS (SELECT o.l_orderkey AS prof, max(l_orderkey % 7) AS shift FROM lineitem o GROUP BY o.l_orderkey),
+g AS (SELECT prof, lvl, lvl * 10.0 + shift AS y, v FROM l JOIN e USING (prof)), n AS (SELECT *, lead(y) OVER w AS y1, lead(v) OVER w AS v1, lag(v) OVER w AS v0 FROM g WINDOW w AS (PARTITION BY prof ORDER BY y)),
+z AS (SELECT prof, m, CAST(k AS INTEGER) AS k, k * 7.3 + m AS yo FROM e, (SELECT unnest(range(0, 2))::INTEGER AS m), (SELECT unnest(range(0, 6)) AS k))
+SELECT z.prof, z.m, z.k, round(z.yo, 3) AS y, round(n.v + (n.v1 - n.v) * (z.yo - n.y) / (n.y1 - n.y), 3) AS v FROM z LEFT JOIN n ON n.prof = z.prof AND n.y <= z.yo AND z.yo < n.y1""",
+)
+def _(spark, d):
+    """Values by profile, levels whose depth changes by profile, and targets that change along a dimension of their own."""
+    data = levels(spark, d).select("prof", "lvl", "v")
+    source = data.select("prof", "lvl", (F.col("lvl") * 10.0 + F.col("prof") % 7).alias("y"))
+    target = spark.range(12).select((F.col("id") % 2).cast("int").alias("m"), F.floor(F.col("id") / 2).cast("int").alias("k"))
+    target = target.withColumn("y", F.col("k") * 7.3 + F.col("m"))
+    out = regrid.regrid1d_nd(data, source, target, ["prof", "m"], "lvl", "k", "y", "v")
+    return out.select("prof", "m", "k", r("y", 3).alias("y"), r("v", 3).alias("v"))
+
+
+@query(
+    "regrid_hermit_tension",
+    _regrid_sql("""(2*mu*mu*mu - 3*mu*mu + 1) * v0 + (mu*mu*mu - 2*mu*mu + mu) * ((v0 - vm) * 1.2 * 0.7 / 2 + (v1 - v0) * 0.8 * 0.7 / 2)
+ + (mu*mu*mu - mu*mu) * ((v1 - v0) * 1.2 * 0.7 / 2 + (vp - v1) * 0.8 * 0.7 / 2) + (3*mu*mu - 2*mu*mu*mu) * v1"""),
+)
+def _(spark, d):
+    out = regrid.regrid1d(levels(spark, d), ["prof"], "y", "v", TARGETS, method="hermit", bias=0.2, tension=0.3)
+    return out.select("prof", "y", r("v", 3).alias("v"))
+
+
+@query(
+    "convolve_separable",
+    f"""WITH {CELLS}, k(dj, di, w) AS (SELECT a.d, b.d, a.w * b.w FROM (VALUES (-2, 1.0), (-1, 2.0), (0, 3.0), (1, 2.0), (2, 1.0)) a(d, w), (VALUES (-3, 1.0), (-2, 1.0), (-1, 1.0), (0, 1.0), (1, 1.0), (2, 1.0), (3, 1.0)) b(d, w)),
+x AS (SELECT t.j, t.i, coalesce(sum(w * f.v * {SCALE}), 0) AS s, coalesce(sum(CASE WHEN f.v IS NOT NULL THEN w END), 0) AS q FROM f t CROSS JOIN k LEFT JOIN f ON f.j = t.j - dj AND f.i = t.i - di GROUP BY t.j, t.i)
+SELECT j, i, round(CASE WHEN q > 25.2 THEN s / q END, 4) AS v FROM x""",
+)
+def _(spark, d):
+    field = cells(spark, d).select("j", "i", (F.col("v") * SCALE).alias("v"))
+    out = filters.convolve(field, [], ["j", "i"], "v", {"j": [1.0, 2.0, 3.0, 2.0, 1.0], "i": 7}, True, 0.6)
+    return out.select("j", "i", r("v").alias("v"))
+
+
 @query("meta_decode", f"WITH {CELLS} SELECT i AS i, j AS j, lon, lat, v AS temp FROM f")
 def _(spark, d):
     raw = cells(spark, d).select("i", "j", F.col("lon").alias("nav_lon"), F.col("lat").alias("latitude"), F.col("v").alias("temperature"))
