@@ -87,7 +87,8 @@ def fingerprint(text: Column) -> Column:
 
     def edge(part: Column, first: Column, least: bool) -> Column:
         pairs = lambda c: F.transform(c, lambda x, i: F.xxhash64(F.lit("edge"), x, F.get(c, i + 1)))
-        return let(F.split(part, ""), lambda c: let(pairs(c), lambda p: _closed(p, first, least)))
+        # The first place is bound as well: the length of a text takes a pass over it.
+        return let(first, lambda at: let(F.split(part, ""), lambda c: let(pairs(c), lambda p: _closed(p, at, least))))
 
     head = edge(F.left(text, F.lit(EDGE)), F.lit(0), True)
     tail = edge(F.right(text, F.lit(EDGE)), F.greatest(n - EDGE, F.lit(0)), False)
