@@ -36,6 +36,8 @@ EPOCHS, STEP = 4, 24
 TABLE_BITS = 18
 RATE, DECAY = 0.3, 1e-4
 AFFIXES, GRAM = (1, 2, 3, 4), 3
+#: Bytes of text whose features are held at a time, some hundred times their size.
+SLICE = 1 << 18
 #: Words of a chunk of the forward-backward algorithm.
 CHUNK = 32
 UNDECIDED = "und"
@@ -236,7 +238,7 @@ def identify(
             col = batch.column(batch.num_columns - 2)
             data, off = text_buffers(col)
             pred, score, runs = [], [], []
-            for lo, hi in slices(off):
+            for lo, hi in slices(off, SLICE):
                 words = Words(LOWER[data[off[lo] : off[hi]]], off[lo : hi + 1] - off[lo])
                 post, _ = field.marginals(field.emissions(Features(words)), words.first) if n else (np.zeros((0, 1)), None)
                 total = np.concatenate([np.zeros((1, max(n, 1))), np.cumsum(post, axis=0)])
