@@ -7,9 +7,11 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gyre.sources.netcdf import open_netcdf
+
 
 def open_sample(spark: SparkSession, path: str, schema: str | None = None, columns: list[str] | None = None, skip_units: bool = False) -> DataFrame:
-    """A Parquet, ORC, JSON or CSV table; CSV has a header.
+    """A Parquet, ORC, JSON, CSV or NetCDF classic table; CSV has a header.
 
     ``skip_units`` drops the row of units below the header of a CSV with a schema: a row none of whose values that
     should be numbers or times is one. Other rows that do not fit the schema stay, with missing values.
@@ -21,6 +23,8 @@ def open_sample(spark: SparkSession, path: str, schema: str | None = None, colum
         typed = [f.name for f in df.schema.fields if f.dataType.typeName() != "string"]
         if skip_units and typed:
             df = df.where(" OR ".join(f"`{c}` IS NOT NULL" for c in typed))
+    elif suffix == "nc":
+        return open_netcdf(spark, path, columns)
     elif suffix in ("parquet", "orc", "json"):
         df = getattr(reader, suffix)(path)
     else:
