@@ -8,6 +8,7 @@ looks at the schema alone; renaming is one select, and runs no job.
 from __future__ import annotations
 
 import copy
+import warnings
 import fnmatch
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -140,17 +141,30 @@ class MetaSpecs:
         root = self.locator.parse("name", f.name)[0].lower()
         return min(found, key=lambda x: (root != x[1].lower(), root not in [n.lower() for n in self.items[x[0]][x[1]].names()], found.index(x)))
 
-    def search(self, df: DataFrame, generic: str, category: str | None = None, loc: str | bool | None = None, errors: str = "ignore") -> str | None:
-        """The column that is the quantity; the first of several, with ``errors="raise"`` an error unless there is one."""
+    def search_all(self, df: DataFrame, generic: str, category: str | None = None, loc: str | bool | None = None) -> list[str]:
+        """The columns that are the quantity: those of that very name first, then in the order of the columns."""
         hits = []
         for c in [category] if category else [c for c in CATEGORIES if generic in self.items[c]]:
             item = self.items[c].get(generic)
             if item:
                 hits += [f.name for f in df.schema.fields if self.match_item(f, item, c, loc) and f.name not in hits]
-        if errors == "raise" and len(hits) != 1:
-            raise MetaError(f"{generic}: {len(hits)} columns match")
         exact = [h for h in hits if self.locator.parse("name", h)[0].lower() == generic.lower()]
-        return (exact or hits or [None])[0]
+        return exact + [h for h in hits if h not in exact]
+
+    def search(self, df: DataFrame, generic: str, category: str | None = None, loc: str | bool | None = None, errors: str = "ignore") -> str | None:
+        """The column that is the quantity, the first of several.
+
+        Unless there is one and no more, ``errors="warn"`` says so, and ``errors="raise"`` makes it an error.
+        """
+        if errors not in ("ignore", "warn", "raise"):
+            raise ValueError(f"errors: {errors!r}")
+        hits = self.search_all(df, generic, category, loc)
+        if errors != "ignore" and len(hits) != 1:
+            said = f"{generic}: {len(hits)} columns match" + (f", {', '.join(hits)}" if hits else "")
+            if errors == "raise":
+                raise MetaError(said)
+            warnings.warn(said + ("; the first is taken" if hits else ""), stacklevel=2)
+        return (hits or [None])[0]
 
     def attributes(self, category: str, generic: str, loc: str | None = None) -> dict[str, str]:
         """Attributes that the specifications give a quantity."""

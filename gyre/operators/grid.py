@@ -24,6 +24,38 @@ def diff(df: DataFrame, keys: list[str], dim: str, cols: list[str], coords: list
     return df.select(*keys, dim, *out, F.lead(F.lit(1)).over(w).alias("_more")).where("_more = 1").drop("_more")
 
 
+def reverse(df: DataFrame, keys: list[str], dim: str) -> DataFrame:
+    """The rows of each key in the opposite order: index and values meet again from the other end."""
+    every = Window.partitionBy(*keys)
+    turned = F.min(dim).over(every) + F.max(dim).over(every) - F.col(dim)
+    return df.withColumn(dim, turned.cast(df.schema[dim].dataType))
+
+
+def sort(df: DataFrame, keys: list[str], dim: str, coord: str, ascending: bool = True) -> DataFrame:
+    """The index anew, from the least one of each key on, by a coordinate; equal coordinates stay in their order, missing ones come last."""
+    by = F.col(coord).asc_nulls_last() if ascending else F.col(coord).desc_nulls_last()
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(by, dim)) - 1 + F.min(dim).over(Window.partitionBy(*keys))
+    return df.withColumn(dim, place.cast(df.schema[dim].dataType))
+
+
+def concat(slabs: list[DataFrame], dim: str, start: int = 0) -> DataFrame:
+    """Slabs one after the other along a dimension, from ``start`` on; each brings its own range of indices, gaps and all.
+
+    Columns go by name, and those that a slab lacks are missing in it. A slab without rows takes no room. No data is shuffled.
+    """
+    out, at = None, start
+    for slab in slabs:
+        low, high = slab.agg(F.min(dim), F.max(dim)).first()
+        if low is None:
+            low, high = 0, -1
+        moved = slab.withColumn(dim, (F.col(dim) - F.lit(low) + F.lit(at)).cast(slab.schema[dim].dataType))
+        out = moved if out is None else out.unionByName(moved, allowMissingColumns=True)
+        at += high - low + 1
+    if out is None:
+        raise ValueError("no slabs")
+    return out
+
+
 #: Of a row at place i of n, the places before and after the dimension that take its values.
 MIRRORS = {
     "reflect": lambda i, n: (-i, 2 * (n - 1) - i),

@@ -214,6 +214,27 @@ def _(spark, d):
     return grid.diff(cells(spark, d), ["j"], "i", ["v"], ["lon"]).select("j", "i", r("v").alias("v"), "lon")
 
 
+@query("grid_reverse", f"WITH {LEVELS} SELECT prof, CAST(count(*) OVER (PARTITION BY prof) + 1 - lvl AS INTEGER) AS lvl, v FROM l")
+def _(spark, d):
+    return grid.reverse(levels(spark, d), ["prof"], "lvl").select("prof", "lvl", "v")
+
+
+@query("grid_sort", f"WITH {LEVELS} SELECT prof, CAST(row_number() OVER (PARTITION BY prof ORDER BY v DESC NULLS LAST, lvl) AS INTEGER) AS lvl, dz, v FROM l")
+def _(spark, d):
+    return grid.sort(levels(spark, d), ["prof"], "lvl", "v", ascending=False).select("prof", "lvl", "dz", "v")
+
+
+@query(
+    "grid_concat",
+    f"WITH {CELLS}, h AS (SELECT max(j) + 1 AS n FROM f) SELECT j, i, v, NULL::DOUBLE AS lon FROM f UNION ALL SELECT CAST(j + n - 1 AS INTEGER), i, v, lon FROM f, h WHERE j >= 1 UNION ALL SELECT CAST(j + 2 * n - 1 AS INTEGER), i, NULL, lon FROM f, h",
+)
+def _(spark, d):
+    """Three slabs along j, of which the second lacks its first row of cells."""
+    field = cells(spark, d)
+    parts = [field.select("j", "i", "v"), field.where("j >= 1").select("j", "i", "v", "lon"), field.select("j", "i", "lon")]
+    return grid.concat(parts, "j").select("j", "i", "v", "lon")
+
+
 @query("geo_stack", f"WITH {CELLS} SELECT j * 40 + i AS npts, lon, lat, v FROM f")
 def _(spark, d):
     return grid.geo_stack(cells(spark, d), "j", "i", 40).select("npts", "lon", "lat", "v")

@@ -4,10 +4,30 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OPEN: list[list] = []
+
+
+@contextmanager
+def cleared():
+    """Folders that are made inside go when the block ends: for a driver that lives on, once results have been written.
+
+    Frames that operators returned inside read these folders and cannot be used after it.
+    """
+    made: list = []
+    _OPEN.append(made)
+    try:
+        yield
+    finally:
+        _OPEN.remove(made)
+        for files, where in made:
+            files.delete(where, True)
+
+
 def shared_dir(spark: SparkSession, kind: str) -> str:
     """A new folder under the shared one of the cluster (``spark.checkpoint.dir``), deleted when the driver ends.
 
@@ -25,6 +45,8 @@ def shared_dir(spark: SparkSession, kind: str) -> str:
     files = where.getFileSystem(spark._jsc.hadoopConfiguration())
     files.mkdirs(where)
     files.deleteOnExit(where)
+    if _OPEN:
+        _OPEN[-1].append((files, where))
     return f"{path}/data"
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import difflib
+import fnmatch
 import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +12,27 @@ from pyspark.sql import functions as F
 from gyre.sources.netcdf import open_netcdf
 
 
+_SAMPLES: dict[str, dict] = {}
+
+
+def register_sample(name: str, path: str, **options) -> None:
+    """Make a table known by a name, with the options of ``open_sample``; the same name again replaces it."""
+    _SAMPLES[name] = {"path": path, **options}
+
+
+def sample_names(pattern: str = "*") -> list[str]:
+    """The names of the registered samples that match a pattern, in order."""
+    return sorted(fnmatch.filter(_SAMPLES, pattern))
+
+
+def get_sample(spark: SparkSession, name: str, **options) -> DataFrame:
+    """A registered sample; options given here come before those registered."""
+    if name not in _SAMPLES:
+        close = difflib.get_close_matches(name, _SAMPLES)
+        raise KeyError(f"no sample {name!r}" + (f"; there is {', '.join(close)}" if close else ""))
+    return open_sample(spark, **{**_SAMPLES[name], **options})
+
+
 def open_sample(spark: SparkSession, path: str, schema: str | None = None, columns: list[str] | None = None, skip_units: bool = False) -> DataFrame:
     """A Parquet, ORC, JSON, CSV or NetCDF classic table; CSV has a header.
 
