@@ -26,6 +26,9 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
+#: The least and the most bytes of files in a micro-batch, unless it is told.
+BATCH_BYTES = (64 << 20, 64 << 30)
+
 
 def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
@@ -37,16 +40,20 @@ def exact_dedup(
     id_col: str = "doc_id",
     text_col: str = "text",
     digest=sha256,
-    max_bytes_per_batch: int = 64 << 30,
+    max_bytes_per_batch: int | None = None,
     locators: bool = False,
 ) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256; the largest id of equal texts stays.
 
     ``path`` is a Parquet file, folder or pattern as Spark's readers take it, ``digest`` a function of the text
     column (the check on full bytes makes the result the same for any), ``max_bytes_per_batch`` bounds a
-    micro-batch. ``locators`` adds keep_file and keep_row, where the text that stays is found.
+    micro-batch: by default an eighth of the files, in bounds of its own (``BATCH_BYTES``). ``locators`` adds keep_file and keep_row, where the text that stays is found.
     """
-    rows = _rows(spark.read.parquet(path), id_col, text_col, digest)
+    source = spark.read.parquet(path)
+    if max_bytes_per_batch is None:
+        size = int(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        max_bytes_per_batch = min(BATCH_BYTES[1], max(BATCH_BYTES[0], size // 8))
+    rows = _rows(source, id_col, text_col, digest)
     state = _state(spark, path, rows, id_col, text_col, digest, max_bytes_per_batch)
     hits = rows.join(state.where("_n > 1").select("_digest"), "_digest", "left_semi")
     classes = hits.groupBy("_digest", "_text").agg(F.max("_at").alias("_keep"), F.count(F.lit(1)).alias("_n"))

@@ -43,6 +43,8 @@ def directory(sized: DataFrame, limit: int, max_depth: int = MAX_DEPTH) -> DataF
     Each pass sums the rows of the prefixes that are still too large, so the number of passes follows
     the excess depth of the fullest bucket, not the number of buckets.
     """
+    if limit <= 0:
+        raise ValueError(f"a shard holds at least one byte: limit {limit}")
     spark = sized.sparkSession
     total = sized.agg(F.coalesce(F.sum("_bytes"), F.lit(0)).alias("n")).first()["n"]
     lo, hi = 0, min(max_depth, max(0, math.ceil(math.log2(max(1, total / limit)))) + SPARE)
