@@ -350,6 +350,19 @@ _mld("mld_deltadens", "top + 0.015", method="deltadens", deltadens=0.015)
 _mld("mld_kzmax", "0.035", method="kzmax", kzmax=0.035)
 
 
+@query(
+    "mld_zref",
+    f"""WITH {LEVELS}, x AS (SELECT prof, -y AS x0, w * {SCALE} AS v0, lead(-y) OVER s AS x1, lead(w * {SCALE}) OVER s AS v1 FROM p WINDOW s AS (PARTITION BY prof ORDER BY -y)),
+r AS (SELECT prof, v0 + (v1 - v0) * (-10.5 - x0) / (x1 - x0) - 0.01517 AS iso FROM x WHERE x0 <= -10.5 AND x1 > -10.5),
+h AS (SELECT x.*, iso, (v0 >= iso AND v1 <= iso) OR (v0 <= iso AND v1 >= iso) AS hit FROM x LEFT JOIN r ON x.prof = r.prof)
+SELECT prof, round(abs(arg_max(CASE WHEN v0 = v1 THEN v0 ELSE x1 + (iso - v1) * (x0 - x1) / (v0 - v1) END, x0) FILTER (hit)), 4) AS mld FROM h GROUP BY prof""",
+)
+def _(spark, d):
+    """With the reference interpolated at a depth."""
+    rows = levels(spark, d).select("prof", "y", (F.col("w") * SCALE).alias("w"))
+    return thermdyn.mixed_layer_depth(rows, ["prof"], "y", "w", method="deltatemp", deltatemp=0.01517, positive="down", zref=10.5).select("prof", r("mld").alias("mld"))
+
+
 # Filters.
 
 
@@ -701,6 +714,24 @@ def _(spark, d):
     return out.select("id", r("value", 3).alias("value"), r("error", 6).alias("error"))
 
 
+_GAMMA = "(CASE WHEN {d} = 0 THEN 0 ELSE 0.1 + 0.9 * {d} / 4e7 END)"
+
+
+@query(
+    "krig_exact",
+    f"""WITH {POINTS}, x AS (SELECT c.id, s.id AS sid, s.lon, s.lat, s.value AS z, {hav('c', 's')} AS d FROM c, s),
+n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(d, 6), sid DESC) AS k FROM x QUALIFY k <= 2),
+a AS (SELECT * FROM n WHERE k = 1), b AS (SELECT * FROM n WHERE k = 2), e AS (SELECT a.id, a.z AS z1, b.z AS z2, a.d AS d1, b.d AS d2, {hav('a', 'b')} AS d12 FROM a JOIN b ON a.id = b.id),
+w AS (SELECT id, z1, z2, 0.5 + ({_GAMMA.format(d='d2')} - {_GAMMA.format(d='d1')}) / (2 * {_GAMMA.format(d='d12')}) AS w FROM e)
+SELECT id, round(w * z1 + (1 - w) * z2, 3) AS value FROM w""",
+)
+def _(spark, d):
+    """A value at a point is the point's, whatever the nugget."""
+    model = geostat.VariogramModel("linear", n=0.1, s=1.0, r=40_000.0)
+    out = geostat.krig(suppliers(spark, d), customers(spark, d), model, neighbours=2, exact=True)
+    return out.select("id", r("value", 3).alias("value"))
+
+
 @query("krig_ordinary")
 def _(spark, d):
     model = geostat.VariogramModel("exponential", n=0.0, s=1e7, r=3000.0)
