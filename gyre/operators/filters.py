@@ -148,16 +148,18 @@ def convolve(
 
 
 def _sent(rows: DataFrame, keys: list[str], dims: list[str], kernel: np.ndarray) -> DataFrame:
-    """Sums of what the cells around each place send to it; _cell is whether one stands there itself."""
+    """Sums of what the cells around each place send to it; _cell is whether one stands there itself, and _own its own value if asked for."""
     centre = [n // 2 for n in kernel.shape]
     here = lambda at: all(i == c for i, c in zip(at, centre))
     items = [(*[i - c for i, c in zip(at, centre)], float(kernel[at]), here(at)) for at in np.ndindex(*kernel.shape) if kernel[at] or here(at)]
     names = [*[f"o{j}" for j in range(len(dims))], "w", "here"]
     offsets = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(names, item)]) for item in items])
-    sent = rows.select(*keys, *dims, "_s", "_q", "_cell", F.explode(offsets).alias("_o"))
+    sent = rows.select("*", F.explode(offsets).alias("_o"))
     target = [(F.col(d) + F.col(f"_o.o{j}")).alias(d) for j, d in enumerate(dims)]
-    sums = sent.select(*keys, *target, (F.col("_s") * F.col("_o.w")).alias("_s"), (F.col("_q") * F.col("_o.w")).alias("_q"), (F.col("_cell") & F.col("_o.here")).alias("_cell"))
-    return sums.groupBy(*keys, *dims).agg(F.sum("_s").alias("_s"), F.sum("_q").alias("_q"), F.max("_cell").alias("_cell"))
+    own = [F.when(F.col("_o.here"), F.col("_own")).alias("_own")] if "_own" in rows.columns else []
+    sums = sent.select(*keys, *target, (F.col("_s") * F.col("_o.w")).alias("_s"), (F.col("_q") * F.col("_o.w")).alias("_q"), (F.col("_cell") & F.col("_o.here")).alias("_cell"), *own)
+    found = [F.sum("_s").alias("_s"), F.sum("_q").alias("_q"), F.max("_cell").alias("_cell"), *([F.max("_own").alias("_own")] if own else [])]
+    return sums.groupBy(*keys, *dims).agg(*found)
 
 
 def _convolve1d(df: DataFrame, keys: list[str], dim: str, v: str, kernel: np.ndarray, normalize: bool, na_thres: float, out: str) -> DataFrame:
@@ -193,7 +195,7 @@ def erode(df: DataFrame, keys: list[str], dims: list[str], v: str, until: int |
     With ``mask`` (a boolean column, true where values may stay missing) until no other value is missing, at
     most ``most`` times; every 8 passes are written to the shared folder.
     """
-    kernel = shapiro_kernel(len(dims)) if kernel is None else kernel
+    weights = shapiro_kernel(len(dims)) if kernel is None else make_kernel(kernel, len(dims))
     rest = [c for c in df.columns if c not in (*keys, *dims, v)]
     cells, out = df.select(*keys, *dims, *rest), df.select(*keys, *dims, v)
     for i in range(until if mask is None else most):
@@ -201,8 +203,11 @@ def erode(df: DataFrame, keys: list[str], dims: list[str], v: str, until: int |
             left = out.where(F.col(v).isNull()).join(cells.where(~F.col(mask)), [*keys, *dims], "left_semi")
             if left.isEmpty():
                 break
-        near = convolve(out, keys, dims, v, kernel, True, 1.0, "_near")
-        out = out.join(near, [*keys, *dims]).select(*keys, *dims, F.coalesce(v, "_near").alias(v))
+        # A cell's own value comes along with what it is sent, so that a pass is one shuffle.
+        value = F.col(v).cast("double")
+        rows = out.select(*keys, *dims, F.coalesce(value, F.lit(0.0)).alias("_s"), value.isNotNull().cast("double").alias("_q"), F.lit(True).alias("_cell"), value.alias("_own"))
+        near = _sent(rows, keys, dims, weights).where("_cell")
+        out = near.select(*keys, *dims, F.coalesce("_own", _result(F.col("_s"), F.col("_q"), weights, True, 1.0)).alias(v))
         if i % 8 == 7:
             out = written(out, "erode")
     return out.join(cells, [*keys, *dims]) if rest else out
