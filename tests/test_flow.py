@@ -29,7 +29,7 @@ def plain(lon, lat, u, v, seeds, steps, exact):
     return out
 
 
-@pytest.mark.parametrize("tile, particles, hole, exact", [(128, 20_000, False, False), (3, 7, True, True), (5, 1000, True, False), (1, 50, False, True)])
+@pytest.mark.parametrize("tile, particles, hole, exact", [(128, 20_000, False, False), (3, 7, True, True), (1, 50, True, False)])
 def test_against_whole_field(spark, tile, particles, hole, exact):
     lon, lat, u, v, df = field(spark, hole=hole)
     rnd = np.random.default_rng(3)
