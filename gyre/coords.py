@@ -15,7 +15,7 @@ from pyspark.sql.types import StructField
 from gyre.errors import CoordsError
 from gyre.gridframe import GridFrame
 from gyre.meta import specs as meta
-from gyre.operators.grid import dz2depth
+from gyre.operators.grid import layer_centres
 
 #: Generic names of the coordinates that place a cell, and of those that make a vertical one, the first found counting.
 PLACES = ("lon", "lat", "depth", "altitude", "level", "time")
@@ -84,12 +84,12 @@ def decode_dz2depth(frame: GridFrame, positive: str | None = None, name: str = "
     positive = positive or s.positive
     # The surface gives the reference of layers counted from it, the floor that of layers counted from below.
     refs = [r for r in (("ssh", "bathy") if positive == "up" else ("bathy", "ssh")) if s.search(frame.df, r, "data_vars")]
-    keys, rest = [d for d in frame.dims if d != zdim], [c for c in frame.df.columns if c not in frame.dims]
+    keys, rest = [d for d in frame.dims if d != zdim], [c for c in frame.df.columns if c not in (*frame.dims, name)]
     ref = s.search(frame.df, refs[0], "data_vars") if refs else None
     kind = {"bathy": "bottom", "ssh": "top"}[refs[0]] if refs else "infer"
-    depths = dz2depth(frame.df, keys, zdim, thickness, positive, ref, kind, centered=True).withColumnRenamed("depth", name)
-    # The centre of a layer carries the index of the layer's own row.
-    df = frame.df.join(depths, [*keys, zdim]).select(*frame.dims, *rest, F.col(name).alias(name, metadata={"units": "m", "positive": positive}))
+    # The centre of a layer stands in the layer's own row.
+    df = layer_centres(frame.df, keys, zdim, thickness, positive, ref, kind, name)
+    df = df.select(*frame.dims, *rest, F.col(name).alias(name, metadata={"units": "m", "positive": positive}))
     return replace(frame, df=df, coords=(*frame.coords, name))
 
 

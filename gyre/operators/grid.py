@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -120,6 +120,24 @@ def shift(df: DataFrame, keys: list[str], dim: str, cols: list[str], direction:
     return out if right else out.withColumn(dim, F.col(dim) + 1)
 
 
+def _referred(depth: Column, positive: str, ref: str | None, ref_type: str) -> Column:
+    """The depth at a sum of thicknesses, with the total of its profile in ``_total``."""
+    if ref_type == "infer":
+        ref_type = {"bathy": "bottom", "ssh": "top"}.get(ref or "", "top" if positive == "down" else "bottom")
+    if positive == "up":
+        return depth - (F.col("_total") if ref is None else F.col("_total") - F.col(ref) if ref_type == "top" else F.col(ref))
+    if ref is not None:
+        return (depth - F.col("_total") if ref_type == "bottom" else depth) + F.col(ref)
+    return depth
+
+
+def layer_centres(df: DataFrame, keys: list[str], order: str, dz: str, positive: str = "down", ref: str | None = None, ref_type: str = "infer", name: str = "depth") -> DataFrame:
+    """Add the depths of the centres of layers, as ``dz2depth`` has them; one shuffle, all columns stay."""
+    rows = df.withColumn("_sum", F.sum(dz).over(_along(keys, order))).withColumn("_total", F.sum(dz).over(Window.partitionBy(*keys)))
+    centre = F.col("_sum") - F.coalesce(F.col(dz), F.lit(0.0)) / 2
+    return rows.withColumn(name, _referred(centre, positive, ref, ref_type)).drop("_sum", "_total")
+
+
 def dz2depth(df: DataFrame, keys: list[str], order: str, dz: str, positive: str = "down", ref: str | None = None, ref_type: str = "infer", centered: bool = False) -> DataFrame:
     """Depths of the edges of layers from their thicknesses, or of their centres: keys, order, depth.
 
@@ -127,8 +145,8 @@ def dz2depth(df: DataFrame, keys: list[str], order: str, dz: str, positive: str
     total by default, or the total less a ``top`` reference) is taken off. Down: a ``bottom`` reference
     takes the total off, then the reference column is added.
     """
-    if ref_type == "infer":
-        ref_type = {"bathy": "bottom", "ssh": "top"}.get(ref or "", "top" if positive == "down" else "bottom")
+    if centered:
+        return layer_centres(df, keys, order, dz, positive, ref, ref_type, "depth").select(*keys, order, "depth")
     w = _along(keys, order)
     total = F.sum(dz).over(Window.partitionBy(*keys))
     rows = df.withColumn("_sum", F.sum(dz).over(w)).withColumn("_total", total).withColumn("_first", F.row_number().over(w) == 1)
@@ -136,15 +154,7 @@ def dz2depth(df: DataFrame, keys: list[str], order: str, dz: str, positive: str
         F.array(F.struct(F.lit(0).alias("k"), F.col("_sum").alias("s")))
     )
     rows = rows.withColumn("_p", F.explode(sums))
-    depth = F.col("_p.s")
-    if positive == "up":
-        depth = depth - (F.col("_total") if ref is None else F.col("_total") - F.col(ref) if ref_type == "top" else F.col(ref))
-    elif ref is not None:
-        depth = (depth - F.col("_total") if ref_type == "bottom" else depth) + F.col(ref)
-    out = rows.select(*keys, (F.col(order) + F.col("_p.k")).alias(order), depth.alias("depth"))
-    if centered:
-        out = centers(out, keys, order, ["depth"]).withColumn(order, F.col(order) + 1)
-    return out
+    return rows.select(*keys, (F.col(order) + F.col("_p.k")).alias(order), _referred(F.col("_p.s"), positive, ref, ref_type).alias("depth"))
 
 
 def to_rect(df: DataFrame, ydim: str, xdim: str, lon: str = "lon", lat: str = "lat", tol: float = 1e-5) -> tuple[DataFrame, DataFrame] | None:
