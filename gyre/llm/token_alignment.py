@@ -161,7 +161,7 @@ def _sizes(byte_level: str, pieces: str) -> tuple[int, int]:
 def aligned(df: DataFrame, byte_level: str, pieces: str, id_col: str = "doc_id", text_col: str = "text", groups: bool = False) -> DataFrame:
     """Both tokenizations of each text, aligned.
 
-    Columns: id, _row (a number of the row, unique but for nothing else of use), n_a, n_b, n_groups, n_links,
+    Columns: id, _row (a number for each row, with gaps), n_a, n_b, n_groups, n_links,
     groups_sha256, pairs (its distinct linked pairs, each as the first identifier times the size of the second
     vocabulary plus the second) and times (how often each is linked). ``groups`` adds the groups as text.
     """
