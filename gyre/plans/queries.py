@@ -846,6 +846,15 @@ def _(spark, d):
     return specs.encode(raw)
 
 
+@query("meta_best_match", f"WITH {CELLS} SELECT i, j, lon, lat, v AS temp FROM f")
+def _(spark, d):
+    """Cells under the names of their quantities, by the one of two specifications that matches the columns better."""
+    raw = cells(spark, d).select("i", "j", F.col("lon").alias("mylon"), F.col("lat").alias("mylat"), F.col("v").alias("mytemp"))
+    own = lambda n, lon, temp: MetaSpecs.from_dict(n, {"coords": {"lon": {"name": lon}, "lat": {"name": "mylat"}}, "data_vars": {"temp": {"name": temp}}})
+    best = max((own("a", "x", "t"), own("b", "mylon", "mytemp")), key=lambda s: s.score(raw))
+    return best.decode(raw)
+
+
 @query("meta_score", "SELECT 75.0::DOUBLE AS score, 25.0::DOUBLE AS other")
 def _(spark, d):
     make = lambda n, coords, data: MetaSpecs.from_dict(n, {"coords": {k: {"name": v} for k, v in coords.items()}, "data_vars": {k: {"name": v} for k, v in data.items()}})
