@@ -28,6 +28,8 @@ K, LONG = 5, 32
 EDGE = 32
 #: A character of a script that is written without spaces.
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]"
+#: A character beyond those of scripts with spaces that come first in Unicode; all of ``UNSPACED`` are.
+BEYOND = r"[^\x{0}-\x{DFF}]"
 _SPACE = r"[\x20\x09-\x0D]+"
 #: Bits of an anchor's number that hold its place, below those of its hash.
 PLACE_BITS = 24
@@ -99,9 +101,11 @@ def fingerprint(text: Column) -> Column:
 def _letters(text: Column) -> Column:
     """Words, or characters of a run of them without spaces."""
     trimmed = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
-    dense = UNSPACED + r"|[^\x20\x09-\x0D]{%d}" % (LONG + 1)
-    apart = lambda words: F.flatten(F.transform(words, lambda w: F.when(w.rlike(dense), F.split(w, "")).otherwise(F.array(w))))
-    return let(F.split(trimmed, _SPACE), lambda words: F.when(text.rlike(dense), apart(words)).otherwise(words))
+    # Scripts are looked up character by character; a plain range tells most texts to have none of them.
+    dense = lambda t: t.rlike(BEYOND) & t.rlike(UNSPACED)
+    long = lambda w: F.length(w) > LONG
+    apart = lambda words: F.flatten(F.transform(words, lambda w: F.when(long(w) | dense(w), F.split(w, "")).otherwise(F.array(w))))
+    return let(F.split(trimmed, _SPACE), lambda words: F.when(F.exists(words, long) | dense(text), apart(words)).otherwise(words))
 
 
 def _hash(anchor: Column) -> Column:
