@@ -20,10 +20,13 @@ from pyspark.sql import functions as F
 
 from gyre.llm.session import shared_dir, written
 
-#: State on disk. Without the last setting each store takes some MB of disk ahead, however few its keys.
+#: State on disk. Without the second setting each store takes some MB of disk ahead, however few its keys; the others bound
+#: the memory that all stores of an executor share, whatever their number.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
 }
 
 #: The least and the most bytes of files in a micro-batch, unless it is told.
