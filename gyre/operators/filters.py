@@ -248,7 +248,7 @@ def tidal_filter(df: DataFrame, keys: list[str], time: str, v: str, name: str =
         low = F.floor(at).cast("int")
         return F.get(given, low) + (at - low) * (F.coalesce(F.get(given, low + 1), F.lit(0.0)) - F.get(given, low))
 
-    weights = F.transform(F.sequence(F.lit(0), n), between)
+    weights = F.when(n == last, given).otherwise(F.transform(F.sequence(F.lit(0), n), between))
     finest = finest if finest is not None and finest < 3600 * (1 - dt_tol) else 3600.0
     index = F.coalesce(F.round((F.col("_t") - F.col("_first")) / F.col("_step")), F.lit(0)).cast("long")
     rows = _ranged(rows.withColumn("_i", index), keys, weights, int(round(last * 3600 / finest)) + 2)

@@ -15,16 +15,31 @@ from gyre.scratch import written
 LITERAL = 4096
 
 
-def _axis(grid: DataFrame, index: str, coord: str) -> DataFrame:
-    """The nodes of an axis: index, _c. An error if the coordinate changes along another dimension, or does not rise."""
+def _falls(index: str, coord: str, changes: bool) -> ValueError:
+    if changes:
+        return ValueError(f"{coord} changes along other dimensions than {index}; use level_coord or curvilinear2loc")
+    return ValueError(f"{coord} does not rise with {index}")
+
+
+def _axis(grid: DataFrame, index: str, coord: str, literal: int) -> tuple[list, DataFrame | None]:
+    """The nodes of an axis, (place, coordinate) in order, or of one longer than ``literal`` their table (_i, _c).
+
+    An error if the coordinate changes along another dimension, or does not rise.
+    """
     nodes = grid.groupBy(F.col(index).cast("long").alias("_i")).agg(F.min(coord).cast("double").alias("_c"), F.max(coord).cast("double").alias("_d"))
-    nodes = written(nodes, "axis")
+    few = sorted((r["_i"], r["_c"], r["_d"]) for r in nodes.limit(literal + 1).collect() if r["_c"] is not None)
+    if len(few) <= literal:
+        if any(d - c > 1e-9 * max(1.0, abs(c)) for _, c, d in few):
+            raise _falls(index, coord, True)
+        if any(b[1] <= a[1] for a, b in zip(few, few[1:])):
+            raise _falls(index, coord, False)
+        return [(i, c) for i, c, _ in few], None
+    nodes = written(nodes.where("_c IS NOT NULL"), "axis")
     if not nodes.where(F.col("_d") - F.col("_c") > 1e-9 * F.greatest(F.lit(1.0), F.abs("_c"))).isEmpty():
-        raise ValueError(f"{coord} changes along other dimensions than {index}; use level_coord or curvilinear2loc")
-    after = nodes.select((F.col("_i") - 1).alias("_i"), F.col("_c").alias("_next"))
-    if not nodes.join(after, "_i").where("_next <= _c").isEmpty():
-        raise ValueError(f"{coord} does not rise with {index}")
-    return nodes.select("_i", "_c")
+        raise _falls(index, coord, True)
+    if not nodes.join(nodes.select((F.col("_i") - 1).alias("_i"), F.col("_c").alias("_next")), "_i").where("_next <= _c").isEmpty():
+        raise _falls(index, coord, False)
+    return [], nodes.select("_i", "_c")
 
 
 def _bracketed(rows: DataFrame, grid: DataFrame, index: str, coord: str, period: float | None, literal: int) -> DataFrame:
@@ -32,18 +47,17 @@ def _bracketed(rows: DataFrame, grid: DataFrame, index: str, coord: str, period:
 
     With a ``period`` the axis is a ring: behind its last node comes the first one again.
     """
-    nodes = _axis(grid, index, coord)
-    n, low, high = nodes.agg(F.count(F.lit(1)), F.min("_c"), F.max("_c")).first()
+    listed, nodes = _axis(grid, index, coord, literal)
     names = [f"_{x}_{index}" for x in "ija"]
-    if not n:
+    if nodes is None and not listed:
         return rows.withColumns({c: F.lit(None).cast("double" if c.startswith("_a") else "long") for c in names})
+    n, low, high = nodes.agg(F.count(F.lit(1)), F.min("_c"), F.max("_c")).first() if nodes is not None else (len(listed), listed[0][1], listed[-1][1])
     x = F.col(coord).cast("double")
     if period:
         x = F.lit(low) + F.pmod(x - F.lit(low), F.lit(float(period)))
     closing = bool(period) and high < low + period
-    if n <= literal:
-        listed = sorted((r["_c"], r["_i"]) for r in nodes.collect())
-        coords, places = [c for c, _ in listed], [i for _, i in listed]
+    if nodes is None:
+        coords, places = [c for _, c in listed], [i for i, _ in listed]
         if closing:
             coords, places = [*coords, low + period], [*places, places[0]]
         at, numbers = F.array(*map(F.lit, coords)), F.array(*[F.lit(i).cast("long") for i in places])
