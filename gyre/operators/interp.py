@@ -27,7 +27,7 @@ def _axis(grid: DataFrame, index: str, coord: str, literal: int) -> tuple[list,
     An error if the coordinate changes along another dimension, or does not rise.
     """
     nodes = grid.groupBy(F.col(index).cast("long").alias("_i")).agg(F.min(coord).cast("double").alias("_c"), F.max(coord).cast("double").alias("_d"))
-    few = sorted((r["_i"], r["_c"], r["_d"]) for r in nodes.limit(literal + 1).collect() if r["_c"] is not None)
+    few = sorted((r["_i"], r["_c"], r["_d"]) for r in nodes.orderBy("_i").limit(literal + 1).collect() if r["_c"] is not None)
     if len(few) <= literal:
         if any(d - c > 1e-9 * max(1.0, abs(c)) for _, c, d in few):
             raise _falls(index, coord, True)
