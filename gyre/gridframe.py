@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gyre.functions import sigma
 from gyre.meta import specs as meta
 from gyre.meta.locator import Locator
+from gyre.operators.ranks import following
 
 
 @dataclass(frozen=True)
@@ -122,6 +123,16 @@ class GridFrame:
             out = replace(out, df=df, coords=(*out.coords, own))
         return out
 
+    def averaged(self, columns: list[str], hloc: str, dim: str) -> GridFrame:
+        """Add columns at a location half a cell on along ``dim``, the means of this cell's and the next one's, at the last its own.
+
+        For a frame of few or no other dimensions, before levels are added: cells meet by their ranks, and no task holds them all.
+        """
+        names = [self._name(c) for c in columns]
+        df = following(self.df, dim, names, [d for d in self.dims if d != dim])
+        means = {Locator().format("name", c, hloc): (F.col(c) + F.coalesce(F.col(f"next_{c}"), F.col(c))) / 2 for c in names}
+        return replace(self, df=df.withColumns(means).drop(*[f"next_{c}" for c in names]))
+
     def _term(self, column: str, term: str, hloc: str | None, average: dict[str, str]):
         """A term's column; at a location that has none of its own, the mean over the two cells around it."""
         there = {c.lower() for c in self.df.columns}
@@ -140,10 +151,13 @@ class GridFrame:
             raise ValueError(f"{terms['depth_c']} and {terms['depth']} vary along different dimensions")
 
     def _column(self, name: str):
+        return F.col(self._name(name))
+
+    def _name(self, name: str) -> str:
         found = next((c for c in self.df.columns if c.lower() == name.lower()), None)
         if found is None:
             raise KeyError(name)
-        return F.col(found)
+        return found
 
 
 #: Terms that a grid has at its horizontal locations.
