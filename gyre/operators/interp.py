@@ -7,12 +7,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gyre.functions.arrays import count_upto, let
-from gyre.operators.regrid import profiles, value_at
+from gyre.operators.pairs import met
+from gyre.operators.regrid import value_at
 from gyre.scratch import written
 
 
 #: Nodes of an axis that become a literal of the plan; the intervals of longer ones are joined.
 LITERAL = 4096
+#: Corners that are broadcast to the cells.
+BROADCAST_CORNERS = 100_000
 
 
 def _falls(index: str, coord: str, changes: bool) -> ValueError:
@@ -93,45 +96,59 @@ def grid2loc(
     ``axes`` maps an index column of the grid (from 0 on, rising with its coordinate) to the coordinate's
     column, which both frames have. A point outside an axis, without a coordinate, or with a missing corner
     has a missing value; on the last node the corner beyond it is not needed. ``period`` makes an axis a ring, whose
-    first node follows on the last. Each point explodes to its corners, at most two an axis, and these meet the cells by
-    an equi-join. Axes of more than ``literal`` nodes are joined by their intervals; the result is the same.
+    first node follows on the last. Points at one place are interpolated once. Each place explodes to its corners, at most
+    two an axis, and these meet the cells by an equi-join. Axes of more than ``literal`` nodes are joined by their
+    intervals; the result is the same. With extra dimensions each point has a row for every one of their places, so that
+    points and results meet in blocks.
 
     ``level`` is the index of a dimension whose coordinate, ``level_coord``, changes from cell to cell, such as the
     depth of terrain-following levels: it is interpolated along the other axes first, with the values.
     """
-    if level:
-        names = [v] if isinstance(v, str) else list(v)
-        columns = grid2loc(grid, points, axes, [level_coord, *names], [*extra, level], period, literal=literal).where(F.col(level).isNotNull())
-        found = points.select("id")
-        for name in names:
-            one = profiles(columns, ["id", *extra], level_coord, name).join(points.select("id", F.col(level_coord).cast("double").alias("_y")), "id")
-            found = found.join(one.select("id", *extra, _on_profile(F.col("nodes"), F.col("_y")).alias(name)), ["id", *extra] if name != names[0] else "id", "left")
-        return found.select("id", *extra, *names)
     values = [v] if isinstance(v, str) else list(v)
-    rows = points.select("id", *dict.fromkeys(axes.values()))
-    names = []
+    at = list(dict.fromkeys(axes.values()))
+    of = {c: f"_at_{c}" for c in at}
+    asked = points.select("id", *[F.col(c).cast("double").alias(k) for c, k in of.items()], *([F.col(level_coord).cast("double").alias("_y")] if level else []))
+    found = _at_places(grid, asked.select(*[F.col(k).alias(c) for c, k in of.items()]).distinct(), axes, [level_coord, *values] if level else values, [*extra, level] if level else extra, period, literal)
+    found = found.withColumnsRenamed(of)
+    keys = list(of.values())
+    if level:
+        # One array a place, by rising depth, of all values; each depth at a place is looked up once.
+        node = F.struct(F.col(level_coord).alias("y"), *[F.col(c).alias(f"v{n}") for n, c in enumerate(values)])
+        found = found.where(F.col(level).isNotNull() & F.col(level_coord).isNotNull()).groupBy(*keys, *extra).agg(F.array_sort(F.collect_list(node)).alias("_nodes"))
+        one = lambda n: F.transform("_nodes", lambda x: F.struct(x["y"].alias("y"), x[f"v{n}"].alias("v")))
+        depths = asked.select(*keys, "_y").distinct().join(found, keys)
+        found = depths.select(*keys, "_y", *extra, *[_on_profile(one(n), F.col("_y")).alias(c) for n, c in enumerate(values)])
+        keys = [*keys, "_y"]
+    out = met(asked, found, keys).unionByName(asked.join(found, keys, "left_anti"), True) if extra else asked.join(found, keys, "left")
+    return out.select("id", *extra, *values)
+
+
+def _at_places(grid: DataFrame, places: DataFrame, axes: dict[str, str], values: list[str], extra: list[str], period: dict[str, float] | None, literal: int) -> DataFrame:
+    """Linear interpolation at different places: their coordinates, extra dimensions, values; none where no corner is a cell."""
+    rows, at = places, places.columns
     for index, coord in axes.items():
         rows = _bracketed(rows, grid, index, coord, (period or {}).get(coord), literal)
-        names.append(index)
-    corner = rows
-    for index in names:
+    weight, need, corner = F.lit(1.0), F.lit(1), rows
+    for index in axes:
         pair = F.array(
             F.struct(F.col(f"_i_{index}").alias("i"), (1 - F.col(f"_a_{index}")).alias("w")),
             F.struct(F.col(f"_j_{index}").alias("i"), F.col(f"_a_{index}").alias("w")),
         )
         # A corner without weight is not asked for.
-        corner = corner.withColumn(f"_c_{index}", F.explode_outer(F.filter(pair, lambda c: c["w"] > 0)))
-    weight = F.lit(1.0)
-    for index in names:
+        corner = corner.withColumn(f"_p_{index}", F.filter(pair, lambda c: c["w"] > 0))
+        need = need * F.size(f"_p_{index}")
+    corner = corner.withColumn("_need", need)
+    for index in axes:
+        corner = corner.withColumn(f"_c_{index}", F.explode(f"_p_{index}"))
         weight = weight * F.col(f"_c_{index}.w")
-    wanted = corner.select("id", *[F.col(f"_c_{i}.i").alias(i) for i in names], weight.alias("_w"))
-    inside = wanted.where(F.col("_w").isNotNull())
-    need = inside.groupBy("id").agg(F.count(F.lit(1)).alias("_need"))
-    met = inside.join(grid.select(*names, *extra, *[F.col(c).cast("double").alias(f"_v_{c}") for c in values]), names)
+    named = {c: f"_at_{c}" for c in at}
+    wanted = written(corner.select(*[F.col(c).alias(k) for c, k in named.items()], *[F.col(f"_c_{i}.i").alias(i) for i in axes], weight.alias("_w"), "_need"), "corners")
+    # Exploded rows are more than the planner takes them for.
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_CORNERS else wanted.hint("merge")
+    cells = grid.select(*axes, *extra, *[F.col(c).cast("double").alias(f"_v_{c}") for c in values])
     sums = [f(F.col(f"_v_{c}")).alias(f"{n}{c}") for c in values for n, f in (("_s_", lambda x: F.sum(F.col("_w") * x)), ("_got_", F.count))]
-    found = met.groupBy("id", *extra).agg(*sums).join(need, "id")
-    found = found.select("id", *extra, *[F.when(F.col(f"_got_{c}") == F.col("_need"), F.col(f"_s_{c}")).alias(c) for c in values])
-    return points.select("id").join(found, "id", "left")
+    found = cells.join(wanted, list(axes)).groupBy(*named.values(), *extra).agg(F.first("_need").alias("_need"), *sums)
+    return found.select(*[F.col(k).alias(c) for c, k in named.items()], *extra, *[F.when(F.col(f"_got_{c}") == F.col("_need"), F.col(f"_s_{c}")).alias(c) for c in values])
 
 
 def _on_profile(nodes: Column, y: Column) -> Column:
