@@ -368,7 +368,8 @@ def _links(docs: DataFrame, standing: DataFrame, kind: str, words: int, percent:
             .mapInArrow(_compare(percent), "_x bigint, _y bigint")
         )
         met = written(met, "near-met")
-        coarse = components(close.unionByName(met)) if not met.isEmpty() else coarse
+        # Each node's link to its component stands for the close pairs.
+        coarse = components(met.unionByName(coarse.select(F.col("_node").alias("_x"), F.col("_comp").alias("_y")))) if not met.isEmpty() else coarse
     inside = standing.join(coarse, F.col("_a") == F.col("_node")).select("_a", "_n", F.col("_min").alias("_i"), F.col("_h").alias("_g"), "_comp")
     parts = inside.groupBy("_comp").agg(F.greatest(F.ceil(F.sum("_n") / block), F.ceil(F.count(F.lit(1)) / nodes_of_block)).alias("_parts"))
     inside = inside.join(parts, "_comp").withColumn("_part", F.pmod(F.col("_a"), F.col("_parts")))
