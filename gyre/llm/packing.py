@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from gyre.llm.bpe import Pieces
+from gyre.llm.bpe import MEMO_PIECES
 from gyre.llm.pretok import cut
 from gyre.llm.session import shipped
 from gyre.llm.text import slices, text_buffers
@@ -54,16 +54,16 @@ def plan(cuts: np.ndarray, penalty: np.ndarray, size: int = SIZE) -> list[int]:
     """
     where, price = cuts.tolist(), penalty.tolist()
     n = len(where)
-    cost, before = [0.0] * n, [0] * n
-    queue: deque[int] = deque([0])  # cuts by rising place and rising cost + place
+    key, before = [float(where[0])] * n, [0] * n  # key: cost + place
+    queue: deque[int] = deque([0])  # cuts by rising place and rising key
     for i in range(1, n):
         p = where[i]
         while where[queue[0]] < p - size:
             queue.popleft()
         j = queue[0]
-        cost[i], before[i] = cost[j] + where[j] + size - p + price[i], j
-        key = cost[i] + p
-        while queue and cost[queue[-1]] + where[queue[-1]] >= key:
+        before[i] = j
+        own = key[i] = key[j] + size + price[i]
+        while queue and key[queue[-1]] >= own:
             queue.pop()
         queue.append(i)
     out, i = [n - 1], n - 1
@@ -78,8 +78,8 @@ def candidates(total: int, doc_ends: np.ndarray, sentence_ends: np.ndarray) -> t
     ends = np.unique(np.concatenate([[0, total], doc_ends, sentence_ends]))
     gaps = np.diff(ends)
     wide = np.flatnonzero(gaps > STEP)
-    inner = [np.arange(ends[i] + STEP, ends[i + 1], STEP) for i in wide]
-    inside = np.concatenate(inner) if inner else np.zeros(0, np.int64)
+    more = (gaps[wide] - 1) // STEP
+    inside = np.repeat(ends[wide] - STEP * (np.cumsum(more) - more - 1), more) + STEP * np.arange(more.sum())
     cuts = np.concatenate([ends, inside])
     penalty = np.concatenate([np.full(len(ends), SENTENCE, float), np.full(len(inside), INSIDE, float)])
     penalty[: len(ends)][np.isin(ends, np.concatenate([[0, total], doc_ends]), assume_unique=False)] = 0
@@ -96,7 +96,7 @@ class Coder:
         tokenizer = Tokenizer.from_file(path)
         model, self.n = tokenizer.model, tokenizer.get_vocab_size()
         shown = _byte_letters()
-        self.memo = Pieces(lambda p: tuple(t.id for t in model.tokenize("".join([shown[b] for b in p.encode("utf-8", "surrogatepass")]))))
+        self.memo = Slots(lambda p: [t.id for t in model.tokenize("".join([shown[b] for b in p.encode("utf-8", "surrogatepass")]))])
         self.closes = np.zeros(self.n, bool)
         for token, i in tokenizer.get_vocab().items():
             self.closes[i] = token[-1] in ".!?" or shown[10] in token
@@ -117,11 +117,41 @@ class Coder:
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         pieces, first = cut(texts)
-        first = first.tolist()
-        return [
-            np.fromiter(chain.from_iterable(map(self.memo.__getitem__, pieces[a:b])), np.uint32)
-            for a, b in zip(first, first[1:])
-        ]
+        runs = [self.memo.tokens(pieces[i : i + MEMO_PIECES]) for i in range(0, len(pieces), MEMO_PIECES)]
+        ids, counts = (np.concatenate(x) for x in zip(*runs)) if runs else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        at = np.concatenate([[0], np.cumsum(counts)])[first].tolist()
+        return [ids[a:b] for a, b in zip(at, at[1:])]
+
+
+class Slots(dict):
+    """Pieces by the number of their slot; the identifiers of all slots stand in one array. Emptied when full."""
+
+    def __init__(self, encode):
+        self.encode = encode
+        self._empty()
+
+    def _empty(self) -> None:
+        self.clear()
+        self.new, self.ids, self.first = [], np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def __missing__(self, piece: str) -> int:
+        slot = self[piece] = len(self)
+        self.new.append(piece)
+        return slot
+
+    def tokens(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Identifiers of the pieces in order, and how many each piece has."""
+        if len(self) >= MEMO_PIECES:
+            self._empty()
+        slot = np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
+        if self.new:
+            found = list(map(self.encode, self.new))
+            self.new = []
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32)])
+            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in found])])
+        counts = self.first[slot + 1] - self.first[slot]
+        ends = np.cumsum(counts)
+        return self.ids[np.repeat(self.first[slot] - ends + counts, counts) + np.arange(counts.sum())], counts
 
 
 def _byte_letters() -> list[str]:

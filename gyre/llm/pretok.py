@@ -24,11 +24,11 @@ _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028,
 @functools.cache
 def classes() -> np.ndarray:
     """The class of every code point."""
-    first = [unicodedata.category(chr(c))[0] for c in range(0x110000)]
+    # Categories have two letters each, of which the first is asked.
+    kinds = np.frombuffer("".join(map(unicodedata.category, map(chr, range(0x110000)))).encode(), np.uint8)[::2]
     out = np.zeros(0x110000, np.uint8)
-    kinds = np.array(first)
-    out[kinds == "L"] = LETTER
-    out[kinds == "N"] = NUMBER
+    out[kinds == ord("L")] = LETTER
+    out[kinds == ord("N")] = NUMBER
     out[_WHITE] = SPACE
     return out
 
