@@ -108,7 +108,9 @@ def grid2loc(
     at = list(dict.fromkeys(axes.values()))
     of = {c: f"_at_{c}" for c in at}
     asked = points.select("id", *[F.col(c).cast("double").alias(k) for c, k in of.items()], *([F.col(level_coord).cast("double").alias("_y")] if level else []))
-    found = _at_places(grid, asked.select(*[F.col(k).alias(c) for c, k in of.items()]).distinct(), axes, [level_coord, *values] if level else values, [*extra, level] if level else extra, period, literal)
+    # Written, so that what is asked of a place is not asked of every point.
+    places = written(asked.select(*[F.col(k).alias(c) for c, k in of.items()]).distinct(), "places")
+    found = _at_places(grid, places, axes, [level_coord, *values] if level else values, [*extra, level] if level else extra, period, literal)
     found = found.withColumnsRenamed(of)
     keys = list(of.values())
     if level:
@@ -119,7 +121,10 @@ def grid2loc(
         depths = asked.select(*keys, "_y").distinct().join(found, keys)
         found = depths.select(*keys, "_y", *extra, *[_on_profile(one(n), F.col("_y")).alias(c) for n, c in enumerate(values)])
         keys = [*keys, "_y"]
-    out = met(asked, found, keys).unionByName(asked.join(found, keys, "left_anti"), True) if extra else asked.join(found, keys, "left")
+    if not extra:
+        return asked.join(found, keys, "left").select("id", *values)
+    found = written(found, "found")
+    out = met(asked, found, keys).unionByName(asked.join(found.select(*keys).distinct(), keys, "left_anti"), True)
     return out.select("id", *extra, *values)
 
 

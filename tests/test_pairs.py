@@ -74,3 +74,23 @@ def test_averaged_between_cells(spark):
     out = GridFrame(rows, ("x",)).averaged(["eta"], "u", "x").df
     assert {r.x: r.eta_u for r in out.collect()} == {0: 0.5, 1: 5.0, 3: 29.0, 7: 49.0}
     assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_blocks_meet_as_arrays(spark, tmp_path):
+    a = spark.range(3000).selectExpr("id a", "id % 3 k", "IF(id % 5 = 0, NULL, id) x")
+    b = spark.range(900).selectExpr("id b", "id % 4 k", "id * 0.5D y")
+    got, plain = (df.select("a", "k", "x", "b", "y") for df in (met(a, b, ["k"], block=500), a.join(b, "k")))
+    assert got.count() == plain.count() == 675_000 and got.exceptAll(plain).count() == 0
+    assert met(a.select("k"), b, ["k"]).count() == 675_000
+    # Pairs of a row lie together, and few rows of arrays are dealt.
+    one = met(spark.range(2000).selectExpr("id a", "0 k"), spark.range(1500).selectExpr("id b", "0 k"), ["k"]).select("a", "b")
+    assert "inline" in one._jdf.queryExecution().executedPlan().toString()
+    one.write.parquet(str(tmp_path / "out"))
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.3 * 3_000_000
+
+
+def test_places_are_looked_up_once(spark):
+    grid = spark.createDataFrame([(i, k, float(i), float(i + k)) for i in range(4) for k in range(3)], "i int, k int, lon double, v double")
+    p = spark.range(900).selectExpr("id", "CAST(id % 2 AS DOUBLE) + 0.5 lon")
+    out = interp.grid2loc(grid, p, {"i": "lon"}, "v", ["k"])
+    assert out.count() == 2700 and out.where("v <> id % 2 + 0.5 + k").count() == 0
